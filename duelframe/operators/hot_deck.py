@@ -8,11 +8,12 @@ spread over its blocks.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from duelframe.runtime import checkpoint
+
 #: Days of one block of a group.
 BLOCK_DAYS = 30
 
@@ -62,38 +63,38 @@ def nearest_donors(obs: DataFrame, group: str, n_fields: int, modal: bool, block
     previous and the next donor is taken, the previous one on equal distance. The distance is in days. Records without a
     group get no donor.
     """
-    rows = obs.withColumn("block", F.floor(F.col("day") / block_days).cast("int"))
-    grouped = rows.where(F.col(group).isNotNull())
-    spot = F.struct("day", "k", "v")
-    cells = (
-        grouped.select(group, "block", "day", "k", F.posexplode(F.array(*[f"v{i}" for i in range(n_fields)])).alias("f", "v"))
-        .where("v IS NOT NULL")
-        .groupBy(group, "block", "f", *(["v"] if modal else []))
-        .agg(F.count("*").alias("n"), F.max(spot).alias("last"), F.min(spot).alias("first"))
-    )
-    if modal:
-        totals = cells.groupBy(group, "f", "v").agg(F.sum("n").alias("n"))
-        best = totals.groupBy(group, "f").agg(F.max(F.struct("n", (-F.col("v")).alias("v"))).alias("b")).select(group, "f", (-F.col("b.v")).alias("v"))
-        cells = cells.join(best, [group, "f", "v"])
-    # one row per group and block with what its fields have in the block, then what lies around it
-    present = grouped.select(group, "block").distinct()
-    packed = cells.groupBy(group, "block").agg(*[x for i in range(n_fields) for x in (F.max(F.when(F.col("f") == i, F.col("last"))).alias(f"last{i}"), F.min(F.when(F.col("f") == i, F.col("first"))).alias(f"first{i}"))])
-    if modal:
-        modes = best.groupBy(group).agg(*[F.max(F.when(F.col("f") == i, F.col("v"))).alias(f"m{i}") for i in range(n_fields)])
-    blocks = present.join(packed, [group, "block"], "left")
-    back = Window.partitionBy(group).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = Window.partitionBy(group).orderBy("block").rowsBetween(1, Window.unboundedFollowing)
-    carried = blocks.select(group, "block", *[x for i in range(n_fields) for x in (F.last(f"last{i}", True).over(back).alias(f"before{i}"), F.first(f"first{i}", True).over(ahead).alias(f"after{i}"))])
+    fs = range(n_fields)
+    grouped = obs.where(F.col(group).isNotNull()).withColumn("block", F.floor(F.col("day") / block_days).cast("int"))
+    # Per block one cell for each combination of values; from here to the carried donors a group is its cells only,
+    # as many as its blocks hold different combinations, so it may lie in one partition.
+    spot = F.struct("day", "k")
+    cells = grouped.groupBy(group, "block", *[f"v{i}" for i in fs]).agg(F.count("*").alias("n"), F.max(spot).alias("last"), F.min(spot).alias("first"))
+    cells = cells.repartition(group)
+    modes = []
     if modal:
-        carried = carried.join(modes, group, "left")
-    joined = grouped.join(carried, [group, "block"], "left")
-    within = Window.partitionBy(group, "block").orderBy("day", "k", "red")
+        for i in fs:
+            cells = cells.withColumn(f"n{i}", F.when(F.col(f"v{i}").isNotNull(), F.sum("n").over(Window.partitionBy(group, f"v{i}"))))
+        best = [F.max(F.struct(f"n{i}", (-F.col(f"v{i}")).alias("v"))).over(Window.partitionBy(group))["v"] for i in fs]
+        cells = cells.select("*", *[(-b).alias(f"m{i}") for i, b in zip(fs, best)])
+        modes = [F.first(f"m{i}").alias(f"m{i}") for i in fs]
+    ends = []
+    for i in fs:
+        v = F.col(f"v{i}")
+        donates = v == F.col(f"m{i}") if modal else v.isNotNull()
+        ends += [F.max(F.when(donates, F.struct("last.day", "last.k", v.alias("v")))).alias(f"last{i}"), F.min(F.when(donates, F.struct("first.day", "first.k", v.alias("v")))).alias(f"first{i}")]
+    blocks = cells.groupBy(group, "block").agg(*ends, *modes)
+    up = Window.partitionBy(group).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    down = Window.partitionBy(group).orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
+    carried = blocks.select(group, "block", *[f"m{i}" for i in fs if modal], *[F.last(f"last{i}", True).over(up).alias(f"before{i}") for i in fs], *[F.last(f"first{i}", True).over(down).alias(f"after{i}") for i in fs])
+    joined = grouped.join(carried, [group, "block"])
+    # both frames grow from the start of their order: a frame to the end of the block would be read again for each row
+    order = [F.col("day"), F.col("k"), F.col("red")]
+    up = Window.partitionBy(group, "block").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    down = Window.partitionBy(group, "block").orderBy(*[c.desc() for c in order]).rowsBetween(Window.unboundedPreceding, -1)
     out = []
-    for i in range(n_fields):
+    for i in fs:
         own = F.when(F.col(f"v{i}") == F.col(f"m{i}") if modal else F.col(f"v{i}").isNotNull(), F.struct("day", "k", F.col(f"v{i}").alias("v")))
-        previous = F.coalesce(F.last(own, True).over(within.rowsBetween(Window.unboundedPreceding, -1)), F.col(f"before{i}"))
-        following = F.coalesce(F.first(own, True).over(within.rowsBetween(1, Window.unboundedFollowing)), F.col(f"after{i}"))
-        out += [previous.alias(f"p{i}"), following.alias(f"n{i}")]
+        out += [F.coalesce(F.last(own, True).over(up), F.col(f"before{i}")).alias(f"p{i}"), F.coalesce(F.last(own, True).over(down), F.col(f"after{i}")).alias(f"n{i}")]
     near = joined.select(*obs.columns, *out)
 
     def choose(i: int) -> Column:
@@ -102,7 +103,7 @@ def nearest_donors(obs: DataFrame, group: str, n_fields: int, modal: bool, block
         donor = F.when(take, p).otherwise(n)
         return F.when(donor.isNotNull(), F.struct(donor["day"].alias("day"), donor["k"].alias("k"), donor["v"].alias("value"), F.abs(day - donor["day"]).alias("distance")))
 
-    return near.select(*obs.columns, *[choose(i).alias(f"d{i}") for i in range(n_fields)])
+    return near.select(*obs.columns, *[choose(i).alias(f"d{i}") for i in fs])
 
 
 def weight_class(bout_type: str = "bout_type") -> Column:
@@ -111,7 +112,7 @@ def weight_class(bout_type: str = "bout_type") -> Column:
     return F.coalesce(F.nullif(F.regexp_extract(text, r"((?:women's )?(?:light )?(?:straw|fly|bantam|feather|light|welter|middle|heavy|catch )weight)", 1), F.lit("")), F.lit("any"))
 
 
-def fill_contests(df: DataFrame, fields: tuple[Field, ...] = FIELDS, key: str = "bout_id", day: str = "event_date", block_days: int = BLOCK_DAYS) -> DataFrame:
+def fill_contests(df: DataFrame, fields: tuple[Field, ...] = FIELDS, key: str = "bout_id", day: str = "event_date", block_days: int = BLOCK_DAYS, similar: bool = True) -> DataFrame:
     """One row per contest with the red side's fields filled.
 
     Columns: the key; for each field ``red_<field>`` as BIGINT (whole inches, or yyyymmdd), ``red_<field>_mark`` (null:
@@ -119,30 +120,31 @@ def fill_contests(df: DataFrame, fields: tuple[Field, ...] = FIELDS, key: str =
     contest's key and its distance in days; null where observed).
 
     A value is missing if it is null, NaN, out of the field's range, or gives an impossible age. Donors are first the
-    same fighter's records, on either side, that hold the fighter's most frequent usable value; failing these, the
-    records of the same weight class. Repeated rows count once; an empty table gives no rows; a contest without a fighter
-    id is filled from similar contests only. Columns not named here are ignored.
+    same fighter's records, on either side, that hold the fighter's most frequent usable value; failing these, with
+    ``similar``, the records of the same weight class. Repeated rows count once; an empty table gives no rows; a contest
+    without a fighter id is filled from similar contests only. Columns not named here are ignored.
     """
     names = [f"{s}_{f.name}" for s in ("red", "blue") for f in fields]
     rows = df.select(key, day, "red_fighter_id", "blue_fighter_id", *names, *(["bout_type"] if "bout_type" in df.columns else [])).distinct()
-    similar = weight_class() if "bout_type" in df.columns else F.lit("any")
-    obs = observations(rows, fields, key, day, similar)
+    obs = checkpoint(observations(rows, fields, key, day, weight_class() if "bout_type" in df.columns else F.lit("any")))
     n = len(fields)
-    # pass 1: the same fighter's modal value; rows without an id have no donors there
-    same = nearest_donors(obs, "entity", n, True, block_days).unionByName(obs.where("entity IS NULL").select("*", *[F.lit(None).cast("struct<day:int,k:bigint,value:bigint,distance:int>").alias(f"d{i}") for i in range(n)]))
-    red = same.where("red").select("k", "day", "similar", *[f"v{i}" for i in range(n)], *[f"d{i}" for i in range(n)])
-    open_ = reduce(lambda a, b: a | b, [F.col(f"v{i}").isNull() & F.col(f"d{i}").isNull() for i in range(n)])
-    # pass 2: the weight class, for contests that are still open; any usable record of the class is a donor
-    peers = nearest_donors(obs, "similar", n, False, block_days).where("red").select("k", *[F.col(f"d{i}").alias(f"s{i}") for i in range(n)])
-    red = red.withColumn("open", open_)
-    joined = red.where("open").join(peers, "k", "left").unionByName(red.where("NOT open").select("*", *[F.lit(None).cast("struct<day:int,k:bigint,value:bigint,distance:int>").alias(f"s{i}") for i in range(n)]))
+    none = F.lit(None).cast(f"struct<day:int,k:{df.schema[key].dataType.simpleString()},value:bigint,distance:int>")
+    # pass 1: the same fighter's modal value
+    same = nearest_donors(obs, "entity", n, True, block_days).where("red").unionByName(obs.where("red AND entity IS NULL").select("*", *[none.alias(f"d{i}") for i in range(n)]))
+    red = same.select("k", *[x for i in range(n) for x in (f"v{i}", f"d{i}")])
+    if similar:
+        # pass 2: the weight class; any usable record of it is a donor
+        peers = nearest_donors(obs, "similar", n, False, block_days).where("red")
+        red = red.join(peers.select("k", *[F.col(f"d{i}").alias(f"s{i}") for i in range(n)]), "k", "left")
+    else:
+        red = red.select("*", *[none.alias(f"s{i}") for i in range(n)])
     out = [F.col("k").alias(key)]
     for i, f in enumerate(fields):
         v, d, s = F.col(f"v{i}"), F.col(f"d{i}"), F.col(f"s{i}")
         donor = F.when(v.isNull(), F.coalesce(d, s))
         mark = F.when(v.isNotNull(), F.lit(None)).when(d.isNotNull(), "same fighter").when(s.isNotNull(), "similar contests").otherwise("none")
         out += [F.coalesce(v, donor["value"]).alias(f"red_{f.name}"), mark.alias(f"red_{f.name}_mark"), donor["k"].alias(f"red_{f.name}_donor"), donor["distance"].alias(f"red_{f.name}_distance")]
-    return joined.select(*out)
+    return red.select(*out)
 
 
 def filled_from_same(filled: DataFrame, fields: tuple[Field, ...] = FIELDS, key: str = "bout_id") -> DataFrame:

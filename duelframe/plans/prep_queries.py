@@ -13,7 +13,7 @@ MEASURES = ("fighter_sig_str_landed", "fighter_sig_str_attempted", "diff_win_str
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    return hot_deck.filled_from_same(hot_deck.fill_contests(read_table(spark, folder, "combined_data")))
+    return hot_deck.filled_from_same(hot_deck.fill_contests(read_table(spark, folder, "combined_data"), similar=False))
 
 
 def p1_filled(spark: SparkSession, folder: str) -> DataFrame:
