@@ -4,10 +4,36 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from duelframe.llm import leaks, spans, tokenizer
+from pyspark.sql import functions as F
+
+from duelframe.llm import leaks, names, spans, tokenizer
 from duelframe.runtime import read_table
 
 
+def _registry(spark: SparkSession, folder: str) -> DataFrame:
+    """Full names and their rows: the contests' fighters and the bets' blue side, which is spelled as those."""
+    contests, bets = read_table(spark, folder, "combined_data"), read_table(spark, folder, "betting_cumulative_profit")
+    sides = [names.spellings(contests, "red_fighter_name"), names.spellings(contests, "blue_fighter_name"), names.spellings(bets, "blue_fighter_name")]
+    return sides[0].unionByName(sides[1]).unionByName(sides[2]).groupBy("name").agg(F.sum("n").alias("n"))
+
+
+def _typed(spark: SparkSession, folder: str) -> DataFrame:
+    profiles, bets = read_table(spark, folder, "entities_raw"), read_table(spark, folder, "betting_cumulative_profit")
+    both = names.spellings(profiles, "fighter_name").unionByName(names.spellings(bets, "red_fighter_name"))
+    return both.groupBy("name").agg(F.sum("n").alias("n"))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return names.spelling_pairs(names.link_spellings(_typed(spark, folder), _registry(spark, folder)))
+
+
+def p4_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per spelling with its group and the number of other spellings it is linked to."""
+    linked = names.link_spellings(_typed(spark, folder), _registry(spark, folder))
+    sizes = linked.groupBy("entity").agg((F.count("*") - 1).alias("n_links"))
+    return linked.join(sizes, "entity").select("name", F.col("entity").alias("group_id"), F.col("display").alias("person"), "n_links")
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokenizer.encode_corpus(read_table(spark, folder, "documents"))
 
@@ -28,5 +54,5 @@ def p9_shared(spark: SparkSession, folder: str) -> DataFrame:
     return spans.shared_share(read_table(spark, folder, "documents"))
 
 
-QUERIES = {"p7_ids": p7_ids, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found, "p9_shared": p9_shared}
+QUERIES = {"p4_found": p4_found, "p4_groups": p4_groups, "p7_ids": p7_ids, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found, "p9_shared": p9_shared}
 ORACLES: dict[str, str] = {}
