@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from duelframe.llm import leaks, names, spans, tokenizer
+from duelframe.llm import leaks, names, ranking, spans, tokenizer
 from duelframe.runtime import read_table
 
 
@@ -34,6 +34,29 @@ def p4_groups(spark: SparkSession, folder: str) -> DataFrame:
     return linked.join(sizes, "entity").select("name", F.col("entity").alias("group_id"), F.col("display").alias("person"), "n_links")
 
 
+#: Fewest decided bets of a fighter in p2_found, and how many fighters it names.
+LEAST_BETS, STRONGEST = 20, 6
+
+
+def p2_ranking(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per fighter with decided bets: record, strength, standard error and position."""
+    bets = read_table(spark, folder, "betting_cumulative_profit").select("bet_id", "red_fighter_name", "blue_fighter_name", "fight_outcome").distinct()
+    typed = names.spellings(bets, "red_fighter_name").unionByName(names.spellings(bets, "blue_fighter_name")).groupBy("name").agg(F.sum("n").alias("n"))
+    linked = names.link_spellings(typed, _registry(spark, folder))
+    red, blue = (linked.select(F.col("name").alias(f"{side}_fighter_name"), F.struct("entity", "display").alias(side)) for side in ("red", "blue"))
+    rows = bets.withColumn("won", F.lower(F.trim("fight_outcome"))).where(F.col("won").isin("red_win", "blue_win"))
+    sides = rows.join(red, "red_fighter_name").join(blue, "blue_fighter_name")
+    first = F.col("won") == "red_win"
+    decided = sides.select(F.when(first, F.col("red")).otherwise(F.col("blue")).alias("winner"), F.when(first, F.col("blue")).otherwise(F.col("red")).alias("loser"))
+    ranked = ranking.rank_items(decided)
+    return ranked.select(F.col("item.display").alias("fighter_name"), F.col("item.entity").alias("fighter_key"), "n_won", "n_lost", "strength", "std_error", "position")
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    ranked = p2_ranking(spark, folder).where(F.col("n_won") + F.col("n_lost") >= LEAST_BETS)
+    return ranked.orderBy("position").limit(STRONGEST).select("fighter_name")
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokenizer.encode_corpus(read_table(spark, folder, "documents"))
 
@@ -54,5 +77,5 @@ def p9_shared(spark: SparkSession, folder: str) -> DataFrame:
     return spans.shared_share(read_table(spark, folder, "documents"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_groups": p4_groups, "p7_ids": p7_ids, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found, "p9_shared": p9_shared}
+QUERIES = {"p2_found": p2_found, "p2_ranking": p2_ranking, "p4_found": p4_found, "p4_groups": p4_groups, "p7_ids": p7_ids, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found, "p9_shared": p9_shared}
 ORACLES: dict[str, str] = {}
