@@ -201,10 +201,10 @@ def find_leaks(docs: DataFrame, items: DataFrame, min_words: int = 12, doc_key:
 
 
 def _find(docs: DataFrame, rows: list[tuple], min_words: int, doc_key: str, item_key: str, text: str, schema: str) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(ItemIndex(rows, min_words))
+    shared = docs.sparkSession.sparkContext.broadcast(rows)  # at most INDEX_ITEMS items; each task builds the index
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index: ItemIndex = shared.value
+        index = ItemIndex(shared.value, min_words)
         names = [doc_key, item_key, "shared_words", "score", "answer_follows"]
         for batch in batches:
             hits = [(row, index.ids[k], *v) for row, t in enumerate(batch.column(1).to_pylist()) for k, v in index.leaks(t).items()]

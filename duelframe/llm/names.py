@@ -459,13 +459,22 @@ def link_spellings(names: DataFrame, registry: DataFrame) -> DataFrame:
     given = _lexicon(registry)
     lexicon = spark.sparkContext.broadcast(given)
     numbered = checkpoint(names.withColumn("qid", F.xxhash64("name")))
-    linked = _resolve(numbered, people, lexicon)
+    linked = checkpoint(_resolve(numbered, people, lexicon).where("i = 1").select("qid", "entity", "display", "cost"))
     rest = numbered.join(linked.select("qid"), "qid", "left_anti")
     own = _own_groups(rest, lexicon)
-    best = linked.select("qid", "entity", "display", "cost").unionByName(own.select("qid", "entity", "display", "cost"))
+    best = linked.unionByName(own.select("qid", "entity", "display", "cost"))
     return numbered.join(best, "qid").select("name", "n", "entity", "display", "cost")
 
 
+def possible_people(names: DataFrame, registry: DataFrame, margin: float = 0.6) -> DataFrame:
+    """``name, entity, cost`` of all registered persons a spelling may mean: those within ``margin`` of the least cost."""
+    people = checkpoint(registry_entities(registry))
+    lexicon = names.sparkSession.sparkContext.broadcast(_lexicon(registry))
+    numbered = checkpoint(names.withColumn("qid", F.xxhash64("name")))
+    near = _resolve(numbered, people, lexicon).where(F.col("cost") <= F.col("least") + margin)
+    return numbered.select("qid", "name").join(near.select("qid", "entity", "cost"), "qid").select("name", "entity", "cost")
+
+
 def _readings(numbered: DataFrame, lexicon) -> DataFrame:
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = Reader(lexicon.value)
@@ -495,7 +504,7 @@ def _resolve(numbered: DataFrame, people: DataFrame, lexicon) -> DataFrame:
     # an open given name needs the whole surname to be right
     scored = hits.select("qid", F.col("pid").alias("entity"), "display", "weight", total.alias("cost"), "open", (total - F.col("cost")).alias("slips")).where((F.col("cost") <= MOST_COST) & (~F.col("open") | (F.col("slips") < MOST_OPEN)))
     order = Window.partitionBy("qid").orderBy(F.round("cost", 3), F.desc("weight"), "entity")
-    return scored.withColumn("i", F.row_number().over(order)).where("i = 1")
+    return scored.withColumn("i", F.row_number().over(order)).withColumn("least", F.min("cost").over(Window.partitionBy("qid")))
 
 
 def _own_groups(rest: DataFrame, lexicon) -> DataFrame:

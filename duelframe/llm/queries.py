@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from duelframe.llm import leaks, names, ranking, spans, tokenizer
+from duelframe.llm import leaks, names, ranking, softlogic, spans, tokenizer
 from duelframe.runtime import read_table
 
 
@@ -57,6 +57,20 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return ranked.orderBy("position").limit(STRONGEST).select("fighter_name")
 
 
+def p6_links(spark: SparkSession, folder: str) -> DataFrame:
+    day = F.unix_date(F.col("event_date").cast("date"))
+    bets = read_table(spark, folder, "betting_cumulative_profit").select("bet_id", day.alias("day"), F.col("red_fighter_name").alias("red"), F.col("blue_fighter_name").alias("blue"), F.lower("selected_side").alias("side"), softlogic.decimal_odds(F.col("selected_decimal_odds")).alias("odds")).distinct()
+    quotes = read_table(spark, folder, "quotes_raw").select("quote_id", day.alias("day"), F.col("fighter_1").alias("first"), F.col("fighter_2").alias("second"), softlogic.decimal_odds(F.col("fighter_1_odds")).alias("odds_1"), softlogic.decimal_odds(F.col("fighter_2_odds")).alias("odds_2")).distinct()
+    written = [names.spellings(bets, "red"), names.spellings(bets, "blue"), names.spellings(quotes, "first"), names.spellings(quotes, "second")]
+    typed = written[0].unionByName(written[1]).unionByName(written[2]).unionByName(written[3]).groupBy("name").agg(F.sum("n").alias("n"))
+    people = names.possible_people(typed, _registry(spark, folder))
+    return softlogic.link(bets, quotes, people)
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p6_links(spark, folder).select("bet_id", "quote_id")
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokenizer.encode_corpus(read_table(spark, folder, "documents"))
 
@@ -77,5 +91,5 @@ def p9_shared(spark: SparkSession, folder: str) -> DataFrame:
     return spans.shared_share(read_table(spark, folder, "documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_ranking": p2_ranking, "p4_found": p4_found, "p4_groups": p4_groups, "p7_ids": p7_ids, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found, "p9_shared": p9_shared}
+QUERIES = {"p2_found": p2_found, "p2_ranking": p2_ranking, "p4_found": p4_found, "p4_groups": p4_groups, "p6_found": p6_found, "p6_links": p6_links, "p7_ids": p7_ids, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found, "p9_shared": p9_shared}
 ORACLES: dict[str, str] = {}

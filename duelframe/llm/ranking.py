@@ -25,7 +25,7 @@ PROBES = 32
 #: Newton steps, steps of one solve, and the gradient at which the strengths are taken as found.
 NEWTON_STEPS, SOLVER_STEPS, GRADIENT = 15, 60, 1e-5
 
-_GRID = np.linspace(-6.5, 6.5, 13_001)
+_GRID = np.linspace(-6.5, 6.5, 1_301)
 _CDF = np.array([0.5 * math.erfc(-x / math.sqrt(2)) for x in _GRID])
 
 
