@@ -16,8 +16,13 @@ from duelframe.functions import numeric as N
 from duelframe.functions.text import method_flags
 
 KEYS = ["entity", "day"]
-_BEFORE = Window.partitionBy("entity").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-_UPTO = Window.partitionBy("entity").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
+
+
+def _upto(offset: int) -> Window:
+    """All of an entity's days up to this one plus ``offset``."""
+    return Window.partitionBy("entity").orderBy("day").rowsBetween(Window.unboundedPreceding, offset)
+
+
 
 #: Career totals by feature name: the side's own measures, then those made by the opponent.
 TOTALS = {f"total_sig_strikes_{w}": f"sig_{w}" for w in ("landed", "attempted")}
@@ -34,7 +39,7 @@ def before(long: DataFrame, sums: dict[str, Column], least: dict[str, Column] |
     least, most = least or {}, most or {}
     aggs = [F.sum(F.coalesce(e.cast("double"), F.lit(0.0))).alias(n) for n, e in sums.items()] + [F.min(e).alias(n) for n, e in least.items()] + [F.max(e).alias(n) for n, e in most.items()]
     daily = long.groupBy(*KEYS).agg(*aggs)
-    state = [F.coalesce(F.sum(n).over(_BEFORE), F.lit(0.0)).alias(n) for n in sums] + [F.min(n).over(_BEFORE).alias(n) for n in least] + [F.max(n).over(_BEFORE).alias(n) for n in most]
+    state = [F.coalesce(F.sum(n).over(_upto(-1)), F.lit(0.0)).alias(n) for n in sums] + [F.min(n).over(_upto(-1)).alias(n) for n in least] + [F.max(n).over(_upto(-1)).alias(n) for n in most]
     return long.join(daily.select(*KEYS, *state), KEYS)
 
 
@@ -70,11 +75,11 @@ def streaks(long: DataFrame) -> DataFrame:
         F.sum("won").alias("wins"), F.sum("lost").alias("losses"), F.max("last_loss").isNotNull().alias("had_loss"), F.max("last_win").isNotNull().alias("had_win"),
         F.sum(F.when(after_loss, F.col("won")).otherwise(0)).alias("wins_after"), F.sum(F.when(after_win, F.col("lost")).otherwise(0)).alias("losses_after"),
     )
-    upto = daily.select(*KEYS, "had_loss", "had_win", "wins_after", "losses_after", F.sum("wins").over(_UPTO).alias("cw"), F.sum("losses").over(_UPTO).alias("cl"))
+    upto = daily.select(*KEYS, "had_loss", "had_win", "wins_after", "losses_after", F.sum("wins").over(_upto(0)).alias("cw"), F.sum("losses").over(_upto(0)).alias("cl"))
     base = upto.select(*KEYS, "cw", "cl", F.when(F.col("had_loss"), F.col("cw") - F.col("wins_after")).alias("bw"), F.when(F.col("had_win"), F.col("cl") - F.col("losses_after")).alias("bl"))
 
     def run(total: str, mark: str) -> Column:
-        return (F.coalesce(F.max(total).over(_BEFORE), F.lit(0)) - F.coalesce(F.max(mark).over(_BEFORE), F.lit(0))).cast("bigint")
+        return (F.coalesce(F.max(total).over(_upto(-1)), F.lit(0)) - F.coalesce(F.max(mark).over(_upto(-1)), F.lit(0))).cast("bigint")
 
     return long.join(base.select(*KEYS, run("cw", "bw").alias("win_streak"), run("cl", "bl").alias("loss_streak")), KEYS)
 
