@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,14 +45,15 @@ def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
-def without_clashes(df: DataFrame, *names: str) -> dict[str, str]:
-    """Working column names that no input column has (case-insensitively)."""
-    taken = {c.lower() for c in df.columns}
-    out = {}
-    for name in names:
-        new = f"__{name}"
-        while new.lower() in taken:
-            new += "_"
-        taken.add(new.lower())
-        out[name] = new
-    return out
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared checkpoint folder.
+
+    For loops that join their own results: a checkpoint keeps the size estimate of its plan, which multiplies from join to
+    join, a written table has the size of its files.
+    """
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="duelframe-ckpt-"))
+    path = f"{sc.getCheckpointDir()}/written-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
