@@ -16,12 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duelframe.runtime import checkpoint, parallelism
+from duelframe.runtime import checkpoint, parallelism, written
 
 #: Items up to which the strength vector (8 bytes each) lives on the driver; beyond it vectors are tables.
 DRIVER_ITEMS = 5_000_000
-#: Random sign vectors for the diagonal of the inverse; with fewer items than this it is exact.
-PROBES = 32
+#: Items up to which standard errors are exact, and random sign vectors for more.
+EXACT, PROBES = 64, 32
 #: Newton steps, steps of one solve, and the gradient at which the strengths are taken as found.
 NEWTON_STEPS, SOLVER_STEPS, GRADIENT = 15, 60, 1e-5
 
@@ -154,13 +154,20 @@ class _DriverSolver:
         return s, self._errors(s, diagonal)
 
     def _errors(self, s: np.ndarray, diagonal: np.ndarray) -> np.ndarray:
-        """diag(inverse): exact by unit vectors for few items, else from sign vectors with 1/diagonal as control variate."""
-        if self.n <= PROBES:
-            return np.sqrt(np.diag(self.solve(s, np.eye(self.n), diagonal, 1e-8)))
-        signs = np.random.default_rng(7).choice([-1.0, 1.0], size=(self.n, PROBES))
+        """Root of diag(inverse): exact by unit vectors for few items, else from random sign vectors.
+
+        A constant is an eigenvector of the normal matrix with value ridge, so its part of the diagonal is known, the sign
+        vectors are taken without it, and of the rest only the difference to 1 / diagonal is estimated.
+        """
+        n = self.n
+        if n <= EXACT:
+            return np.sqrt(np.diag(self.solve(s, np.eye(n), diagonal, 1e-8)))
+        signs = np.random.default_rng(7).choice([-1.0, 1.0], size=(n, PROBES))
+        signs -= signs.mean(0)
         solved = self.solve(s, signs, diagonal, 1e-3)
         rest = (signs * (solved - signs / diagonal[:, None])).mean(1)
-        return np.sqrt(1 / diagonal + np.maximum(rest, 0.0))  # the inverse's diagonal is never below 1 / diagonal
+        known = 1 / (n * self.ridge) + (1 - 2 / n) / diagonal + (1 / diagonal).sum() / n**2
+        return np.sqrt(np.maximum(known + rest, 1 / diagonal))  # the inverse's diagonal is never below 1 / diagonal
 
 
 class _TableSolver:
@@ -188,23 +195,23 @@ class _TableSolver:
     def gradient(self, state: DataFrame) -> DataFrame:
         sums = self._over_pairs(state, ["s"]).select("i", self._terms().alias("t")).groupBy("i").agg(F.sum("t.g").alias("g"), F.sum("t.w").alias("w")).withColumnRenamed("i", "idx")
         joined = state.join(sums, "idx", "left")
-        return checkpoint(joined.select("idx", "s", (F.coalesce("g", F.lit(0.0)) - self.ridge * F.col("s")).alias("g"), (F.coalesce("w", F.lit(0.0)) + self.ridge).alias("d")))
+        return written(joined.select("idx", "s", (F.coalesce("g", F.lit(0.0)) - self.ridge * F.col("s")).alias("g"), (F.coalesce("w", F.lit(0.0)) + self.ridge).alias("d")))
 
     def solve(self, state: DataFrame, tolerance: float) -> DataFrame:
         """``idx, x`` with H x = g at the state's strengths."""
-        cur = checkpoint(state.select("idx", "s", "d", F.lit(0.0).alias("x"), F.col("g").alias("r"), (F.col("g") / F.col("d")).alias("p")))
+        cur = state.select("idx", "s", "d", F.lit(0.0).alias("x"), F.col("g").alias("r"), (F.col("g") / F.col("d")).alias("p"))
         rz, start = cur.agg(F.sum(F.col("r") * F.col("r") / F.col("d")), F.sum(F.col("r") * F.col("r"))).first()
         for _ in range(SOLVER_STEPS):
             if not start:
                 break
             h = self._over_pairs(cur, ["s", "p"]).select("i", (self._terms()["w"] * (F.col("p_i") - F.col("p_j"))).alias("v")).groupBy("i").agg(F.sum("v").alias("v")).withColumnRenamed("i", "idx")
-            cur = checkpoint(cur.join(h, "idx", "left").withColumn("h", F.coalesce("v", F.lit(0.0)) + self.ridge * F.col("p")).drop("v"))
+            cur = written(cur.join(h, "idx", "left").withColumn("h", F.coalesce("v", F.lit(0.0)) + self.ridge * F.col("p")).drop("v"))
             step = rz / max(cur.agg(F.sum(F.col("p") * F.col("h"))).first()[0], 1e-300)
             cur = cur.withColumn("x", F.col("x") + step * F.col("p")).withColumn("r", F.col("r") - step * F.col("h")).drop("h")
             new, left = cur.agg(F.sum(F.col("r") * F.col("r") / F.col("d")), F.sum(F.col("r") * F.col("r"))).first()
             if left <= tolerance**2 * start:
                 break
-            cur = checkpoint(cur.withColumn("p", F.col("r") / F.col("d") + new / rz * F.col("p")))
+            cur = cur.withColumn("p", F.col("r") / F.col("d") + new / rz * F.col("p"))
             rz = new
         return cur.select("idx", "x")
 
@@ -216,12 +223,12 @@ class _TableSolver:
             if size is None or size < GRADIENT:
                 break
             step = self.solve(state, min(0.1, max(1e-4, size * 0.01)))
-            state = checkpoint(state.join(step, "idx").select("idx", (F.col("s") + F.col("x")).alias("s")))
+            state = written(state.join(step, "idx").select("idx", (F.col("s") + F.col("x")).alias("s")))
         state, rest = self.gradient(state.select("idx", "s")), None
         for probe in range(PROBES):
             sign = F.when(F.pmod(F.xxhash64("idx", F.lit(probe)), F.lit(2)) == 0, 1.0).otherwise(-1.0)
             x = self.solve(state.select("idx", "s", "d", sign.alias("g")), 1e-3).select("idx", (sign * F.col("x")).alias("x"))
-            rest = x if rest is None else checkpoint(rest.unionByName(x).groupBy("idx").agg(F.sum("x").alias("x")))
+            rest = x if rest is None else written(rest.unionByName(x).groupBy("idx").agg(F.sum("x").alias("x")))
         out = state.join(rest, "idx")
         return out.select("idx", F.col("s").alias("strength"), F.sqrt(1 / F.col("d") + F.greatest(F.col("x") / PROBES - 1 / F.col("d"), F.lit(0.0))).alias("std_error"))
 
