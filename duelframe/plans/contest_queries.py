@@ -666,9 +666,10 @@ fl AS (SELECT *, 1.0::DOUBLE AS stake, CASE WHEN bet_won THEN selected_decimal_o
 fc AS (SELECT *, sum(profit) OVER (PARTITION BY edge_threshold ORDER BY event_date, bout_id ROWS UNBOUNDED PRECEDING) AS cumulative_profit FROM fl)"""
 
 
-@query(f"WITH {BETS_SQL} SELECT bout_id, edge_threshold, selected_side, round(selected_edge, 6) AS selected_edge, round(selected_decimal_odds, 6) AS selected_decimal_odds, bet_won FROM bt")
+@query(f"WITH {BETS_SQL} SELECT bout_id, edge_threshold, selected_side, round(selected_edge, 6) AS selected_edge, round(selected_decimal_odds, 6) AS selected_decimal_odds, bet_won::VARCHAR AS bet_won FROM bt")
 def bet_selection(spark, folder):
-    return rounded(bets(spark, folder), ["bout_id", "edge_threshold", "selected_side", "bet_won"], ["selected_edge", "selected_decimal_odds"])
+    rows = bets(spark, folder).withColumn("bet_won", F.col("bet_won").cast("string"))
+    return rounded(rows, ["bout_id", "edge_threshold", "selected_side", "bet_won"], ["selected_edge", "selected_decimal_odds"])
 
 
 _SUM_SQL = "sm AS (SELECT edge_threshold, count(*) AS n_bets, sum(bet_won::INT)::BIGINT AS wins, sum(profit) AS total_profit, sum(profit) / sum(stake) AS roi FROM fc GROUP BY 1), dr AS (SELECT edge_threshold, max(pk - cumulative_profit) AS max_drawdown FROM (SELECT *, max(cumulative_profit) OVER (PARTITION BY edge_threshold ORDER BY event_date, bout_id ROWS UNBOUNDED PRECEDING) AS pk FROM fc) GROUP BY 1)"

@@ -14,12 +14,12 @@ NAMES = [n for m in (contest_queries, model_queries, prep_queries) for n in m.OR
 
 def _rows(frame):
     def cell(x):
-        if x is None or x != x or str(x) == "NaT":
+        if x is None or str(x) in ("NaT", "nan", "<NA>"):
             return None
-        if isinstance(x, bool) or type(x).__name__ == "bool_":
-            return str(bool(x))
         if hasattr(x, "item"):
             x = x.item()
+        if isinstance(x, bool):
+            return str(x)
         return f"{x:.5g}" if isinstance(x, float) and not math.isnan(x) and x != int(x) else str(int(x)) if isinstance(x, int | float) else str(x)
 
     frame = frame[sorted(frame.columns)]
