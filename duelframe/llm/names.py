@@ -508,13 +508,18 @@ def _resolve(numbered: DataFrame, people: DataFrame, lexicon) -> DataFrame:
 
 
 def _own_groups(rest: DataFrame, lexicon) -> DataFrame:
-    """Groups of spellings without a registered person: each goes to the strongest spelling within the radius, if that is itself strongest around."""
-    ways = _readings(rest, lexicon).where("cost < 2").withColumn("i", F.row_number().over(Window.partitionBy("qid").orderBy("cost", "given", "surname"))).where("i = 1")
-    full = checkpoint(ways.join(rest.select("qid", "name", "n"), "qid").select("qid", "name", "n", "given", "surname", "cost"))
-    near = radius_join(full.select("qid", "given", "surname"), full.select(F.col("qid").alias("pid"), "given", "surname"))
+    """Groups of spellings without a registered person: each goes to the strongest spelling within the radius of one of its readings.
+
+    A spelling is strong if it reads plainly (a full known given name), then by its number of rows; a leader that itself
+    follows another passes its followers on.
+    """
+    ways = checkpoint(_readings(rest, lexicon).where("cost < 2").withColumn("rid", F.xxhash64("qid", "given", "surname")))
+    best = F.min_by(F.struct("given", "surname", "cost"), F.struct("cost", "given", "surname")).alias("b")
+    full = checkpoint(ways.groupBy("qid").agg(best).join(rest.select("qid", "name", "n"), "qid").select("qid", "name", "n", "b.given", "b.surname", "b.cost"))
+    near = radius_join(ways.select(F.col("rid").alias("qid"), "given", "surname"), full.select(F.col("qid").alias("pid"), "given", "surname"))
+    hits = near.withColumnRenamed("qid", "rid").join(ways.select("rid", "qid"), "rid")
     strength = full.select(F.col("qid").alias("pid"), F.struct((-F.col("cost")).alias("plain"), "n", "qid").alias("strength"), F.col("name").alias("display"))
-    top = near.join(strength, "pid").groupBy("qid").agg(F.max(F.struct("strength", "pid", "display", "edits")).alias("b")).select("qid", "b.pid", "b.display", F.col("b.edits").cast("double").alias("cost"))
-    # a leader that itself follows another passes its followers on once
+    top = hits.join(strength, "pid").groupBy("qid").agg(F.max(F.struct("strength", "pid", "display", "edits")).alias("b")).select("qid", "b.pid", "b.display", F.col("b.edits").cast("double").alias("cost"))
     leaders = top.select(F.col("qid").alias("pid"), F.col("pid").alias("next"), F.col("display").alias("next_display"))
     return top.join(leaders, "pid").select("qid", F.col("next").alias("entity"), F.col("next_display").alias("display"), "cost")
 

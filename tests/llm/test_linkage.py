@@ -133,11 +133,12 @@ def table(spark, values):
 
 def test_linking(spark):
     people = [("Rafael Kholaliz", 50), ("RAFAEL KHOLALIZ", 3), ("Francisco Roultavaff", 9), ("Rebecca Gurtuagril", 5), ("Michael Gurtuagril", 5), ("Leandro Roldenzalt", 9), ("Leandro Roldenzala", 9), ("Rafael Miangellar", 2), ("Rebecca Brerosirt", 2), ("Michael Bondordun", 2), ("Leandro Tombiedl", 2), ("Francisco Bivrupir", 2)]
-    typed = ["Rafael Kholaliz", "rafael kholliz", "Kholaliz, R.", "F. Roultavaff", "Mike Gurtuagril", "Becky Gurtuagril", "Leandro Roldenzalt", "Leandro Roldenzala", "Leandr0 Roldenzala", "Nobody Knownhere", "Otter Kholaliz", "x" * 3000]
+    typed = ["Rafael Kholaliz", "rafael kholliz", "Kholaliz, R.", "F. Roultavaff", "Mike Gurtuagril", "Becky Gurtuagril", "Leandro Roldenzalt", "Leandro Roldenzala", "Leandr0 Roldenzala", "Nobody Knownhere", "Otter Kholaliz", "x" * 3000, "Rebecca Unlistedname", "Unlistedname R.", "Rebecca Unlistedmane"]
     linked = names.link_spellings(table(spark, [(t, 1) for t in typed]), table(spark, people))
     got = {r.name: r.display for r in linked.collect()}
     assert {t for t, d in got.items() if d == "Rafael Kholaliz"} == {"Rafael Kholaliz", "rafael kholliz", "Kholaliz, R.", "Otter Kholaliz"}
     assert got["Mike Gurtuagril"] == "Michael Gurtuagril" and got["Becky Gurtuagril"] == "Rebecca Gurtuagril"
+    assert got["Rebecca Unlistedname"] == got["Unlistedname R."] == got["Rebecca Unlistedmane"]
     assert got["Leandr0 Roldenzala"] == "Leandro Roldenzala" != got["Leandro Roldenzalt"]
     pairs = {(r.name_a, r.name_b) for r in names.spelling_pairs(linked).collect()}
     assert ("Leandr0 Roldenzala", "Leandro Roldenzala") in pairs and all(a < b for a, b in pairs)
