@@ -75,7 +75,7 @@ def entity_features(
     # The numbers of records by entity and the types come from narrow scans that aggregate before they shuffle.
     loads = df.where(F.col(entity).isNotNull()).groupBy(entity).count().where(F.col("count") > bucket_rows)
     hot = [(r[0], int(r[1] // bucket_rows) + 1) for r in loads.collect()]  # at most rows / bucket_rows of them
-    kinds = sorted(r[0] for r in df.select(clean_type(F.col(kind)).alias("k")).where("k IS NOT NULL").distinct().limit(max_types + 1).collect())
+    kinds = sorted(r[0] for r in df.select(kind).distinct().select(clean_type(F.col(kind)).alias("k")).where("k IS NOT NULL").distinct().limit(max_types + 1).collect())
     if len(kinds) > max_types:
         return _by_aggregate(rows, entity, measures)
     salt = F.lit(0)
