@@ -92,4 +92,18 @@ def p9_shared(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"p2_found": p2_found, "p2_ranking": p2_ranking, "p4_found": p4_found, "p4_groups": p4_groups, "p6_found": p6_found, "p6_links": p6_links, "p7_ids": p7_ids, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found, "p9_shared": p9_shared}
-ORACLES: dict[str, str] = {}
+
+_WORDS = r"regexp_extract_all(lower(strip_accents(text)), '[\p{L}\p{N}]+') AS w"
+_GRAMS = "unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k + 11], ' '))) AS g"
+P8_SQL = f"""
+WITH d AS (SELECT DISTINCT doc_id, {_WORDS} FROM documents WHERE text IS NOT NULL), i AS (SELECT DISTINCT item_id, {_WORDS} FROM eval_items WHERE text IS NOT NULL),
+dg AS (SELECT doc_id, {_GRAMS} FROM d WHERE len(w) >= 12), ig AS (SELECT item_id, {_GRAMS} FROM i WHERE len(w) >= 12)
+SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)
+"""
+P9_SQL = """
+WITH d AS (SELECT DISTINCT doc_id, text FROM documents WHERE length(text) >= 300),
+g AS (SELECT doc_id, unnest(list_transform(range(1, length(text) - 298), lambda k: hash(substr(text, k, 300)))) AS h FROM d),
+s AS (SELECT DISTINCT doc_id, h FROM g), m AS (SELECT h FROM s GROUP BY h HAVING count(*) > 1), k AS (SELECT s.* FROM s SEMI JOIN m USING (h))
+SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM k a JOIN k b ON a.h = b.h AND a.doc_id < b.doc_id
+"""
+ORACLES = {"p8_found": P8_SQL, "p9_found": P9_SQL}
