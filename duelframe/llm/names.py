@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from duelframe.llm.pairs import pairs_in_groups
 from duelframe.runtime import checkpoint, parallelism
 
 #: Greatest Levenshtein distance of the surnames of two spellings.
@@ -34,99 +35,98 @@ SHORT = 40
 _LETTERS = str.maketrans({"ø": "o", "ł": "l", "đ": "d", "ð": "d", "þ": "th", "æ": "ae", "œ": "oe", "ı": "i", "0": "o", "1": "l", "5": "s"})
 #: Titles and marks beside names.
 _TITLES = {"mr", "mrs", "ms", "miss", "dr", "sr", "jr", "sir", "prof", "the", "ii", "iii"}
-#: Short and pet forms of given names.
+#: Pet forms of given names that are not their beginnings.
 _SHORT_FORMS = """
-alexander: alex sasha sandy lex xander sacha
-alexandra: alex sasha sandra lexi ola
+alexander: sasha sandy lex xander sacha
+alexandra: sasha sandra lexi ola
 aleksandra: ola sasha sandra alex
-anastasia: nastya stasia ana stacy asya
-anthony: tony ant
-benjamin: ben benji benny
-cassandra: cass cassie sandra
-christopher: chris kit topher
-daniel: dan danny dani
-desmond: des desi
+anastasia: nastya stasia stacy asya
+anthony: tony
+benjamin: benji benny
+cassandra: cassie sandra
+christopher: kit topher
+daniel: danny
+desmond: desi
 dmitri: dima mitya
 dorothea: dora thea dot dolly
-eduardo: edu lalo eddie
-edward: ed eddie ned ted teddy
-elizabeth: liz beth betty eliza lizzie bess libby
-emmanuel: manny manu emma
+eduardo: lalo eddie
+edward: eddie ned ted teddy
+elizabeth: liz beth betty lizzie bess libby
+emmanuel: manny manu
 ferenc: feri
-francisca: fran paca chica
-francisco: paco fran pancho chico kiko
-frederick: fred freddie fritz rick
+francisca: paca chica
+francisco: paco pancho chico kiko
+frederick: freddie fritz rick
 gabriel: gabe gabi
 gabriela: gabi gaby ela
-gregory: greg
-guilherme: gui guilha
-hakon: hak
-henrietta: hettie etta hetty henri
-hiroshi: hiro
+guilherme: guilha
+henrietta: hettie etta hetty
 ignacio: nacho
-ingeborg: inge inga
-isabela: isa bela bella
-jennifer: jen jenny
-johannes: hans jan hannes joh
-jonathan: jon jonny nathan
+ingeborg: inga
+isabela: bela bella
+jennifer: jenny
+johannes: hans jan hannes
+jonathan: jonny nathan
 jose: pepe chepe
-joseph: joe jo joey
-josephine: josie jo fifi
-jurgen: jurg
-katherine: kat kate kathy katie kitty
-kazimierz: kazik kaz
-kenji: ken
+joseph: joe joey
+josephine: josie fifi
+katherine: kate kathy katie kitty
+kazimierz: kazik
 lawrence: larry laurie lars
 leandro: leo
-leonard: leo len lenny
+leonard: len lenny
 ludmila: lyuda mila luda
 malgorzata: gosia malgosia
 margaret: maggie peggy meg greta
-matheus: teus mat
-matthias: matt hias
+matheus: teus
+matthias: hias
 michael: mike mick mikey
 mikhail: misha
-nathaniel: nate nat nathan
+nathaniel: nate
 nicholas: nick nico klaus
 octavio: tavo
 oliver: ollie
-ottilie: tilly otti
-patricia: pat trish patty tricia
-patrick: pat paddy
-penelope: penny pen
+ottilie: tilly
+patricia: trish patty tricia
+patrick: paddy
+penelope: penny
 percival: percy
 quentin: quin
-rafael: rafa rafe
+rafael: rafe
 rebecca: becky becca
-richard: dick rick ricky rich
-robert: bob rob bobby bert
-samuel: sam sammy
-sebastiao: seb bastian tiao
-soren: sor
-stanislaw: stan staszek stas
-tariq: tari
-theodore: theo ted teddy
+richard: dick rick ricky
+robert: bob bobby bert
+samuel: sammy
+sebastiao: bastian tiao
+stanislaw: staszek stas
+theodore: ted teddy
 therese: tess resi
-timothy: tim timmy
-tomas: tom tomek
+timothy: timmy
+tomas: tomek
 ulrich: uli
-valentin: val tino
+valentin: tino
 victoria: vicky tori
-vincent: vince vinny
-wendell: wen dell
+vincent: vinny
+wendell: dell
 wilhelmina: mina willa minnie billie
-william: will bill billy willy liam
-xavier: xavi
+william: bill billy willy liam
 yevgeni: zhenya genya
-yusuf: yus joe
-zachary: zach zack zak
+yusuf: joe
+zachary: zack zak
 zuzana: zuzka zuzi
 """
-_PET = {}
-for _line in _SHORT_FORMS.strip().splitlines():
-    _full, _pets = _line.split(": ")
-    for _pet in _pets.split():
-        _PET.setdefault(_pet, []).append(_full)
+
+
+def _by_pet(text: str) -> dict[str, list[str]]:
+    out: dict[str, list[str]] = {}
+    for line in text.strip().splitlines():
+        full, pets = line.split(": ")
+        for pet in pets.split():
+            out.setdefault(pet, []).append(full)
+    return out
+
+
+PET_FORMS = _by_pet(_SHORT_FORMS)
 
 _ASIDE = re.compile(r"""(?<!\w)["“”„«»][^"“”„«»]*["“”„«»]|(?<!\w)['‘’][^'‘’]+['‘’](?!\w)|\([^)]*\)|\[[^\]]*\]|\baka\b.*$|[*†]""", re.I | re.S)
 _CAMEL = re.compile(r"(?<=[^\W\d_A-Z])(?=[A-Z])")
@@ -187,9 +187,10 @@ OPEN_COST = 1.2
 
 
 class Reader:
-    """Reads typed names against a lexicon of given names."""
+    """Reads typed names against a lexicon of given names; ``pet_forms`` maps a pet form to the names it stands for."""
 
-    def __init__(self, given: list[str]):
+    def __init__(self, given: list[str], pet_forms: dict[str, list[str]] | None = None):
+        self.pet_forms = PET_FORMS if pet_forms is None else pet_forms
         self.given = sorted(set(given))
         self._set = set(self.given)
         self._memory: dict[str, list[tuple[str, float]]] = {}
@@ -207,7 +208,7 @@ class Reader:
             return [(token, 0.0)]
         if len(token) == 1:
             return [(g, 0.5) for g in self.given if g[0] == token]
-        found = {g: 0.25 for g in _PET.get(token, ()) if g in self._set}
+        found = {g: 0.25 for g in self.pet_forms.get(token, ()) if g in self._set}
         found |= {g: 0.3 for g in self.given if g not in found and g.startswith(token)}
         if len(token) > 2:
             for g in self.given:
@@ -297,27 +298,30 @@ def deletions(text: str, radius: int) -> set[str]:
     return out
 
 
-def cell_join(left: list[tuple[str, str]], right: list[tuple[str, str]], radius: int) -> list[tuple[int, int, int]]:
-    """(left index, right index, distance) of all pairs within the radius: an exact join of one cell."""
-    near: dict[tuple[str, str], list[int]] = {}
-    long: list[int] = []
-    for j, (g, s) in enumerate(right):
-        if len(s) > SHORT:
-            long.append(j)
-            continue
-        for d in deletions(s, radius):
-            near.setdefault((g, d), []).append(j)
-    out = []
-    for i, (g, s) in enumerate(left):
-        found = set(j for j in long if right[j][0] == g)
-        if len(s) <= SHORT + radius:
+class Cell:
+    """The points of one cell, indexed for exact radius queries: short surnames by deletion neighbourhoods, long ones as a list."""
+
+    def __init__(self, points: list[tuple[int, str, str]], radius: int):
+        self.points, self.radius = points, radius
+        self.near: dict[tuple[str, str], list[int]] = {}
+        self.long: list[int] = []
+        for j, (_, g, s) in enumerate(points):
+            if len(s) > SHORT:
+                self.long.append(j)
+                continue
             for d in deletions(s, radius):
-                found.update(near.get((g, d), ()))
+                self.near.setdefault((g, d), []).append(j)
+
+    def within(self, g: str, s: str) -> Iterator[tuple[int, int]]:
+        """(point id, distance) of all points of the given name within the radius."""
+        found = {j for j in self.long if self.points[j][1] == g}
+        if len(s) <= SHORT + self.radius:
+            for d in deletions(s, self.radius):
+                found.update(self.near.get((g, d), ()))
         for j in found:
-            n = levenshtein(s, right[j][1], radius)
-            if n <= radius:
-                out.append((i, j, n))
-    return out
+            n = levenshtein(s, self.points[j][2], self.radius)
+            if n <= self.radius:
+                yield self.points[j][0], n
 
 
 def distance(a: tuple[str, str], b: tuple[str, str], most: int = 64) -> int:
@@ -391,19 +395,19 @@ def radius_join(queries: DataFrame, points: DataFrame, radius: int = RADIUS) ->
     ordered = sides.repartition(parts, "cell").sortWithinPartitions("cell", "query")
 
     def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cell, points_here, waiting = None, [], []
-
-        def flush() -> pd.DataFrame:
-            hits = cell_join([(g, s) for _, g, s in waiting], [(g, s) for _, g, s in points_here], radius) if waiting and points_here else []
-            return pd.DataFrame([(waiting[i][0], points_here[j][0], n) for i, j, n in hits], columns=["qid", "pid", "edits"])
-
+        cell, points_here, index = None, [], None
         for p in batches:
+            hits = []
             for c, q, i, g, s in zip(p["cell"], p["query"], p["id"], p["given"], p["surname"]):
                 if c != cell:
-                    yield flush()
-                    cell, points_here, waiting = c, [], []
-                (waiting if q else points_here).append((i, g, s))
-        yield flush()
+                    cell, points_here, index = c, [], None
+                if not q:
+                    points_here.append((i, g, s))
+                    continue
+                if index is None:
+                    index = Cell(points_here, radius)
+                hits += [(i, j, n) for j, n in index.within(g, s)]
+            yield pd.DataFrame(hits, columns=["qid", "pid", "edits"])
 
     return ordered.mapInPandas(join, "qid bigint, pid bigint, edits int")
 
@@ -524,8 +528,12 @@ def _own_groups(rest: DataFrame, lexicon) -> DataFrame:
     return top.join(leaders, "pid").select("qid", F.col("next").alias("entity"), F.col("next_display").alias("display"), "cost")
 
 
+#: Spellings of one person that one task pairs.
+BLOCK_SPELLINGS = 2_000
+
+
 def spelling_pairs(linked: DataFrame) -> DataFrame:
     """``name_a < name_b`` of all different spellings of one entity; strings compare by their UTF-8 bytes, which is by code point."""
-    a = linked.select("entity", F.col("name").alias("name_a"))
-    b = linked.select("entity", F.col("name").alias("name_b"))
-    return a.join(b, "entity").where("name_a < name_b").select("name_a", "name_b")
+    sizes = linked.groupBy("entity").agg(F.count("*").alias("size"))
+    rows = linked.select("entity", "name").join(sizes.where("size > 1"), "entity")
+    return pairs_in_groups(rows, "entity", "name", "size", BLOCK_SPELLINGS).select("name_a", "name_b")
