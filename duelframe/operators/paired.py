@@ -23,7 +23,7 @@ MEASURES = ["sig_landed", "sig_attempted", "total_landed", "total_attempted", "t
 def clean_contests(df: DataFrame) -> DataFrame:
     """One row per contest: typed, with ``day`` (days since 1970), cleaned ``outcome``, ``red_win`` and length.
 
-    Rows without a date or either fighter are left out; repeated rows count once. ``outcome`` is in lower case, null where
+    Rows without a key, a date or either fighter are left out; rows with one key are copies and count once. ``outcome`` is in lower case, null where
     blank. ``duration_seconds`` and ``rounds`` come from round, clock and format. Attributes out of range stay as they are.
     Text columns "x of y" give landed and attempted; where a text is missing the numeric columns are used.
     """
@@ -44,8 +44,8 @@ def clean_contests(df: DataFrame) -> DataFrame:
         out.append(X.clock_seconds(X.clean_placeholder(get(f"{p}_ctrl"))).alias(f"{s}_ctrl_seconds"))
         out += [N.real(get(f"{p}_{c}", "double")).alias(f"{s}_{c}") for c in ("height", "reach", "weight")]
         out += [X.clean_placeholder(get(f"{p}_stance")).alias(f"{s}_stance"), get(f"{p}_dob", "date").cast("date").alias(f"{s}_dob")]
-    rows = df.select(*out).where("event_date IS NOT NULL AND red_id IS NOT NULL AND blue_id IS NOT NULL")
-    return rows.distinct()
+    rows = df.select(*out).where("bout_id IS NOT NULL AND event_date IS NOT NULL AND red_id IS NOT NULL AND blue_id IS NOT NULL")
+    return rows.dropDuplicates(["bout_id"])  # by key, so that columns a query doesn't use are neither read nor shuffled
 
 
 def strike_totals(stats: DataFrame) -> DataFrame:

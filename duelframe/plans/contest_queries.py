@@ -46,6 +46,11 @@ def long(spark: SparkSession, folder: str) -> DataFrame:
     return P.to_long(contests(spark, folder))
 
 
+def results_only(spark: SparkSession, folder: str) -> DataFrame:
+    """The long table without measures: what isn't named there isn't read."""
+    return P.to_long(contests(spark, folder), [])
+
+
 def rounded(df: DataFrame, keys: list[str], reals: list[str]) -> DataFrame:
     return df.select(*keys, *[F.round(F.col(c).cast("double"), 6).alias(c) for c in reals])
 
@@ -170,7 +175,7 @@ SELECT x.bout_id, x.side, count(*) FILTER (WHERE b.won = 1 AND (last_loss IS NUL
 FROM x LEFT JOIN l b ON b.entity = x.entity AND b.day < x.day GROUP BY x.bout_id, x.side"""
 )
 def win_loss_streak(spark, folder):
-    return H.streaks(long(spark, folder)).select("bout_id", "side", "win_streak", "loss_streak")
+    return H.streaks(results_only(spark, folder)).select("bout_id", "side", "win_streak", "loss_streak")
 
 
 _YEARS = f"coalesce((day - min(day) {_PREV}) / 365.25, 0)"
@@ -178,7 +183,7 @@ _YEARS = f"coalesce((day - min(day) {_PREV}) / 365.25, 0)"
 
 @query(_select({"years_active": _YEARS, "fights_per_year": _ratio(f"count(*) {_PREV}", _YEARS)}))
 def career_span(spark, folder):
-    return rounded(H.career_span(long(spark, folder)), ["bout_id", "side"], ["years_active", "fights_per_year"])
+    return rounded(H.career_span(results_only(spark, folder)), ["bout_id", "side"], ["years_active", "fights_per_year"])
 
 
 _SINCE = f"day - max(day) {_PREV}"
@@ -186,7 +191,7 @@ _SINCE = f"day - max(day) {_PREV}"
 
 @query(_select({"days_since_last": _SINCE, "short_turnaround": f"CASE WHEN {_SINCE} < 100 THEN 1 ELSE 0 END", "long_layoff": f"CASE WHEN {_SINCE} > 365 THEN 1 ELSE 0 END"}, round_=False))
 def layoff_flags(spark, folder):
-    return H.layoffs(long(spark, folder)).select("bout_id", "side", "days_since_last", "short_turnaround", "long_layoff")
+    return H.layoffs(results_only(spark, folder)).select("bout_id", "side", "days_since_last", "short_turnaround", "long_layoff")
 
 
 _DEC, _LATE, _FIVE = "contains(coalesce(method, ''), 'decision')", "coalesce(round >= 3, false)", "coalesce(rounds >= 5, false)"
@@ -200,7 +205,7 @@ _ENDURANCE = {
 
 @query(_select(_ENDURANCE))
 def cardio_rates(spark, folder):
-    return rounded(H.endurance(long(spark, folder)), ["bout_id", "side"], list(_ENDURANCE))
+    return rounded(H.endurance(results_only(spark, folder)), ["bout_id", "side"], list(_ENDURANCE))
 
 
 @query(
