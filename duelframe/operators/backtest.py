@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,16 +45,34 @@ def bets_at(bets: DataFrame, threshold: float) -> DataFrame:
     return bets.where((F.round("edge_threshold", 10) == F.round(F.lit(threshold), 10)) & (F.col("selected_side") != "skip"))
 
 
-def _order(by: list[str]) -> Window:
-    return Window.partitionBy(*by).orderBy("event_date", "bout_id")
+#: Days of one block of a running total.
+BLOCK_DAYS = 30
+
+
+def running(df: DataFrame, by: list[str], value: str, out: str, fold: Callable[[str], Column] = F.sum, upto: int = 0) -> DataFrame:
+    """``df`` with ``out``: the sum (or max, or product) of a value so far in date order within its group.
+
+    A group is folded per block of days, which aggregates map-side, and blocks are chained by their totals; so a group of
+    any size is many tasks. ``upto`` -1 leaves the row itself out. Null where nothing comes before.
+    """
+    rows = df.withColumn("__b", F.floor(F.unix_date(F.col("event_date").cast("date")) / BLOCK_DAYS))
+    keys = [*by, "__b"]
+    totals = rows.groupBy(*keys).agg(fold(value).alias("__t"))
+    before = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = totals.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(keys)], fold("__t").over(before).alias("__e"))
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(keys)])
+    own = fold(value).over(Window.partitionBy(*keys).orderBy("event_date", "bout_id").rowsBetween(Window.unboundedPreceding, upto))
+    joined = rows.join(earlier, same).withColumn("__o", own)
+    both = {F.sum: F.col("__e") + F.col("__o"), F.max: F.greatest("__e", "__o"), F.product: F.col("__e") * F.col("__o")}[fold]
+    value_so_far = F.when(F.col("__e").isNull(), F.col("__o")).when(F.col("__o").isNull(), F.col("__e")).otherwise(both)
+    return joined.select(*df.columns, value_so_far.alias(out))
 
 
 def flat_profit(bets: DataFrame, by: tuple[str, ...] = ("edge_threshold",)) -> DataFrame:
     """Stake 1 on each decided bet: ``profit`` and ``cumulative_profit`` in date order within a threshold."""
     placed = bets.where("selected_side != 'skip' AND bet_won IS NOT NULL")
     profit = F.when(F.col("bet_won"), F.col("selected_decimal_odds") - 1).otherwise(-1.0)
-    w = _order([*by]).rowsBetween(Window.unboundedPreceding, 0)
-    return placed.select("*", F.lit(1.0).alias("stake"), profit.alias("profit")).withColumn("cumulative_profit", F.sum("profit").over(w))
+    return running(placed.select("*", F.lit(1.0).alias("stake"), profit.alias("profit")), [*by], "profit", "cumulative_profit")
 
 
 def kelly(bets: DataFrame, fractions: tuple[float, ...] = FRACTIONS, bankroll: float = BANKROLL, cap: float = CAP) -> DataFrame:
@@ -65,16 +86,16 @@ def kelly(bets: DataFrame, fractions: tuple[float, ...] = FRACTIONS, bankroll: f
     full = F.when(b > 0, F.least(F.greatest((b * p - (1 - p)) / b, F.lit(0.0)), F.lit(cap))).otherwise(0.0)
     rows = placed.withColumn("full_kelly_fraction", full).withColumn("fraction_of_bankroll", F.col("full_kelly_fraction") * F.col("kelly_fraction"))
     growth = 1 + F.col("fraction_of_bankroll") * F.when(F.col("bet_won"), b).otherwise(-1.0)
-    w = _order(["edge_threshold", "kelly_fraction"])
-    rows = rows.withColumn("__g", growth).withColumn("bankroll", bankroll * F.product("__g").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    previous = F.coalesce(F.lag("bankroll").over(w), F.lit(bankroll))
-    return rows.select(*[c for c in rows.columns if c != "__g"], (previous * F.col("fraction_of_bankroll")).alias("stake"), (F.col("bankroll") - previous).alias("profit"))
+    grown = running(rows.withColumn("__g", growth), ["edge_threshold", "kelly_fraction"], "__g", "__before", F.product, -1)
+    previous = bankroll * F.coalesce("__before", F.lit(1.0))
+    after = previous * F.col("__g")
+    return grown.select(*rows.columns, after.alias("bankroll"), (previous * F.col("fraction_of_bankroll")).alias("stake"), (after - previous).alias("profit"))
 
 
 def drawdown(df: DataFrame, by: list[str], equity: str = "cumulative_profit") -> DataFrame:
     """Greatest fall of the equity from its peak so far; the first peak is the first equity, not the start."""
-    w = _order(by).rowsBetween(Window.unboundedPreceding, 0)
-    return df.select(*by, (F.max(equity).over(w) - F.col(equity)).alias("d")).groupBy(*by).agg(F.max("d").alias("max_drawdown"))
+    peaks = running(df.select(*by, "event_date", "bout_id", equity), by, equity, "__peak", F.max)
+    return peaks.groupBy(*by).agg(F.max(F.col("__peak") - F.col(equity)).alias("max_drawdown"))
 
 
 def summary(bets: DataFrame, by: list[str], equity: str = "cumulative_profit") -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from duelframe.functions.numeric import BUCKETS, bucket
-from duelframe.operators.backtest import drawdown
+from duelframe.operators.backtest import drawdown, running
+from duelframe.operators.metrics import ranked
 
 SEGMENTS = {"odds": "selected_decimal_odds", "market": "selected_market_prob", "model": "selected_model_prob", "edge": "selected_edge"}
 
@@ -30,8 +31,7 @@ def segment(bets: DataFrame, kind: str) -> DataFrame:
     label = F.col("selected_side") if kind == "side" else bucket(F.col(SEGMENTS[kind]), kind)
     rows = bets.withColumn("bucket", label)
     agg = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.col("bet_won").cast("int")).alias("won"), F.sum("profit").alias("sum_profit"), F.sum("stake").alias("sum_stake"), F.avg("selected_edge").alias("avg_edge"), F.avg("selected_decimal_odds").alias("avg_odds"))
-    within = rows.withColumn("e", F.sum("profit").over(Window.partitionBy("bucket").orderBy("event_date", "bout_id").rowsBetween(Window.unboundedPreceding, 0)))
-    falls = drawdown(within, ["bucket"], "e")
+    falls = drawdown(running(rows, ["bucket"], "profit", "e"), ["bucket"], "e")
     stats = agg.join(falls, agg["bucket"].eqNullSafe(falls["bucket"])).drop(falls["bucket"])
     every = _all_buckets(bets, kind)
     out = every.join(stats, "bucket", "full")
@@ -69,12 +69,24 @@ def months_and_quarters(bets: DataFrame) -> DataFrame:
     return grouped.select(F.when(F.col("g") == 0, "month").otherwise("quarter").alias("period_kind"), F.coalesce("month", "quarter").alias("period"), "n_bets", "wins", "total_profit", "roi")
 
 
+#: Bets that one task rolls over.
+ROLL_ROWS = 100_000
+
+
 def rolling_return(bets: DataFrame, by: list[str], width: int = 50, least: int = 10) -> DataFrame:
-    """Number of the bet, running profit, and the return over the last ``width`` bets (null before ``least``) in date order."""
-    w = Window.partitionBy(*by).orderBy("event_date", "bout_id")
-    last = w.rowsBetween(1 - width, 0)
-    roi = F.when(F.count("*").over(last) >= least, F.sum("profit").over(last) / F.sum("stake").over(last))
-    return bets.select("*", F.row_number().over(w).alias("bet_number"), F.sum("profit").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("running_profit"), roi.alias("rolling_roi"))
+    """Number of the bet, running profit, and the return over the last ``width`` bets (null before ``least``) in date order.
+
+    Bets are numbered by a range-partitioned sort and rolled over in blocks of numbers; a block also gets the ``width`` - 1
+    bets before it.
+    """
+    rows = ranked(running(bets, by, "profit", "running_profit"), by, ["event_date", "bout_id"]).drop("n")
+    block = F.floor((F.col("r") - 1) / ROLL_ROWS)
+    late = (F.col("r") - 1) % ROLL_ROWS >= ROLL_ROWS - (width - 1)
+    places = F.when(late, F.array(F.struct(block.alias("b"), F.lit(True).alias("own")), F.struct((block + 1).alias("b"), F.lit(False).alias("own")))).otherwise(F.array(F.struct(block.alias("b"), F.lit(True).alias("own"))))
+    spread = rows.select("*", F.inline(places))
+    last = Window.partitionBy(*by, "b").orderBy("r").rowsBetween(1 - width, 0)
+    roi = F.when(F.col("r") >= least, F.sum("profit").over(last) / F.sum("stake").over(last))
+    return spread.withColumn("rolling_roi", roi).where("own").drop("b", "own").withColumnRenamed("r", "bet_number")
 
 
 def missingness(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from duelframe.runtime import checkpoint
 
 TINY = 2.220446049250313e-16
+#: Slices of the probabilities for the AUC.
+SLICES = 4096
 
 
 def _log_loss(y: Column, p: Column) -> Column:
@@ -24,16 +26,21 @@ def confusion(df: DataFrame, by: list[str], label: str = "label", predicted: str
 def evaluate(df: DataFrame, by: list[str], label: str = "label", p: str = "p") -> DataFrame:
     """Log loss, AUC (null with one class), Brier score, accuracy, precision, recall and F1 of each group.
 
-    Rows without a label or probability are left out. The AUC comes from counts per distinct probability: those with a
-    lower one are summed by a window over distinct values, which may still be many; groups are the partitions.
+    Rows without a label or probability are left out; the groups' keys must not be null. The AUC comes from counts per
+    distinct probability: negatives with a lower one are those of the lower slices of [0, 1] and those before in the slice.
     """
     rows = df.where(F.col(label).isNotNull() & F.col(p).isNotNull())
     y, q = F.col(label) == 1, F.col(p) >= 0.5
     n = lambda c: F.sum(F.when(c, 1).otherwise(0))
     base = rows.groupBy(*by).agg(F.count("*").alias("n"), n(y).alias("n_pos"), _log_loss(F.col(label), F.col(p)).alias("log_loss"), F.avg((F.col(p) - F.col(label)) ** 2).alias("brier"), F.avg((y == q).cast("int")).alias("accuracy"), n(y & q).alias("tp"), n(~y & q).alias("fp"), n(y & ~q).alias("fn"))
     values = rows.groupBy(*by, p).agg(F.sum(F.when(y, 1).otherwise(0)).alias("pos"), F.sum(F.when(y, 0).otherwise(1)).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.partitionBy(*by).orderBy(p).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    area = values.select(*by, (F.col("pos") * (below + F.col("neg") / 2)).alias("a")).groupBy(*by).agg(F.sum("a").alias("a"))
+    values = values.withColumn("__b", F.floor(F.col(p) * SLICES))
+    slices = values.groupBy(*by, "__b").agg(F.sum("neg").alias("neg_in"))
+    up = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    offsets = slices.select(*by, "__b", F.coalesce(F.sum("neg_in").over(up(Window.partitionBy(*by).orderBy("__b"))), F.lit(0)).alias("below"))
+    within = F.coalesce(F.sum("neg").over(up(Window.partitionBy(*by, "__b").orderBy(p))), F.lit(0))
+    placed = values.withColumn("within", within).join(offsets, [*by, "__b"])
+    area = placed.select(*by, (F.col("pos") * (F.col("below") + F.col("within") + F.col("neg") / 2)).alias("a")).groupBy(*by).agg(F.sum("a").alias("a"))
     joined = base.join(area, by) if by else base.crossJoin(area)
     safe = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
     precision, recall = safe(F.col("tp"), F.col("tp") + F.col("fp")), safe(F.col("tp"), F.col("tp") + F.col("fn"))
@@ -54,7 +61,7 @@ def ranked(df: DataFrame, by: list[str], order: list[str], partitions: int | Non
     sizes = placed.groupBy(*by, "__p").agg(F.count("*").alias("__k"), F.min("__m").alias("__first"))
     w = Window.partitionBy(*by)
     offsets = sizes.select(*by, "__p", "__first", F.coalesce(F.sum("__k").over(w.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__o"), F.sum("__k").over(w).alias("n"))  # one row per group and partition
-    return placed.join(F.broadcast(offsets), [*by, "__p"]).withColumn("r", F.col("__o") + F.col("__m") - F.col("__first") + 1).drop("__p", "__m", "__first", "__o")
+    return placed.join(offsets, [*by, "__p"]).withColumn("r", F.col("__o") + F.col("__m") - F.col("__first") + 1).drop("__p", "__m", "__first", "__o")
 
 
 def quantile_bin(bins: int = 10) -> Column:
