@@ -29,7 +29,7 @@ class Rules:
     date: float = 1.0  # far dates -> not the same
     prior: float = 0.4  # nothing is the same without a reason
     transitive: float = 0.5  # a bet's quotes that are alike are all its contest's, or none is
-    rho: float = 2.0
+    rho: float = 4.0
     rounds: int = 24
     #: Rounds between two checkpoints, after which the solver may stop.
     together: int = 6
