@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from duelframe.runtime import checkpoint
+
 #: Edge thresholds, Kelly fractions, cap of a full Kelly stake, starting bankroll.
 THRESHOLDS = (0.0, 0.02, 0.05, 0.08, 0.10)
 FRACTIONS, CAP, BANKROLL = (0.25, 0.5), 0.25, 1000.0
@@ -55,7 +57,8 @@ def running(df: DataFrame, by: list[str], value: str, out: str, fold: Callable[[
     A group is folded per block of days, which aggregates map-side, and blocks are chained by their totals; so a group of
     any size is many tasks. ``upto`` -1 leaves the row itself out. Null where nothing comes before.
     """
-    rows = df.withColumn("__b", F.floor(F.unix_date(F.col("event_date").cast("date")) / BLOCK_DAYS))
+    # both sides of the join below come from these rows: without the checkpoint each nested total would double the work
+    rows = checkpoint(df.withColumn("__b", F.floor(F.unix_date(F.col("event_date").cast("date")) / BLOCK_DAYS)))
     keys = [*by, "__b"]
     totals = rows.groupBy(*keys).agg(fold(value).alias("__t"))
     before = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)

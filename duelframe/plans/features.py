@@ -54,9 +54,9 @@ def histories(contests: DataFrame, n: int = 2, half_life: float = 365.0, legacy_
     long = P.to_long(contests)
     rows = D.career_rates(H.career_totals(long, legacy_duration))
     rows = checkpoint(D.power(rows))
-    rows = H.streaks(H.career_span(H.layoffs(H.endurance(rows))))
-    rows = D.momentum(H.decayed(H.last_n(rows, n), half_life), n)
-    rows = checkpoint(rows)
+    # each step joins rows with their own daily sums: without a cut between steps every step would double the work
+    for step in (H.endurance, H.layoffs, H.career_span, H.streaks, lambda d: H.last_n(d, n), lambda d: D.momentum(H.decayed(d, half_life), n)):
+        rows = checkpoint(step(rows))
     rows = H.past_opponents(rows, ["win_pct", "total_wins", "total_fights", "power_index", "durability_index", "vulnerability_index"])
     return rows.select("*", (F.col("power_index") - F.col("avg_opponent_vulnerability_index")).alias("opponent_adjusted_power"))
 
