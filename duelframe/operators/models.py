@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Callable
+from functools import reduce
 from itertools import combinations
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Model, Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
@@ -16,13 +19,19 @@ from pyspark.sql import functions as F
 
 from duelframe.functions import numeric as N
 from duelframe.operators import metrics as M
+from duelframe.runtime import checkpoint
 
 #: The final models' settings and the spaces that the searches draw from.
 LOGISTIC = {"C": 10.0, "l1_ratio": 0.8, "max_iter": 500}
 FOREST = {"numTrees": 60, "maxDepth": 8, "featureSubsetStrategy": "0.3", "minInstancesPerNode": 5, "subsamplingRate": 1.0}
 BOOST = {"maxIter": 60, "maxDepth": 2, "stepSize": 0.05, "subsamplingRate": 0.8, "minInstancesPerNode": 5}
-FOREST_SPACE = {"numTrees": (40, 80, 120), "maxDepth": (4, 6, 8, 12), "featureSubsetStrategy": ("sqrt", "log2", "0.3", "0.5"), "minInstancesPerNode": (1, 2, 5, 10, 20)}
-BOOST_SPACE = {"maxIter": (40, 80, 120), "maxDepth": (2, 3, 4), "stepSize": (0.01, 0.03, 0.05, 0.1), "subsamplingRate": (0.6, 0.8, 1.0), "minInstancesPerNode": (1, 5, 10)}
+#: The searches' spaces are the reference's, as far as Spark ML has them: 30 is its deepest tree, "entropy" is also the
+#: reference's "log_loss", "balanced" its "balanced_subsample". There is no least size of a split node (forest) and no
+#: reg_lambda and reg_alpha (boost); features are drawn for each node, not for each boosted tree.
+FOREST_SPACE = {"numTrees": (200, 300, 500, 800, 1200), "maxDepth": (2, 3, 4, 5, 6, 8, 10, 12, 15, 30), "minInstancesPerNode": (1, 2, 5, 10, 20, 40), "featureSubsetStrategy": ("sqrt", "log2", "0.3", "0.5", "0.7", "all"), "impurity": ("gini", "entropy", "entropy"), "class_weight": (None, "balanced", "balanced")}
+BOOST_SPACE = {"maxIter": (100, 300, 500), "maxDepth": (2, 3, 4, 5), "stepSize": (0.01, 0.03, 0.05, 0.1), "subsamplingRate": (0.7, 0.85, 1.0), "featureSubsetStrategy": ("0.7", "0.85", "all"), "minInstancesPerNode": (1, 3, 5)}
+#: Settings of a search that are fitted at once: a forest's trees pass through the driver.
+AT_ONCE = 3
 
 
 class Scaler:
@@ -79,13 +88,26 @@ def fit_logistic(df: DataFrame, features: list[str], label: str = "red_win", C:
     return Fitted(features, scaler, model.fit(scaler.apply(df)), True)
 
 
-def fit_forest(df: DataFrame, features: list[str], label: str = "red_win", seed: int = 42, **settings) -> Fitted:
-    scaler = Scaler.fit(df, features)
-    return Fitted(features, scaler, RandomForestClassifier(labelCol=label, seed=seed, **(FOREST | settings)).fit(scaler.apply(df, False)), False)
+def _per_node(strategy: str, n: int) -> str:
+    """How many of n features a node draws, rounded down as in the reference; Spark ML would round up."""
+    named = {"sqrt": math.sqrt(n), "log2": math.log2(n), "all": n}
+    return str(max(1, int(named[strategy] if strategy in named else float(strategy) * n)))
 
 
-def fit_boost(df: DataFrame, features: list[str], label: str = "red_win", seed: int = 42, **settings) -> Fitted:
-    scaler = Scaler.fit(df, features)
+def fit_forest(df: DataFrame, features: list[str], label: str = "red_win", seed: int = 42, scaler: Scaler | None = None, class_weight: str | None = None, **settings) -> Fitted:
+    """``class_weight`` "balanced": both classes weigh the same in all."""
+    scaler, settings = scaler or Scaler.fit(df, features), FOREST | settings
+    settings["featureSubsetStrategy"] = _per_node(settings["featureSubsetStrategy"], len(features))
+    rows = scaler.apply(df, False)
+    if class_weight:
+        n = {r[label]: r["count"] for r in df.groupBy(label).count().collect()}
+        weights = [x for k, c in n.items() for x in (F.lit(k), F.lit(sum(n.values()) / (len(n) * c)))]
+        rows, settings["weightCol"] = rows.withColumn("__weight", F.create_map(*weights)[F.col(label)]), "__weight"
+    return Fitted(features, scaler, RandomForestClassifier(labelCol=label, seed=seed, **settings).fit(rows), False)
+
+
+def fit_boost(df: DataFrame, features: list[str], label: str = "red_win", seed: int = 42, scaler: Scaler | None = None, **settings) -> Fitted:
+    scaler = scaler or Scaler.fit(df, features)
     return Fitted(features, scaler, GBTClassifier(labelCol=label, seed=seed, **(BOOST | settings)).fit(scaler.apply(df, False)), False)
 
 
@@ -155,18 +177,27 @@ def sample_settings(space: dict[str, tuple], n: int, seed: int = 42) -> list[dic
     draw, out = random.Random(seed), {}
     total = 1
     for values in space.values():
-        total *= len(values)
+        total *= len(set(values))
     while len(out) < min(n, total):
         pick = {k: draw.choice(v) for k, v in space.items()}
         out[tuple(map(str, pick.values()))] = pick
     return list(out.values())
 
 
-def random_search(train: DataFrame, validation: DataFrame, features: list[str], family: str, n: int = 10, seed: int = 42) -> list[dict]:
-    """Metrics of n random settings, best log loss first."""
-    space = {"forest": FOREST_SPACE, "boost": BOOST_SPACE}[family]
+def random_search(train: DataFrame, validation: DataFrame, features: list[str], family: str, n: int = 100, seed: int = 42, space: dict[str, tuple] | None = None, label: str = "red_win") -> list[dict]:
+    """Metrics of n random settings, best log loss first; the predictions of all settings are judged together."""
+    picks = sample_settings(space or {"forest": FOREST_SPACE, "boost": BOOST_SPACE}[family], n, seed)
     train, validation = train.cache(), validation.cache()
-    rows = [{"settings": s, **fit_and_evaluate(train, validation, features, str(i), family, **s)} for i, s in enumerate(sample_settings(space, n, seed))]
+    scaler = Scaler.fit(train, features)
+
+    def predicted(i: int) -> DataFrame:
+        fitted = FAMILIES[family](train, features, label, scaler=scaler, **picks[i])
+        return checkpoint(fitted.predict(validation).select(F.lit(i).alias("setting"), F.col(label).alias("label"), "p"))
+
+    with ThreadPool(AT_ONCE) as pool:
+        tables = pool.map(predicted, range(len(picks)), 1)
+    found = {r["setting"]: r.asDict() for r in M.evaluate(checkpoint(reduce(DataFrame.unionByName, tables)), ["setting"]).collect()}
+    rows = [{"settings": s, "name": str(i), "n_features": len(features), "features": features, **{k: v for k, v in found[i].items() if k != "setting"}} for i, s in enumerate(picks)]
     return sorted(rows, key=lambda r: r["log_loss"])
 
 

@@ -80,11 +80,20 @@ def set_comparison(spark: SparkSession, folder: str) -> DataFrame:
     return _table(spark, models.compare_sets(rows.where("split = 'train'"), rows.where("split = 'validation'"), sets, max_iter=100))
 
 
-def forest_search(spark: SparkSession, folder: str) -> DataFrame:
+def _search(spark: SparkSession, folder: str, family: str) -> DataFrame:
     rows = _modelling(spark, folder)
     names = features.feature_set("final", rows.columns)
-    found = models.random_search(rows.where("split = 'train'"), rows.where("split = 'validation'"), names, "forest", n=2)
-    return _table(spark, found)
+    return _table(spark, models.random_search(rows.where("split = 'train'"), rows.where("split = 'validation'"), names, family))
+
+
+def forest_search(spark: SparkSession, folder: str) -> DataFrame:
+    """Validation metrics of 100 random forest settings, best first."""
+    return _search(spark, folder, "forest")
+
+
+def boost_search(spark: SparkSession, folder: str) -> DataFrame:
+    """Validation metrics of 100 random settings of boosted trees, best first."""
+    return _search(spark, folder, "boost")
 
 
 def walk_forward_comparison(spark: SparkSession, folder: str) -> DataFrame:
@@ -124,7 +133,7 @@ def event_windows(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(F.date_format("window_start", "yyyy-MM-dd").alias("window_day"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-QUERIES = {f.__name__: f for f in (feature_table, logistic_fit, logistic_coefficients, family_comparison, set_comparison, forest_search, walk_forward_comparison, leakage_audit, metric_audit, bet_audit, prediction_audit, event_windows)}
+QUERIES = {f.__name__: f for f in (feature_table, logistic_fit, logistic_coefficients, family_comparison, set_comparison, forest_search, boost_search, walk_forward_comparison, leakage_audit, metric_audit, bet_audit, prediction_audit, event_windows)}
 ORACLES = {
     "metric_audit": "SELECT 'all' AS part, unnest(['n', 'log_loss', 'roc_auc', 'brier', 'accuracy', 'precision', 'recall', 'f1']) AS metric, true AS passed",
     "bet_audit": f"WITH {contest_queries.BETS_SQL} SELECT 'flat' AS kind, count(*) AS n_bets, 0::BIGINT AS wrong_profit, 0::BIGINT AS negative_stakes, 0::BIGINT AS above_cap FROM fl UNION ALL SELECT 'kelly', 2 * count(*), 0, 0, 0 FROM fl",

@@ -1,8 +1,10 @@
+import inspect
+
 import pytest
 from pyspark.sql import functions as F
 
 from duelframe.operators import models
-from duelframe.plans import audit
+from duelframe.plans import audit, model_queries
 from duelframe.sources import io
 from duelframe.streaming.history import stream_states
 
@@ -86,3 +88,24 @@ def test_stream_equals_batch(spark, tmp_path):
     q.stop()
     got = {(r.entity, r.bout_id): (r.total_fights, r.total_wins, r.win_streak, r.loss_streak, r.days_since_last) for r in spark.table("states").collect()}
     assert got == {(1, 7): (0, 0, 0, 0, None), (1, 8): (0, 0, 0, 0, None), (2, 7): (0, 0, 0, 0, None), (1, 9): (2, 1, 1, 0, 50), (1, 10): (3, 1, 0, 1, 50)}
+
+
+def test_search_is_whole(learnable, monkeypatch):
+    picks = models.sample_settings(models.FOREST_SPACE, 100)
+    assert len(picks) == 100 and {p["numTrees"] for p in picks} == {200, 300, 500, 800, 1200} and {p["class_weight"] for p in picks} == {None, "balanced"}
+    assert models._per_node("sqrt", 12) == models._per_node("0.3", 12) == "3"
+    asked = []
+    monkeypatch.setattr(model_queries, "_modelling", lambda *_: learnable.withColumn("split", F.lit("train")))
+    monkeypatch.setattr(models, "random_search", lambda *a, n=inspect.signature(models.random_search).parameters["n"].default, **_: asked.append((a[3], n)) or [{"log_loss": 0.5}])
+    for query in (model_queries.forest_search, model_queries.boost_search):
+        query(learnable.sparkSession, "")
+    assert asked == [("forest", 100), ("boost", 100)]
+
+
+def test_search_judges_each_setting(learnable):
+    train, rest = learnable.where("id < 400"), learnable.where("id >= 400")
+    space = {"numTrees": (3, 5), "maxDepth": (2,), "class_weight": (None, "balanced")}
+    found = models.random_search(train, rest, ["a", "b", "c"], "forest", 9, space=space)
+    assert len(found) == 4 and [r["log_loss"] for r in found] == sorted(r["log_loss"] for r in found)
+    alone = models.score(models.fit_forest(train, ["a", "b", "c"], **found[0]["settings"]).predict(rest))
+    assert alone["log_loss"] == pytest.approx(found[0]["log_loss"], rel=1e-9) and alone["n"] == found[0]["n"]
