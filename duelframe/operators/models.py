@@ -23,8 +23,8 @@ from duelframe.runtime import checkpoint
 
 #: The final models' settings and the spaces that the searches draw from.
 LOGISTIC = {"C": 10.0, "l1_ratio": 0.8, "max_iter": 500}
-FOREST = {"numTrees": 60, "maxDepth": 8, "featureSubsetStrategy": "0.3", "minInstancesPerNode": 5, "subsamplingRate": 1.0}
-BOOST = {"maxIter": 60, "maxDepth": 2, "stepSize": 0.05, "subsamplingRate": 0.8, "minInstancesPerNode": 5}
+FOREST = {"numTrees": 800, "maxDepth": 12, "featureSubsetStrategy": "0.3", "minInstancesPerNode": 1, "subsamplingRate": 1.0, "impurity": "entropy", "class_weight": "balanced"}
+BOOST = {"maxIter": 300, "maxDepth": 2, "stepSize": 0.01, "subsamplingRate": 0.85, "minInstancesPerNode": 5}
 #: The searches' spaces are the reference's, as far as Spark ML has them: 30 is its deepest tree, "entropy" is also the
 #: reference's "log_loss", "balanced" its "balanced_subsample". There is no least size of a split node (forest) and no
 #: reg_lambda and reg_alpha (boost); features are drawn for each node, not for each boosted tree.
@@ -94,12 +94,12 @@ def _per_node(strategy: str, n: int) -> str:
     return str(max(1, int(named[strategy] if strategy in named else float(strategy) * n)))
 
 
-def fit_forest(df: DataFrame, features: list[str], label: str = "red_win", seed: int = 42, scaler: Scaler | None = None, class_weight: str | None = None, **settings) -> Fitted:
-    """``class_weight`` "balanced": both classes weigh the same in all."""
+def fit_forest(df: DataFrame, features: list[str], label: str = "red_win", seed: int = 42, scaler: Scaler | None = None, **settings) -> Fitted:
+    """The setting ``class_weight`` "balanced": both classes weigh the same in all."""
     scaler, settings = scaler or Scaler.fit(df, features), FOREST | settings
     settings["featureSubsetStrategy"] = _per_node(settings["featureSubsetStrategy"], len(features))
     rows = scaler.apply(df, False)
-    if class_weight:
+    if settings.pop("class_weight"):
         n = {r[label]: r["count"] for r in df.groupBy(label).count().collect()}
         weights = [x for k, c in n.items() for x in (F.lit(k), F.lit(sum(n.values()) / (len(n) * c)))]
         rows, settings["weightCol"] = rows.withColumn("__weight", F.create_map(*weights)[F.col(label)]), "__weight"

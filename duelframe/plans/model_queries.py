@@ -36,9 +36,9 @@ def feature_table(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _modelling(spark: SparkSession, folder: str) -> DataFrame:
-    """The final features and a market probability with splits, materialised once."""
+    """The features of all sets and a market probability with splits, materialised once."""
     rows = feature_table(spark, folder)
-    names = list(dict.fromkeys([*features.feature_set("final", rows.columns), *features.feature_set("cardio", rows.columns), *features.feature_set("elo", rows.columns), *features.feature_set("recent", rows.columns)]))
+    names = list(dict.fromkeys(f for s in features.FEATURE_SETS for f in features.feature_set(s, rows.columns)))
     market = contest_queries.merged(spark, folder).select("bout_id", F.col("red_implied_prob_novig").alias("market"))
     kept = rows.select("bout_id", "event_date", "red_win", *names).join(market, "bout_id", "left")
     return checkpoint(S.chronological_split(kept))
@@ -70,14 +70,14 @@ def family_comparison(spark: SparkSession, folder: str) -> DataFrame:
     """Test metrics of the three model families with the same features."""
     rows = _modelling(spark, folder)
     names, train, test = features.feature_set("final", rows.columns), S.train_and_validation(rows), rows.where("split = 'test'")
-    settings = {"logistic": {}, "forest": {"numTrees": 20, "maxDepth": 6}, "boost": {"maxIter": 15}}
-    return _table(spark, [models.fit_and_evaluate(train, test, names, f, f, **s) for f, s in settings.items()])
+    return _table(spark, [models.fit_and_evaluate(train, test, names, f, f) for f in models.FAMILIES])
 
 
 def set_comparison(spark: SparkSession, folder: str) -> DataFrame:
+    """Validation metrics of the logistic model with each feature set."""
     rows = _modelling(spark, folder)
-    sets = {n: features.feature_set(n, rows.columns) for n in ("final", "cardio", "elo", "recent")}
-    return _table(spark, models.compare_sets(rows.where("split = 'train'"), rows.where("split = 'validation'"), sets, max_iter=100))
+    sets = {n: features.feature_set(n, rows.columns) for n in features.FEATURE_SETS}
+    return _table(spark, models.compare_sets(rows.where("split = 'train'"), rows.where("split = 'validation'"), sets))
 
 
 def _search(spark: SparkSession, folder: str, family: str) -> DataFrame:
@@ -97,9 +97,9 @@ def boost_search(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def walk_forward_comparison(spark: SparkSession, folder: str) -> DataFrame:
-    """Methods against the market over all folds; logistic models."""
+    """Methods against the market over all folds; random forests."""
     rows = _modelling(spark, folder)
-    panel = walkforward.research(rows, features.feature_set("final", rows.columns), "logistic", least=(100, 20, 20), max_iter=50)
+    panel = walkforward.research(rows, features.feature_set("final", rows.columns), least=(100, 20, 20))
     return walkforward.compare(panel)
 
 

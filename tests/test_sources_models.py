@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from duelframe.operators import models
-from duelframe.plans import audit, model_queries
+from duelframe.plans import audit, features, model_queries
 from duelframe.sources import io
 from duelframe.streaming.history import stream_states
 
@@ -109,3 +109,17 @@ def test_search_judges_each_setting(learnable):
     assert len(found) == 4 and [r["log_loss"] for r in found] == sorted(r["log_loss"] for r in found)
     alone = models.score(models.fit_forest(train, ["a", "b", "c"], **found[0]["settings"]).predict(rest))
     assert alone["log_loss"] == pytest.approx(found[0]["log_loss"], rel=1e-9) and alone["n"] == found[0]["n"]
+
+
+def test_comparisons_are_whole(learnable, monkeypatch):
+    assert (models.FOREST["numTrees"], models.FOREST["maxDepth"], models.BOOST["maxIter"]) == (800, 12, 300)
+    columns = [f.format(n=2) for s in features.FEATURE_SETS.values() for f in s]
+    rows = learnable.select("red_win", F.lit("train").alias("split"), F.lit(0.5).alias("market"), *[F.lit(0.0).alias(c) for c in dict.fromkeys(columns)])
+    asked = []
+    monkeypatch.setattr(model_queries, "_modelling", lambda *_: rows)
+    monkeypatch.setattr(models, "fit_and_evaluate", lambda a, b, f, name="", family="logistic", **s: asked.append((name, family, s)) or {"name": name, "log_loss": 0.5})
+    monkeypatch.setattr(model_queries.walkforward, "research", lambda d, f, family="forest", least=None, **s: asked.append(("walk", family, s)) or rows)
+    monkeypatch.setattr(model_queries.walkforward, "compare", lambda panel: panel)
+    for query in (model_queries.family_comparison, model_queries.set_comparison, model_queries.walk_forward_comparison):
+        query(learnable.sparkSession, "")
+    assert asked == [(f, f, {}) for f in models.FAMILIES] + [(n, "logistic", {}) for n in features.FEATURE_SETS] + [("walk", "forest", {})]
