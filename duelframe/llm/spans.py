@@ -211,16 +211,21 @@ def _backward(x: str, i: int, y: str, j: int) -> int:
         step *= 2
 
 
-def maximal_matches(x: str, y: str, seeds: list[tuple[int, int]], dense: bool, min_chars: int) -> list[tuple[int, int, int]]:
-    """The seeds (place in x, place in y) grown to maximal equal runs: (start in x, start in y, length).
-
-    ``dense``: some seed stands in a text more often than its places are kept; then the runs of min_chars are found by
-    comparing all their hashes instead.
-    """
-    if dense:
-        cx, cy = (np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in (x, y))
-        _, ix, iy = np.intersect1d(kmer_hashes(cx, min_chars), kmer_hashes(cy, min_chars), return_indices=True)
-        seeds = [*seeds, *zip(ix.tolist(), iy.tolist())]
+def dense_spans(x: str, y: str, min_chars: int) -> list[tuple[int, int]]:
+    """(start, length) of every run of x whose windows of min_chars all stand somewhere in y, compared window by window."""
+    hx, hy = (kmer_hashes(np.frombuffer(t.encode("utf-32-le"), np.uint32), min_chars) for t in (x, y))
+    known, first = np.unique(hy, return_index=True)
+    rank = np.minimum(np.searchsorted(known, hx), len(known) - 1)
+    at = np.flatnonzero(known[rank] == hx)
+    same = [x[p : p + min_chars] == y[q : q + min_chars] for p, q in zip(at.tolist(), first[rank[at]].tolist())]
+    at = at[np.array(same, bool)]
+    breaks = np.flatnonzero(np.diff(at) > 1)
+    starts, ends = at[np.r_[0, breaks + 1]] if len(at) else at, at[np.r_[breaks, -1]] if len(at) else at
+    return [(s, e - s + min_chars) for s, e in zip(starts.tolist(), ends.tolist())]
+
+
+def maximal_matches(x: str, y: str, seeds: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """The seeds (place in x, place in y) grown to maximal equal runs: (start in x, start in y, length)."""
     runs: dict[int, list[tuple[int, int]]] = {}
     for i, j in sorted(seeds):
         here = runs.setdefault(i - j, [])
@@ -233,22 +238,26 @@ def maximal_matches(x: str, y: str, seeds: list[tuple[int, int]], dense: bool, m
 
 
 def _pair_batches(min_chars: int):
-    names = ["tid_a", "tid_b", "score", "fuzzy_a", "fuzzy_b", "fuzzy_end_a", "fuzzy_end_b", "same_share", "starts_a", "starts_b", "lengths"]
-    kinds = [pa.binary(), pa.binary(), pa.float64(), *[pa.int32()] * 4, pa.float64(), *[pa.list_(pa.int32())] * 3]
+    names = ["tid_a", "tid_b", "score", "fuzzy_a", "fuzzy_b", "fuzzy_end_a", "fuzzy_end_b", "same_share", "starts_a", "lengths_a", "starts_b", "lengths_b"]
+    kinds = [pa.binary(), pa.binary(), pa.float64(), *[pa.int32()] * 4, pa.float64(), *[pa.list_(pa.int32())] * 4]
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for a, b, seeds, dense, x, y in zip(*[c.to_pylist() for c in batch.columns]):
-                matches = maximal_matches(x, y, sorted({(i, j) for m in seeds for i in m["pa"] for j in m["pb"]}), dense, min_chars)
+                matches = maximal_matches(x, y, sorted({(i, j) for m in seeds for i in m["pa"] for j in m["pb"]}))
                 if not matches:
                     continue  # different seeds with one hash
                 score, path = chain(matches)[0]
                 (fa, fb, _), (la, lb, n) = matches[path[0]], matches[path[-1]]
                 ea, eb = la + n, lb + n
                 same = sum(matches[p][2] for p in path) / max(ea - fa, eb - fb)
-                runs = [m for m in matches if m[2] >= min_chars]
-                rows.append((a, b, score, fa, fb, ea, eb, same, [r[0] for r in runs], [r[1] for r in runs], [r[2] for r in runs]))
+                if dense:  # not all places of a seed are known
+                    runs_a, runs_b = dense_spans(x, y, min_chars), dense_spans(y, x, min_chars)
+                else:
+                    long = [m for m in matches if m[2] >= min_chars]
+                    runs_a, runs_b = [(i, n) for i, _, n in long], [(j, n) for _, j, n in long]
+                rows.append((a, b, score, fa, fb, ea, eb, same, *[[r[k] for r in runs] for runs in (runs_a, runs_b) for k in (0, 1)]))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
@@ -270,8 +279,8 @@ def matched_texts(docs: DataFrame, min_chars: int = 300, text: str = "text", k:
     """One row per pair of different texts that share a seed, with its best chain and its exact runs.
 
     Columns: ``tid_a < tid_b``; ``score`` and ends of the best chain (``fuzzy_*``), ``same_share`` of it; lists
-    ``starts_a``, ``starts_b``, ``lengths`` of the maximal equal runs of at least ``min_chars`` (empty: the passage is
-    only fuzzily shared).
+    ``starts_a``, ``lengths_a`` and ``starts_b``, ``lengths_b`` of the runs of at least ``min_chars`` of each text that the
+    other holds too (empty: the passage is only fuzzily shared).
     """
     if not 1 <= k <= min_chars:
         raise ValueError("a seed must fit into a span")
@@ -295,7 +304,7 @@ def matched_texts(docs: DataFrame, min_chars: int = 300, text: str = "text", k:
     texts = checkpoint(texts)
     left, right = (texts.select(F.col("tid").alias(f"tid_{s}"), F.col("text").alias(f"text_{s}")) for s in "ab")
     rows = packed.join(left, "tid_a").join(right, "tid_b").select("tid_a", "tid_b", "matches", "dense", "text_a", "text_b")
-    lists = ", ".join(f"{c} array<int>" for c in ("starts_a", "starts_b", "lengths"))
+    lists = ", ".join(f"{c} array<int>" for c in ("starts_a", "lengths_a", "starts_b", "lengths_b"))
     return rows.mapInArrow(_pair_batches(min_chars), f"tid_a binary, tid_b binary, score double, fuzzy_a int, fuzzy_b int, fuzzy_end_a int, fuzzy_end_b int, same_share double, {lists}")
 
 
@@ -306,7 +315,7 @@ def shared_span_pairs(docs: DataFrame, min_chars: int = 300, key: str = "doc_id"
     empty table gives no rows; texts are compared exactly as stored and whole.
     """
     members = checkpoint(distinct_texts(docs, key, text, min_chars).distinct())
-    exact = matched_texts(docs, min_chars, text, k).where(F.size("lengths") > 0).select("tid_a", "tid_b")
+    exact = matched_texts(docs, min_chars, text, k).where(F.size("lengths_a") > 0).select("tid_a", "tid_b")
     a, b = (members.select(F.col("tid").alias(f"tid_{s}"), F.col("doc").alias(f"d{s}")) for s in "ab")
     across = exact.join(a, "tid_a").join(b, "tid_b").select("da", "db")
     sizes = members.groupBy("tid").agg(F.count("*").alias("n")).where("n > 1")
@@ -322,8 +331,8 @@ def shared_share(docs: DataFrame, min_chars: int = 300, key: str = "doc_id", tex
     ``n_texts`` is the number of other texts with such a span, ``n_copies`` that of other documents with the very text.
     """
     members = checkpoint(distinct_texts(docs, key, text, min_chars).distinct())
-    matched = matched_texts(docs, min_chars, text, k).where(F.size("lengths") > 0)
-    side = lambda s: matched.select(F.col(f"tid_{s}").alias("tid"), F.col(f"tid_{'b' if s == 'a' else 'a'}").alias("other"), F.explode(F.arrays_zip(F.col(f"starts_{s}").alias("start"), F.col("lengths").alias("length"))).alias("x"))
+    matched = matched_texts(docs, min_chars, text, k).where(F.size("lengths_a") > 0)
+    side = lambda s: matched.select(F.col(f"tid_{s}").alias("tid"), F.col(f"tid_{'b' if s == 'a' else 'a'}").alias("other"), F.explode(F.arrays_zip(F.col(f"starts_{s}").alias("start"), F.col(f"lengths_{s}").alias("length"))).alias("x"))
     spans = checkpoint(side("a").unionByName(side("b")).select("tid", "other", F.col("x.start").alias("s"), (F.col("x.start") + F.col("x.length")).alias("e")))
     partners = spans.groupBy("tid").agg(F.countDistinct("other").alias("n_texts"))
     # union of the spans of a text: a span adds what lies beyond the furthest end so far

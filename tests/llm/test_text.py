@@ -170,3 +170,12 @@ def test_chain_follows_order_and_gaps():
     best = spans.chain([(0, 0, 100), (110, 112, 100), (500, 50, 100), (260, 260, 100)])
     assert best[0][1] == [0, 1, 3] and sorted(x for _, path in best for x in path) == [0, 1, 2, 3]
     assert spans.chain([(0, 0, 10), (10_000, 10_000, 10)])[0][1] in ([0], [1])
+
+
+def test_every_copy_of_a_passage_is_counted(spark):
+    draw = random.Random(3)
+    some = lambda n: "".join(draw.choices("abcdefgh ", k=n))
+    passage = some(320)
+    docs = [(1, "".join(some(50) + "#" + passage + "!" for _ in range(6))), (2, "?" + passage + "."), (3, " " * 5000), (4, " " * 300)]
+    got = {r.doc_id: r.shared_chars for r in spans.shared_share(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert got == {1: 6 * 320, 2: 320, 3: 5000, 4: 300}
