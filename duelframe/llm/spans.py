@@ -1,9 +1,9 @@
 """Long spans that stand character by character in several texts.
 
 Each distinct text gives k-mer seeds by winnowing: of every window that a span of ``min_chars`` must contain, the k-mer of
-least hash is a seed, so equal spans have equal seeds. Texts that share seeds become pairs; a pair's matches are chained
-collinearly with gap costs through a Fenwick tree, chains are aligned to fuzzy passages, and the exact runs around a
-chain's matches decide which spans are shared. Copies of one text are one text until the very end.
+least hash is a seed, so equal spans have equal seeds. Texts that share seeds become pairs; the maximal equal runs around
+their seeds decide which spans are shared. A pair's best collinear chain with gap costs is given besides, but decides
+nothing, and chains are not aligned. Copies of one text are one text until the very end.
 """
 
 from __future__ import annotations
@@ -278,7 +278,8 @@ def distinct_texts(docs: DataFrame, key: str, text: str, min_chars: int) -> Data
 def matched_texts(docs: DataFrame, min_chars: int = 300, text: str = "text", k: int = SEED_CHARS) -> DataFrame:
     """One row per pair of different texts that share a seed, with its best chain and its exact runs.
 
-    Columns: ``tid_a < tid_b``; ``score`` and ends of the best chain (``fuzzy_*``), ``same_share`` of it; lists
+    Columns: ``tid_a < tid_b``; ``score`` and ends of the best chain (``fuzzy_*``), ``same_share``, its matched
+    characters over its span (no alignment); lists
     ``starts_a``, ``lengths_a`` and ``starts_b``, ``lengths_b`` of the runs of at least ``min_chars`` of each text that the
     other holds too (empty: the passage is only fuzzily shared).
     """
