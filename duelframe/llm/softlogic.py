@@ -30,7 +30,8 @@ class Rules:
     prior: float = 0.4  # nothing is the same without a reason
     transitive: float = 0.5  # a bet's quotes that are alike are all its contest's, or none is
     rho: float = 4.0
-    rounds: int = 24
+    #: Rounds after which the solver gives up with an error.
+    rounds: int = 2400
     #: Rounds between two checkpoints, after which the solver may stop.
     together: int = 6
     close: float = 0.01
@@ -180,7 +181,10 @@ def _whole(batches: Iterator[pd.DataFrame]) -> pd.DataFrame | None:
 
 
 def solve(pairs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """``pairs`` with the optimal values ``y``: alternating directions over groups of quotes and of bets."""
+    """``pairs`` with the optimal values ``y``: alternating directions over groups of quotes and of bets.
+
+    Ends when no value of the two sides differs by ``rules.close``; RuntimeError if ``rules.rounds`` don't suffice.
+    """
     parts = parallelism(pairs.sparkSession)
 
     def by_quote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -198,15 +202,15 @@ def solve(pairs: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
     start = F.greatest(F.lit(0.0), F.col("s_name") + F.col("s_date") - 1)
     state = pairs.select("bet_id", "quote_id", "s_name", "s_date", "s_odds", "alike", "apart", start.alias("x"), start.alias("y"), F.lit(0.0).alias("u"))
-    for done in range(rules.together, rules.rounds + 1, rules.together):
+    gap = None
+    for _ in range(0, rules.rounds, rules.together):
         for _ in range(rules.together):
             state = state.repartition(parts, "quote_id").mapInPandas(by_quote, STATE).repartition(parts, "bet_id").mapInPandas(by_bet, STATE)
         state = checkpoint(state)
-        if done < rules.rounds:
-            gap = state.agg(F.max(F.abs(F.col("x") - F.col("y")))).first()[0]
-            if gap is None or gap < rules.close:
-                break
-    return state
+        gap = state.agg(F.max(F.abs(F.col("x") - F.col("y")))).first()[0]
+        if gap is None or gap < rules.close:
+            return state
+    raise RuntimeError(f"not converged after {rules.rounds} rounds: the largest gap is {gap}")
 
 
 def link(bets: DataFrame, quotes: DataFrame, people: DataFrame, rules: Rules = Rules()) -> DataFrame:

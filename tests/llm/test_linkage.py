@@ -197,3 +197,12 @@ def test_links(spark):
 def test_odds_formats(spark):
     df = spark.createDataFrame([(1.5,), (150.0,), (-200.0,), (0.0,), (float("nan"),), (None,), (-5.0,)], "o double")
     assert [r[0] for r in df.select(softlogic.decimal_odds(df.o)).collect()] == [1.5, 2.5, 1.5, None, None, None, None]
+
+
+def test_solver_ends_converged_or_says_so(spark):
+    rows = [(b, q, 0.9, 0.5 + 0.1 * b, 0.3 * q, 0.5, 0.1) for b in (1, 2, 3) for q in (1, 2, 3)]
+    pairs = spark.createDataFrame(rows, "bet_id bigint, quote_id bigint, s_name double, s_date double, s_odds double, alike double, apart double")
+    rules = softlogic.Rules(close=1e-4)
+    assert max(abs(r.x - r.y) for r in softlogic.solve(pairs, rules).collect()) < rules.close
+    with pytest.raises(RuntimeError, match="not converged"):
+        softlogic.solve(pairs, softlogic.Rules(rounds=6, close=0.0))
