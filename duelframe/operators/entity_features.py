@@ -12,19 +12,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from duelframe.runtime import parallelism
+from duelframe.runtime import checkpoint, parts_for
 
 #: Cells of one dense block (entities x types): 2M cells are 16 MB for each measure.
 BLOCK_CELLS = 2_000_000
-#: Most types for which the type index is built; beyond it the same sums are made by a JVM aggregate.
-MAX_TYPES = 65_536
-#: Records of one bucket; an entity with more is salted by record key.
+#: Records of one bucket, about; an entity with more is salted by record key.
 BUCKET_ROWS = 1_000_000
+#: Most entities that are salted, so that their list may be broadcast; more records make larger buckets instead.
+MOST_HOT = 1_000_000
 
 
 def clean_type(c: Column) -> Column:
@@ -58,7 +57,6 @@ def entity_features(
     key: str = "record_id",
     version: str = "loaded_at",
     bucket_rows: int = BUCKET_ROWS,
-    max_types: int = MAX_TYPES,
 ) -> DataFrame:
     """One row per entity: ``entity``, ``types``, ``n_records``, one list per measure and ``last_day`` (yyyymmdd).
 
@@ -66,41 +64,42 @@ def entity_features(
     0; records whose latest version has no usable type, or no entity, are left out; a null date leaves ``last_day`` null
     unless another record of the cell has one. An empty table gives no rows. Columns not named here are ignored.
 
-    Entities with more than ``bucket_rows`` records are split over several buckets by the key's hash and their partial
-    rows are merged afterwards, so that no task holds a whole hot entity.
+    There are as many buckets as hold ``bucket_rows`` records each; entities with more are split over several of them by
+    the key's hash and their partial rows are merged afterwards, so that no task holds a whole hot entity. Types are
+    indexed within a bucket, so their number has no bound.
     """
     spark = df.sparkSession
     rows = latest_versions(df.select(key, version, entity, clean_type(F.col(kind)).alias("__kind"), F.col(day).cast("date").alias("__day"), *[F.col(m).cast("long").alias(f"__m{i}") for i, m in enumerate(measures)]), key, version, [entity, "__kind", "__day", *[f"__m{i}" for i in range(len(measures))]])
     rows = rows.where(F.col("__kind").isNotNull() & F.col(entity).isNotNull())
-    # The numbers of records by entity and the types come from narrow scans that aggregate before they shuffle.
-    loads = df.where(F.col(entity).isNotNull()).groupBy(entity).count().where(F.col("count") > bucket_rows)
-    hot = [(r[0], int(r[1] // bucket_rows) + 1) for r in loads.collect()]  # at most rows / bucket_rows of them
-    kinds = sorted(r[0] for r in df.select(kind).distinct().select(clean_type(F.col(kind)).alias("k")).where("k IS NOT NULL").distinct().limit(max_types + 1).collect())
-    if len(kinds) > max_types:
-        return _by_aggregate(rows, entity, measures)
-    salt = F.lit(0)
-    for value, parts in hot:
-        salt = F.when(F.col(entity) == F.lit(value), F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")).otherwise(salt)
+    # The numbers of records come from a narrow scan that aggregates before it shuffles.
+    loads = df.where(F.col(entity).isNotNull()).groupBy(entity).count()
+    total = loads.agg(F.sum("count")).first()[0] or 0
+    bucket_rows = max(bucket_rows, -(-total // MOST_HOT))
+    # fewer than total / bucket_rows <= MOST_HOT rows of two numbers
+    hot = checkpoint(loads.where(F.col("count") > bucket_rows).select(entity, F.ceil(F.col("count") / bucket_rows).cast("int").alias("__parts")))
+    salted = rows.join(F.broadcast(hot), entity, "left")
+    salt = F.when(F.col("__parts").isNotNull(), F.pmod(F.xxhash64(key), F.col("__parts")).cast("int")).otherwise(0)
     day_no = F.year("__day") * 10000 + F.month("__day") * 100 + F.dayofmonth("__day")
-    buckets = rows.select(F.col(entity).alias("__entity"), salt.alias("__salt"), "__kind", day_no.cast("int").alias("__day"), *[f"__m{i}" for i in range(len(measures))]).repartition(parallelism(spark), "__entity", "__salt").drop("__salt")
+    buckets = salted.select(F.col(entity).alias("__entity"), salt.alias("__salt"), "__kind", day_no.cast("int").alias("__day"), *[f"__m{i}" for i in range(len(measures))]).repartition(parts_for(spark, total, bucket_rows), "__entity", "__salt").drop("__salt")
     lists = [T.StructField("n_records", T.ArrayType(T.LongType()))] + [T.StructField(f"total_{m}", T.ArrayType(T.LongType())) for m in measures] + [T.StructField("last_day", T.ArrayType(T.LongType()))]
     schema = T.StructType([T.StructField(entity, df.schema[entity].dataType), T.StructField("types", T.ArrayType(T.StringType())), *lists])
-    parts = buckets.mapInArrow(_block_folder(kinds, len(measures), [f.name for f in schema]), schema)
-    if not hot:
+    parts = buckets.mapInArrow(_block_folder(len(measures), [f.name for f in schema]), schema)
+    if hot.isEmpty():
         return parts
-    parts = parts.persist(StorageLevel.MEMORY_AND_DISK)
-    values = [v for v, _ in hot]
-    merged = long_rows(parts.where(F.col(entity).isin(values)), entity, measures)
-    return parts.where(~F.col(entity).isin(values)).unionByName(_collect_lists(merged, entity, measures))
+    parts = checkpoint(parts)
+    merged = long_rows(parts.join(F.broadcast(hot), entity, "left_semi"), entity, measures)
+    return parts.join(F.broadcast(hot), entity, "left_anti").unionByName(_collect_lists(merged, entity, measures))
 
 
-def _block_folder(kinds: list[str], n_measures: int, names: list[str]):
+def _block_folder(n_measures: int, names: list[str]):
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = pa.array(kinds, pa.string())
         entities, cells, days, values = [], [], [], [[] for _ in range(n_measures)]
+        known: dict[str, int] = {}  # the bucket's types by their index
         for batch in batches:
             entities.append(batch.column(0))
-            cells.append(pc.index_in(batch.column(1), vocabulary).to_numpy(zero_copy_only=False).astype(np.int32))
+            coded = batch.column(1).dictionary_encode()
+            index = np.array([known.setdefault(k, len(known)) for k in coded.dictionary.to_pylist()], np.int32)
+            cells.append(index[coded.indices.to_numpy(zero_copy_only=False)] if len(index) else np.empty(0, np.int32))
             days.append(pc.fill_null(batch.column(2), 0).to_numpy(zero_copy_only=False))
             for i in range(n_measures):
                 values[i].append(pc.fill_null(batch.column(3 + i), 0).to_numpy(zero_copy_only=False))
@@ -112,7 +111,12 @@ def _block_folder(kinds: list[str], n_measures: int, names: list[str]):
         values = [np.concatenate(v) for v in values]
         order = np.argsort(who, kind="stable")
         who, kind, day, values = who[order], kind[order], day[order], [v[order] for v in values]
-        width, ids = len(kinds), coded.dictionary
+        # types in order, so that a row's lists are
+        order = sorted(range(len(known)), key=list(known).__getitem__)
+        vocabulary = pa.array(sorted(known), pa.string())
+        place = np.empty(len(known), np.int32)
+        place[order] = np.arange(len(known))
+        kind, width, ids = place[kind], len(known), coded.dictionary
         step = max(1, BLOCK_CELLS // max(1, width))
         edges = np.searchsorted(who, np.arange(0, len(ids) + step, step))
         for b in range(len(edges) - 1):
@@ -161,12 +165,6 @@ def _collect_lists(rows: DataFrame, entity: str, measures: tuple[str, ...]) -> D
     return packed.select(entity, F.col("__cells.stat_type").alias("types"), *[F.col(f"__cells.{c}").alias(c) for c in names])
 
 
-def _by_aggregate(rows: DataFrame, entity: str, measures: tuple[str, ...]) -> DataFrame:
-    day_no = (F.year("__day") * 10000 + F.month("__day") * 100 + F.dayofmonth("__day")).cast("long")
-    cells = rows.select(F.col(entity), F.col("__kind").alias("stat_type"), F.lit(1).cast("long").alias("n_records"), *[F.coalesce(f"__m{i}", F.lit(0)).alias(f"total_{m}") for i, m in enumerate(measures)], day_no.alias("last_day"))
-    return _collect_lists(cells, entity, measures)
-
-
 def wide_features(features: DataFrame, entity: str, types: list[str], column: str, default: int | None = 0) -> DataFrame:
     """The named list column spread over one column per type; absent types give ``default``."""
     cells = F.map_from_arrays("types", column)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -33,27 +36,58 @@ def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut the lineage through the cluster's shared folder.
+def parts_for(spark: SparkSession, rows: int, most: int = 1_000_000, least: int = 10_000) -> int:
+    """Partitions for so many rows: at most ``most`` rows each, and a task for each core where that leaves ``least`` rows."""
+    return max(1, -(-rows // most), min(spark.sparkContext.defaultParallelism, -(-rows // least)))
 
-    The folder is the one the session names in ``spark.checkpoint.dir``; only a session without one (tests)
-    gets a temporary folder.
-    """
-    sc = df.sparkSession.sparkContext
+
+def _checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder that the session names in ``spark.checkpoint.dir``; only a session in one JVM may go without."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="duelframe-ckpt-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if named is None:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            named = tempfile.mkdtemp(prefix="duelframe-ckpt-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        sc.setCheckpointDir(named)
+    return sc.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
+    """Cut the lineage through the cluster's shared folder."""
+    _checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the shared checkpoint folder.
+class Written:
+    """Tables in the shared checkpoint folder, for loops that join their own results.
 
-    For loops that join their own results: a checkpoint keeps the size estimate of its plan, which multiplies from join to
-    join, a written table has the size of its files.
+    A checkpoint keeps the size estimate of its plan, which multiplies from join to join; a written table has the size of
+    its files. ``keep`` writes a table and deletes the one written under the same name before, which nothing may read any
+    longer. The last ones are deleted when the session's process ends.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="duelframe-ckpt-"))
-    path = f"{sc.getCheckpointDir()}/written-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder = spark, f"{_checkpoint_dir(spark)}/written-{uuid.uuid4().hex}"
+        self.now: dict[str, str] = {}
+        atexit.register(self.clear)
+
+    def keep(self, df: DataFrame, name: str = "table") -> DataFrame:
+        path = f"{self.folder}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        self._delete(self.now.pop(name, None))
+        self.now[name] = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        try:
+            self._delete(self.folder)
+        except Exception:  # the session is gone, and with it the way to the folder
+            return
+
+    def _delete(self, path: str | None) -> None:
+        if path is not None:
+            at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

@@ -149,8 +149,10 @@ def test_features_empty_and_null_dates(spark):
     assert features(spark, [tuple(row)]) == {(10, "x"): (1, 1, 2, -1, None)}
 
 
-@pytest.mark.parametrize("settings_", [{}, {"bucket_rows": 50}, {"max_types": 2}])
-def test_features_equal_brute_force(spark, settings_):
+@pytest.mark.parametrize("settings_", [{}, {"bucket_rows": 50}, {"cells": 3}])
+def test_features_equal_brute_force(spark, monkeypatch, settings_):
+    monkeypatch.setattr(ef, "BLOCK_CELLS", settings_.get("cells", ef.BLOCK_CELLS))
+    settings_ = {k: v for k, v in settings_.items() if k != "cells"}
     rng = np.random.default_rng(1)
     rows = [stat(i, 1 if rng.random() < 0.4 else int(rng.integers(2, 30)), f"t{rng.integers(0, 7)}", int(rng.integers(0, 9)), int(rng.integers(0, 99))) for i in range(600)]
     p = pd.DataFrame(rows, columns=[c.split()[0] for c in STATS.split(", ")])
@@ -159,6 +161,12 @@ def test_features_equal_brute_force(spark, settings_):
     assert features(spark, rows, **settings_) == {k: tuple(int(x) for x in v) for k, v in zip(want.index, want.to_numpy())}
 
 
+def test_features_of_many_hot_entities(spark, monkeypatch):
+    monkeypatch.setattr(ef, "parts_for", lambda *_: 4)
+    rows = [stat(i, i % 2100, "t", 1) for i in range(8400)]
+    assert features(spark, rows, bucket_rows=3) == {(f, "t"): (4, 4, 8, -4, 20200101) for f in range(2100)}
+
+
 def test_wide_features(spark):
     df = ef.entity_features(spark.createDataFrame([stat(1, 10, "a", 3), stat(2, 11, "b", 4)], STATS))
     got = {r.fighter_id: r for r in ef.wide_features(df, "fighter_id", ["a", "b"], "n_records").collect()}
