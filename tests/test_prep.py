@@ -26,7 +26,9 @@ def filled(spark, rows, **kw):
 
 def test_hot_deck_takes_the_modal_value_from_the_nearest_donor(spark):
     rows = [contest(1, 1, 9, 70.0, 0), contest(2, 1, 9, 70.0, 100), contest(3, 1, 9, 75.0, 119), contest(4, 1, 9, None, 120), contest(5, 1, 9, float("nan"), 90)]
-    got = filled(spark, [*rows, rows[3]])
+    near = filled(spark, rows)[4]
+    assert (near.red_fighter_height, near.red_fighter_height_donor, near.red_fighter_height_distance) == (75, 3, 1)
+    got = filled(spark, [*rows, rows[3]], modal=True)
     assert len(got) == 5
     assert (got[4].red_fighter_height, got[4].red_fighter_height_mark, got[4].red_fighter_height_donor, got[4].red_fighter_height_distance) == (70, "same fighter", 2, 20)
     assert got[5].red_fighter_height_donor == 2 and got[5].red_fighter_height_distance == 10
@@ -50,7 +52,7 @@ def test_hot_deck_range_and_age_rules(spark):
 def test_hot_deck_null_keys_ties_empty(spark):
     assert filled(spark, []) == {}
     rows = [contest(1, None, None, None, 0), contest(2, 3, None, 70.0, 0), contest(3, 3, None, 68.0, 1), contest(4, 3, None, None, 2)]
-    got = filled(spark, rows)
+    got = filled(spark, rows, modal=True)
     assert got[4].red_fighter_height == 68  # the smaller of equally frequent values
     assert got[1].red_fighter_height_mark == "similar contests"
 
@@ -59,7 +61,8 @@ def test_hot_deck_ignores_blocks(spark):
     rng = np.random.default_rng(3)
     rows = [contest(i, int(rng.integers(1, 4)), int(rng.integers(4, 7)), [None, 70.0, 71.0][rng.integers(0, 3)], int(rng.integers(0, 300))) for i in range(120)]
     strip = lambda g: {k: (v.red_fighter_height, v.red_fighter_height_mark, v.red_fighter_height_distance) for k, v in g.items()}
-    assert strip(filled(spark, rows, block_days=7)) == strip(filled(spark, rows, block_days=10_000))
+    for modal in (False, True):
+        assert strip(filled(spark, rows, block_rows=7, modal=modal)) == strip(filled(spark, rows, block_rows=10_000, modal=modal))
 
 
 @pytest.mark.parametrize(
