@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from duelframe.runtime import checkpoint, parts_for
+from duelframe.runtime import checkpoint, parallelism
 
 #: Cells of one dense block (entities x types): 2M cells are 16 MB for each measure.
 BLOCK_CELLS = 2_000_000
@@ -80,7 +80,7 @@ def entity_features(
     salted = rows.join(F.broadcast(hot), entity, "left")
     salt = F.when(F.col("__parts").isNotNull(), F.pmod(F.xxhash64(key), F.col("__parts")).cast("int")).otherwise(0)
     day_no = F.year("__day") * 10000 + F.month("__day") * 100 + F.dayofmonth("__day")
-    buckets = salted.select(F.col(entity).alias("__entity"), salt.alias("__salt"), "__kind", day_no.cast("int").alias("__day"), *[f"__m{i}" for i in range(len(measures))]).repartition(parts_for(spark, total, bucket_rows), "__entity", "__salt").drop("__salt")
+    buckets = salted.select(F.col(entity).alias("__entity"), salt.alias("__salt"), "__kind", day_no.cast("int").alias("__day"), *[f"__m{i}" for i in range(len(measures))]).repartition(max(parallelism(spark), -(-total // bucket_rows)), "__entity", "__salt").drop("__salt")
     lists = [T.StructField("n_records", T.ArrayType(T.LongType()))] + [T.StructField(f"total_{m}", T.ArrayType(T.LongType())) for m in measures] + [T.StructField("last_day", T.ArrayType(T.LongType()))]
     schema = T.StructType([T.StructField(entity, df.schema[entity].dataType), T.StructField("types", T.ArrayType(T.StringType())), *lists])
     parts = buckets.mapInArrow(_block_folder(len(measures), [f.name for f in schema]), schema)

@@ -164,10 +164,9 @@ def test_features_equal_brute_force(spark, monkeypatch, settings_):
     assert features(spark, rows, **settings_) == {k: tuple(int(x) for x in v) for k, v in zip(want.index, want.to_numpy())}
 
 
-def test_features_of_many_hot_entities(spark, monkeypatch):
-    monkeypatch.setattr(ef, "parts_for", lambda *_: 4)
-    rows = [stat(i, i % 2100, "t", 1) for i in range(8400)]
-    assert features(spark, rows, bucket_rows=3) == {(f, "t"): (4, 4, 8, -4, 20200101) for f in range(2100)}
+def test_features_of_many_hot_entities(spark):
+    rows = [stat(i * 40 + j, i, "t", 1) for i in range(30) for j in range(40)]
+    assert features(spark, rows, bucket_rows=39) == {(f, "t"): (40, 40, 80, -40, 20200101) for f in range(30)}
 
 
 def test_wide_features(spark):
