@@ -91,7 +91,11 @@ def p9_shared(spark: SparkSession, folder: str) -> DataFrame:
     return spans.shared_share(read_table(spark, folder, "documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_ranking": p2_ranking, "p4_found": p4_found, "p4_groups": p4_groups, "p6_found": p6_found, "p6_links": p6_links, "p7_ids": p7_ids, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found, "p9_shared": p9_shared}
+def p9_fuzzy(spark: SparkSession, folder: str) -> DataFrame:
+    return spans.fuzzy_passages(read_table(spark, folder, "documents"))
+
+
+QUERIES = {"p2_found": p2_found, "p2_ranking": p2_ranking, "p4_found": p4_found, "p4_groups": p4_groups, "p6_found": p6_found, "p6_links": p6_links, "p7_ids": p7_ids, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found, "p9_shared": p9_shared, "p9_fuzzy": p9_fuzzy}
 
 _WORDS = r"regexp_extract_all(lower(strip_accents(text)), '[\p{L}\p{N}]+') AS w"
 _GRAMS = "unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k + 11], ' '))) AS g"
@@ -106,4 +110,13 @@ g AS (SELECT doc_id, unnest(list_transform(range(1, length(text) - 298), lambda
 s AS (SELECT DISTINCT doc_id, h FROM g), m AS (SELECT h FROM s GROUP BY h HAVING count(*) > 1), k AS (SELECT s.* FROM s SEMI JOIN m USING (h))
 SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM k a JOIN k b ON a.h = b.h AND a.doc_id < b.doc_id
 """
-ORACLES = {"p8_found": P8_SQL, "p9_found": P9_SQL}
+P9_SHARED_SQL = """
+WITH d AS (SELECT DISTINCT doc_id, text, length(text) AS n FROM documents WHERE length(text) >= 300), t AS (SELECT doc_id, n, min(doc_id) OVER (PARTITION BY text) AS tid, count(*) OVER (PARTITION BY text) - 1 AS n_copies FROM d),
+g AS (SELECT doc_id, unnest(range(1, n - 298)) AS k, unnest(list_transform(range(1, n - 298), lambda k: hash(substr(text, k, 300)))) AS h FROM d),
+s AS (SELECT DISTINCT doc_id, h FROM g), m AS (SELECT h FROM s GROUP BY h HAVING count(*) > 1), w AS (SELECT doc_id, k, lead(k) OVER (PARTITION BY doc_id ORDER BY k) AS following FROM g SEMI JOIN m USING (h)),
+c AS (SELECT doc_id, sum(least(300, coalesce(following - k, 300)))::BIGINT AS shared_chars FROM w GROUP BY doc_id),
+o AS (SELECT DISTINCT x.doc_id, y.h FROM s y SEMI JOIN m USING (h) JOIN t x ON x.doc_id = y.doc_id),
+p AS (SELECT a.doc_id, count(DISTINCT tb.tid) AS n_texts FROM o a JOIN o b ON a.h = b.h AND a.doc_id <> b.doc_id JOIN t ta ON ta.doc_id = a.doc_id JOIN t tb ON tb.doc_id = b.doc_id AND tb.tid <> ta.tid GROUP BY a.doc_id)
+SELECT c.doc_id, n AS n_chars, shared_chars, shared_chars / n AS shared_share, coalesce(n_texts, 0) AS n_texts, n_copies FROM c JOIN t USING (doc_id) LEFT JOIN p USING (doc_id)
+"""
+ORACLES = {"p8_found": P8_SQL, "p9_found": P9_SQL, "p9_shared": P9_SHARED_SQL}

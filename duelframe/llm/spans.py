@@ -1,9 +1,10 @@
-"""Long spans that stand character by character in several texts.
+"""Long spans that stand character by character in several texts, and passages that nearly do.
 
 Each distinct text gives k-mer seeds by winnowing: of every window that a span of ``min_chars`` must contain, the k-mer of
-least hash is a seed, so equal spans have equal seeds. Texts that share seeds become pairs; the maximal equal runs around
-their seeds decide which spans are shared. A pair's best collinear chain with gap costs is given besides, but decides
-nothing, and chains are not aligned. Copies of one text are one text until the very end.
+least hash is a seed, so equal spans have equal seeds. Texts that share seeds become pairs. Their seeds grow to maximal
+matches, which are chained in the order of both texts with gap costs through a Fenwick tree; every match lies in one chain.
+Chains are aligned, match by match and gap by gap: an aligned chain is a fuzzy passage, and the matched stretches in it are
+what the texts share exactly. Copies of one text are one text until the very end.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from duelframe.llm.pairs import pairs_in_groups
-from duelframe.runtime import checkpoint, parallelism
+from duelframe.runtime import Written, checkpoint
 
 #: Characters of a seed; below min_chars, so that a shared span holds a chain of them.
 SEED_CHARS = 128
@@ -28,8 +29,12 @@ PIECE = 1 << 20
 GAP_COST = 0.25
 #: Texts of one seed that one task pairs; a seed in more texts is split into cells of two blocks each.
 BLOCK_TEXTS = 2_000
-#: Places of one seed in one text that are kept; with more the pair is compared whole instead of along its matches.
+#: Places of one seed in one text that are kept; with more the pair's exact spans come from comparing all windows instead.
 PLACES = 4
+#: A chain whose next match is further than this in both texts goes on as another passage.
+LONGEST_GAP = 2_000
+#: Least share of equal characters of a fuzzy passage.
+FUZZY = 0.8
 
 _MIX, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -237,31 +242,70 @@ def maximal_matches(x: str, y: str, seeds: list[tuple[int, int]]) -> list[tuple[
     return sorted((s, s - d, e - s) for d, spans in runs.items() for s, e in spans)
 
 
+def edits(a: str, b: str) -> int:
+    """Levenshtein distance: columns of the table as bit vectors."""
+    n = _common(a, b)
+    a, b = a[n:], b[n:]
+    n = _common(a[::-1], b[::-1])
+    a, b = a[: len(a) - n], b[: len(b) - n]
+    if not a or not b:
+        return len(a) + len(b)
+    where: dict[str, int] = {}
+    for i, c in enumerate(a):
+        where[c] = where.get(c, 0) | 1 << i
+    whole, top = (1 << len(a)) - 1, 1 << len(a) - 1
+    up, down, score = whole, 0, len(a)  # where a column rises and falls
+    for c in b:
+        eq = where.get(c, 0)
+        flat = (((eq & up) + up) ^ up) | eq
+        right, left = down | ~(flat | up) & whole, up & flat
+        score += (right & top > 0) - (left & top > 0)
+        right, left = (right << 1 | 1) & whole, left << 1 & whole
+        up, down = left | ~(eq | down | right) & whole, right & (eq | down)
+    return score
+
+
+def align(x: str, y: str, path: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, float]]:
+    """(start in x, end in x, start in y, end in y, share of equal characters) of the passages of one chain of matches.
+
+    Matches are aligned as they stand and the gaps between them by their edit distance; the share is 1 less the edits over
+    the longer side.
+    """
+    out, first, wrong = [], path[0], 0
+    for (i, j, n), following in zip(path, [*path[1:], None]):
+        gap = following and (following[0] - i - n, following[1] - j - n)
+        if gap and min(gap) <= LONGEST_GAP:
+            wrong += edits(x[i + n : following[0]], y[j + n : following[1]])
+            continue
+        out.append((first[0], i + n, first[1], j + n, 1 - wrong / max(i + n - first[0], j + n - first[1])))
+        first, wrong = following, 0
+    return out
+
+
 def _pair_batches(min_chars: int):
-    names = ["tid_a", "tid_b", "score", "fuzzy_a", "fuzzy_b", "fuzzy_end_a", "fuzzy_end_b", "same_share", "starts_a", "lengths_a", "starts_b", "lengths_b"]
-    kinds = [pa.binary(), pa.binary(), pa.float64(), *[pa.int32()] * 4, pa.float64(), *[pa.list_(pa.int32())] * 4]
+    names = ["tid_a", "tid_b", "from_a", "to_a", "from_b", "to_b", "same", "starts_a", "lengths_a", "starts_b", "lengths_b"]
+    kinds = [pa.binary(), pa.binary(), *[pa.list_(pa.int32())] * 4, pa.list_(pa.float64()), *[pa.list_(pa.int32())] * 4]
 
-    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for a, b, seeds, dense, x, y in zip(*[c.to_pylist() for c in batch.columns]):
                 matches = maximal_matches(x, y, sorted({(i, j) for m in seeds for i in m["pa"] for j in m["pb"]}))
                 if not matches:
                     continue  # different seeds with one hash
-                score, path = chain(matches)[0]
-                (fa, fb, _), (la, lb, n) = matches[path[0]], matches[path[-1]]
-                ea, eb = la + n, lb + n
-                same = sum(matches[p][2] for p in path) / max(ea - fa, eb - fb)
+                chains = [[matches[p] for p in path] for _, path in chain(matches)]
+                passages = [p for c in chains for p in align(x, y, c) if p[4] >= FUZZY and min(p[1] - p[0], p[3] - p[2]) >= min_chars]
                 if dense:  # not all places of a seed are known
                     runs_a, runs_b = dense_spans(x, y, min_chars), dense_spans(y, x, min_chars)
                 else:
-                    long = [m for m in matches if m[2] >= min_chars]
+                    long = [m for c in chains for m in c if m[2] >= min_chars]
                     runs_a, runs_b = [(i, n) for i, _, n in long], [(j, n) for _, j, n in long]
-                rows.append((a, b, score, fa, fb, ea, eb, same, *[[r[k] for r in runs] for runs in (runs_a, runs_b) for k in (0, 1)]))
+                if passages or runs_a:
+                    rows.append((a, b, *[[p[k] for p in passages] for k in range(5)], *[[r[k] for r in runs] for runs in (runs_a, runs_b) for k in (0, 1)]))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
-    return align
+    return compare
 
 
 def distinct_texts(docs: DataFrame, key: str, text: str, min_chars: int) -> DataFrame:
@@ -276,22 +320,22 @@ def distinct_texts(docs: DataFrame, key: str, text: str, min_chars: int) -> Data
 
 
 def matched_texts(docs: DataFrame, min_chars: int = 300, text: str = "text", k: int = SEED_CHARS) -> DataFrame:
-    """One row per pair of different texts that share a seed, with its best chain and its exact runs.
+    """One row per pair of different texts that share a passage.
 
-    Columns: ``tid_a < tid_b``; ``score`` and ends of the best chain (``fuzzy_*``), ``same_share``, its matched
-    characters over its span (no alignment); lists
+    Columns: ``tid_a < tid_b``; lists ``from_a``, ``to_a``, ``from_b``, ``to_b``, ``same`` of the fuzzy passages (aligned
+    chains of at least ``min_chars`` in either text and a share of equal characters of at least ``FUZZY``); lists
     ``starts_a``, ``lengths_a`` and ``starts_b``, ``lengths_b`` of the runs of at least ``min_chars`` of each text that the
     other holds too (empty: the passage is only fuzzily shared).
     """
     if not 1 <= k <= min_chars:
         raise ValueError("a seed must fit into a span")
-    parts = parallelism(docs.sparkSession)
     long = docs.where(F.length(text) >= min_chars).select(text)
-    seeds = long.mapInArrow(_seed_batches(k, min_chars), "seed bigint, tid binary, places array<int>, dense boolean")
-    # Copies are one text here. The shuffle by seed is the only one of all seeds: the count is made in the same partitions.
-    seeds = seeds.repartition(parts, "seed").dropDuplicates(["seed", "tid"])
-    counted = seeds.join(seeds.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1"), "seed")
-    shared = checkpoint(counted)
+    # written once, narrow; what follows reads the columns that it needs
+    seeds = Written(docs.sparkSession).keep(long.mapInArrow(_seed_batches(k, min_chars), "seed bigint, tid binary, places array<int>, dense boolean"))
+    often = seeds.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed")  # combined before the shuffle
+    # copies are one text from here on
+    own = checkpoint(seeds.join(often, "seed").groupBy("seed", "tid").agg(F.any_value("places").alias("places"), F.any_value("dense").alias("dense")))
+    shared = checkpoint(own.join(own.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1"), "seed"))
     pairs = pairs_in_groups(shared, "seed", "tid", "n", BLOCK_TEXTS, ("places", "dense"))
     both = F.struct(F.col("places_a").alias("pa"), F.col("places_b").alias("pb"))
     packed = pairs.groupBy("tid_a", "tid_b").agg(F.collect_list(both).alias("matches"), F.max(F.col("dense_a") | F.col("dense_b")).alias("dense"))
@@ -306,7 +350,21 @@ def matched_texts(docs: DataFrame, min_chars: int = 300, text: str = "text", k:
     left, right = (texts.select(F.col("tid").alias(f"tid_{s}"), F.col("text").alias(f"text_{s}")) for s in "ab")
     rows = packed.join(left, "tid_a").join(right, "tid_b").select("tid_a", "tid_b", "matches", "dense", "text_a", "text_b")
     lists = ", ".join(f"{c} array<int>" for c in ("starts_a", "lengths_a", "starts_b", "lengths_b"))
-    return rows.mapInArrow(_pair_batches(min_chars), f"tid_a binary, tid_b binary, score double, fuzzy_a int, fuzzy_b int, fuzzy_end_a int, fuzzy_end_b int, same_share double, {lists}")
+    return rows.mapInArrow(_pair_batches(min_chars), f"tid_a binary, tid_b binary, from_a array<int>, to_a array<int>, from_b array<int>, to_b array<int>, same array<double>, {lists}")
+
+
+def fuzzy_passages(docs: DataFrame, min_chars: int = 300, key: str = "doc_id", text: str = "text", k: int = SEED_CHARS) -> DataFrame:
+    """One row per pair of different texts and passage that they share at least nearly: ``<key>_a``, ``<key>_b``, ``start_a``, ``end_a``, ``start_b``, ``end_b``, ``same_share``.
+
+    A text stands under its smallest key; copies of one text make no rows. Passages are aligned chains of matches that hold
+    a common seed of ``k`` characters; a seed that stands more than ``PLACES`` times in a text enters with its first places.
+    Null, empty and shorter texts share nothing; an empty table gives no rows.
+    """
+    first = checkpoint(distinct_texts(docs, key, text, min_chars).groupBy("tid").agg(F.min("doc").alias("doc")))
+    a, b = (first.select(F.col("tid").alias(f"tid_{s}"), F.col("doc").alias(f"{key}_{s}")) for s in "ab")
+    passages = F.inline(F.arrays_zip(F.col("from_a").alias("start_a"), F.col("to_a").alias("end_a"), F.col("from_b").alias("start_b"), F.col("to_b").alias("end_b"), F.col("same").alias("same_share")))
+    rows = matched_texts(docs, min_chars, text, k).select("tid_a", "tid_b", passages)
+    return rows.join(a, "tid_a").join(b, "tid_b").select(f"{key}_a", f"{key}_b", "start_a", "end_a", "start_b", "end_b", F.round("same_share", 6).alias("same_share"))
 
 
 def shared_span_pairs(docs: DataFrame, min_chars: int = 300, key: str = "doc_id", text: str = "text", k: int = SEED_CHARS) -> DataFrame:

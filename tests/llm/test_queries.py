@@ -13,6 +13,7 @@ SCHEMAS = {
     "p6_found": [("bet_id", "bigint"), ("quote_id", "bigint")],
     "p7_ids": [("doc_id", "bigint"), ("ids", "array<int>")],
     "p8_found": [("doc_id", "bigint"), ("item_id", "bigint")],
+    "p9_shared": [("doc_id", "bigint"), ("n_chars", "bigint"), ("shared_chars", "bigint"), ("shared_share", "double"), ("n_texts", "bigint"), ("n_copies", "bigint")],
     "p9_found": [("doc_id_a", "bigint"), ("doc_id_b", "bigint")],
 }
 

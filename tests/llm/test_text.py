@@ -172,6 +172,36 @@ def test_chain_follows_order_and_gaps():
     assert spans.chain([(0, 0, 10), (10_000, 10_000, 10)])[0][1] in ([0], [1])
 
 
+@given(st.text("abc", max_size=40), st.text("abc", max_size=40))
+@settings(max_examples=200, deadline=None)
+def test_edits_equal_the_table(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row = _next_row(row, x, b, i)
+    assert spans.edits(a, b) == row[-1]
+
+
+def _next_row(before, x, b, i):
+    row = [i]
+    for j, y in enumerate(b, 1):
+        row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+    return row
+
+
+def test_fuzzy_passages(spark):
+    rng = random.Random(11)
+    p = noise(rng, 1500)
+    typed = p[:400] + "XX" + p[402:800] + p[810:]  # two letters changed, ten left out
+    docs = [(1, noise(rng, 80) + p), (2, typed + noise(rng, 60)), (3, typed + "!"), (4, typed + "!"), (5, noise(rng, 900)), (6, None), (7, "")]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = {(r.doc_id_a, r.doc_id_b): r for r in spans.fuzzy_passages(df).collect()}
+    assert set(got) == {(1, 2), (1, 3), (2, 3)} or set(map(tuple, map(sorted, got))) == {(1, 2), (1, 3), (2, 3)}
+    row = next(r for k, r in got.items() if set(k) == {1, 2})
+    a, b = ("a", "b") if row.doc_id_a == 1 else ("b", "a")
+    assert (row[f"start_{a}"], row[f"end_{a}"], row[f"start_{b}"], row[f"end_{b}"]) == (80, 1580, 0, 1490) and row.same_share == pytest.approx(1 - 12 / 1500, abs=1e-6)
+    assert spans.fuzzy_passages(df.limit(0)).count() == 0
+
+
 def test_every_copy_of_a_passage_is_counted(spark):
     draw = random.Random(3)
     some = lambda n: "".join(draw.choices("abcdefgh ", k=n))
