@@ -2,28 +2,37 @@
 
 P(i beats j) = Phi(s_i - s_j) with a normal (ridge) prior on the strengths. The posterior mode is found by iteratively
 reweighted least squares; each step's sparse normal equations (X'WX + ridge) d = gradient are solved by conjugate
-gradients whose matrix products run over the distributed pairs. Standard errors are the roots of the diagonal of the
-inverse normal matrix.
+gradients. Standard errors are the roots of the diagonal of the inverse normal matrix.
+
+Vectors and pairs are blocks of a table. Items are numbered and cut into blocks of ``BLOCK_ITEMS``; each pair lies with the
+item that has fewer opponents, so an item that met a third of all others leaves its pairs with them. One product of the
+normal matrix is one job: blocks of items send the values that blocks of pairs need, these send back sums. The driver sees
+a few numbers for each block.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duelframe.runtime import checkpoint, parallelism, written
+from duelframe.operators.metrics import ranked
+from duelframe.runtime import Written, parts_for
 
-#: Items up to which the strength vector (8 bytes each) lives on the driver; beyond it vectors are tables.
-DRIVER_ITEMS = 5_000_000
-#: Items up to which standard errors are exact, and random sign vectors for more.
-EXACT, PROBES = 64, 32
-#: Newton steps, steps of one solve, and the gradient at which the strengths are taken as found.
-NEWTON_STEPS, SOLVER_STEPS, GRADIENT = 15, 60, 1e-5
+#: Items of one block of a vector.
+BLOCK_ITEMS = 16_384
+#: Sign vectors that the standard errors are estimated from (a power of two); up to so many items they are exact.
+PROBES = 8
+#: Most steps of Newton's method and of one solve: an error beyond.
+NEWTON_STEPS, SOLVER_STEPS = 60, 500
+#: Greatest entry of the gradient at which the strengths are taken as found, and residuals (against the right side) of a solve.
+GRADIENT, STEP_RESIDUAL, ERROR_RESIDUAL = 1e-3, 0.05, 0.01
 
 _GRID = np.linspace(-6.5, 6.5, 1_301)
 _CDF = np.array([0.5 * math.erfc(-x / math.sqrt(2)) for x in _GRID])
@@ -49,216 +58,287 @@ def pair_terms(d: np.ndarray, wins: np.ndarray, losses: np.ndarray) -> tuple[np.
     return density * (wins / up - losses / down), (wins + losses) * density * density / (up * down)
 
 
-def indexed_items(pairs: DataFrame) -> DataFrame:
-    """``item, idx``: dense numbers from per-partition counts; no global sort."""
-    items = checkpoint(pairs.select(F.col("winner").alias("item")).union(pairs.select("loser")).distinct())
-    numbered = items.select("item", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("m"))
-    counts = sorted((r[0], r[1]) for r in numbered.groupBy("p").count().collect())  # one row per partition
-    offset, total = F.lit(0).cast("long"), 0
-    for p, n in counts:
-        offset = F.when(F.col("p") == p, F.lit(total)).otherwise(offset)
-        total += n
-    return checkpoint(numbered.select("item", (offset + F.col("m").bitwiseAND((1 << 33) - 1)).cast("long").alias("idx")))
-
-
-def both_views(pairs: DataFrame, items: DataFrame) -> DataFrame:
-    """``i, j, wins, losses``: each pair once from either side, all pairs of an item in one partition.
-
-    An item's rows are its opponents, not its comparisons: those were counted before.
-    """
-    a = items.select(F.col("item").alias("winner"), F.col("idx").alias("w"))
-    b = items.select(F.col("item").alias("loser"), F.col("idx").alias("l"))
-    edges = pairs.join(a, "winner").join(b, "loser")
-    sides = edges.select(F.col("w").alias("i"), F.col("l").alias("j"), F.col("n").alias("wins"), F.lit(0.0).alias("losses")).union(edges.select("l", "w", F.lit(0.0), "n"))
-    summed = sides.groupBy("i", "j").agg(F.sum("wins").cast("double").alias("wins"), F.sum("losses").cast("double").alias("losses"))
-    return checkpoint(summed.repartition(parallelism(pairs.sparkSession), "i"))
-
-
-class _DriverSolver:
-    """Strengths as driver vectors (n is checked), products over the distributed pairs."""
-
-    def __init__(self, edges: DataFrame, n: int, ridge: float):
-        self.edges, self.n, self.ridge = edges, n, ridge
-        self.sc = edges.sparkSession.sparkContext
-
-    def _run(self, fold, width: int) -> np.ndarray:
-        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                i, j, wins, losses = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(4))
-                own, local = np.unique(i, return_inverse=True)
-                out = fold(i, j, wins, losses, local, len(own))
-                yield pa.RecordBatch.from_arrays([pa.array(own), pa.FixedSizeListArray.from_arrays(pa.array(out.ravel()), width).cast(pa.list_(pa.float64()))], names=["i", "v"])
-
-        got = self.edges.mapInArrow(each, "i bigint, v array<double>").toArrow()
-        out = np.zeros((self.n, width))
-        if got.num_rows:
-            i = got.column("i").to_numpy()
-            np.add.at(out, i, got.column("v").combine_chunks().flatten().to_numpy().reshape(-1, width))
-        return out
-
-    def gradient(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        shared = self.sc.broadcast(s)
-
-        def fold(i, j, wins, losses, local, n):
-            x = shared.value
-            g, w = pair_terms(x[i] - x[j], wins, losses)
-            return np.stack([np.bincount(local, g, n), np.bincount(local, w, n)], axis=1)
-
-        out = self._run(fold, 2)
-        shared.unpersist()
-        return out[:, 0] - self.ridge * s, out[:, 1] + self.ridge
-
-    def product(self, s: np.ndarray, x: np.ndarray) -> np.ndarray:
-        shared = self.sc.broadcast((s, x))
-
-        def fold(i, j, wins, losses, local, n):
-            at, y = shared.value
-            _, w = pair_terms(at[i] - at[j], wins, losses)
-            terms = w[:, None] * (y[i] - y[j])
-            return np.stack([np.bincount(local, terms[:, c], n) for c in range(terms.shape[1])], axis=1)
-
-        out = self._run(fold, x.shape[1]) + self.ridge * x
-        shared.unpersist()
-        return out
-
-    def solve(self, s: np.ndarray, rhs: np.ndarray, diagonal: np.ndarray, tolerance: float) -> np.ndarray:
-        """Conjugate gradients with the diagonal as preconditioner, all right sides at once."""
-        x, r = np.zeros_like(rhs), rhs.copy()
-        z = r / diagonal[:, None]
-        p, rz = z.copy(), (r * z).sum(0)
-        start = np.maximum((rhs * rhs).sum(0), 1e-300)
-        for _ in range(SOLVER_STEPS):
-            hp = self.product(s, p)
-            step = rz / np.maximum((p * hp).sum(0), 1e-300)
-            x += step * p
-            r -= step * hp
-            if ((r * r).sum(0) <= tolerance**2 * start).all():
-                break
-            z = r / diagonal[:, None]
-            new = (r * z).sum(0)
-            p = z + new / np.maximum(rz, 1e-300) * p
-            rz = new
-        return x
-
-    def fit(self) -> tuple[np.ndarray, np.ndarray]:
-        s = np.zeros(self.n)
-        for _ in range(NEWTON_STEPS):
-            g, diagonal = self.gradient(s)
-            size = float(np.abs(g).max(initial=0.0))
-            if size < GRADIENT:
-                break
-            s = s + self.solve(s, g[:, None], diagonal, min(0.1, max(1e-4, size * 0.01)))[:, 0]
-        _, diagonal = self.gradient(s)
-        return s, self._errors(s, diagonal)
-
-    def _errors(self, s: np.ndarray, diagonal: np.ndarray) -> np.ndarray:
-        """Root of diag(inverse): exact by unit vectors for few items, else from random sign vectors.
 
-        A constant is an eigenvector of the normal matrix with value ridge, so its part of the diagonal is known, the sign
-        vectors are taken without it, and of the rest only the difference to 1 / diagonal is estimated.
+def _blocks(pairs: DataFrame, items: DataFrame, parts: int) -> DataFrame:
+    """``block, kind, payload``: one row of kind "pairs" for each block that has pairs and one of kind "wants" for each block of items and block of pairs that needs values of it."""
+    a = items.select(F.col("item").alias("winner"), F.col("idx").alias("i"))
+    b = items.select(F.col("item").alias("loser"), F.col("idx").alias("j"))
+    lo, up = F.least("i", "j"), F.col("i") < F.col("j")
+    met = pairs.join(a, "winner").join(b, "loser").groupBy(lo.alias("lo"), F.greatest("i", "j").alias("hi")).agg(F.sum(F.when(up, F.col("n")).otherwise(0.0)).alias("wins"), F.sum(F.when(up, 0.0).otherwise(F.col("n"))).alias("losses"))
+    opponents = met.select(F.explode(F.array("lo", "hi")).alias("idx")).groupBy("idx").agg(F.count("*").alias("k"))
+    sized = met.join(opponents.select(F.col("idx").alias("lo"), F.col("k").alias("klo")), "lo").join(opponents.select(F.col("idx").alias("hi"), F.col("k").alias("khi")), "hi")
+    first = F.col("klo") <= F.col("khi")
+    turn = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
+    rows = sized.select(turn("lo", "hi").alias("own"), turn("hi", "lo").alias("other"), turn("wins", "losses").alias("wins"), turn("losses", "wins").alias("losses"))
+    rows = rows.withColumn("block", F.floor(F.col("own") / BLOCK_ITEMS).cast("int"))
+    size = BLOCK_ITEMS
+
+    def pack(p: pd.DataFrame) -> pd.DataFrame:
+        at = int(p["block"].iloc[0])
+        own, other = p["own"].to_numpy(), p["other"].to_numpy()
+        nodes = np.unique(np.concatenate([own, other]))
+        homes = nodes // size
+        held = {"own": np.searchsorted(nodes, own), "other": np.searchsorted(nodes, other), "wins": p["wins"].to_numpy(), "losses": p["losses"].to_numpy(), "homes": homes}
+        out = [(at, "pairs", pickle.dumps(held))]
+        out += [(int(c), "wants", pickle.dumps((at, (nodes[homes == c] - c * size).astype(np.int32)))) for c in np.unique(homes)]
+        return pd.DataFrame(out, columns=["block", "kind", "payload"])
+
+    return rows.repartition(parts, "block").groupBy("block").applyInPandas(pack, "block int, kind string, payload binary")
+
+
+class _Solver:
+    """The iterations. A block's state is a dict of arrays; a round is: each state sends, pairs fold, states merge."""
+
+    def __init__(self, blocks: DataFrame, n: int, ridge: float, parts: int):
+        self.n, self.ridge, self.parts, self.spark = n, ridge, parts, blocks.sparkSession
+        self.store = Written(self.spark)
+        # a table, so that the state's lineage begins here
+        packed = self.store.keep(blocks, "blocks")
+        self.pairs = self._placed(packed.where("kind = 'pairs'").select("block", "payload"))
+        self.weighted = None
+        size = BLOCK_ITEMS
+
+        def start(p: pd.DataFrame) -> pd.DataFrame:
+            c = int(p["block"].iloc[0])
+            state = {"base": c * size, "n": min(size, n - c * size), "wants": dict(map(pickle.loads, p["payload"]))}
+            state |= {"s": np.zeros((state["n"], 1)), "x": np.zeros((state["n"], 1))}
+            return pd.DataFrame({"block": [c], "payload": [pickle.dumps(state)]})
+
+        wants = packed.where("kind = 'wants'").select("block", "payload")
+        self.state = self.store.keep(wants.repartition(parts, "block").groupBy("block").applyInPandas(start, "block int, payload binary"), "state")
+
+    def _placed(self, pairs: DataFrame) -> DataFrame:
+        return pairs.repartition(self.parts, "block").persist(StorageLevel.MEMORY_AND_DISK)
+
+    def _round(self, send: Callable, fold: Callable, merge: Callable, reweigh: bool = False, kind: type = np.float64) -> np.ndarray:
+        """One exchange; the sums over all blocks of the numbers that ``merge`` returns.
+
+        ``send(state)`` gives the values to send, a row for each item; ``fold(pairs, values)`` gives the sums for the items of
+        a block of pairs (and with ``reweigh`` its new contents before them); ``merge(state, sums)`` changes the state.
         """
-        n = self.n
-        if n <= EXACT:
-            return np.sqrt(np.diag(self.solve(s, np.eye(n), diagonal, 1e-8)))
-        signs = np.random.default_rng(7).choice([-1.0, 1.0], size=(n, PROBES))
-        signs -= signs.mean(0)
-        solved = self.solve(s, signs, diagonal, 1e-3)
-        rest = (signs * (solved - signs / diagonal[:, None])).mean(1)
-        known = 1 / (n * self.ridge) + (1 - 2 / n) / diagonal + (1 / diagonal).sum() / n**2
-        return np.sqrt(np.maximum(known + rest, 1 / diagonal))  # the inverse's diagonal is never below 1 / diagonal
-
 
-class _TableSolver:
-    """The same iterations with vectors as tables ``idx, ...``, for more items than the driver should hold."""
-
-    def __init__(self, edges: DataFrame, items: DataFrame, ridge: float):
-        self.edges, self.ids, self.ridge = edges, items.select("idx"), ridge
-
-    def _over_pairs(self, vectors: DataFrame, names: list[str]) -> DataFrame:
-        a = vectors.select(F.col("idx").alias("i"), *[F.col(c).alias(f"{c}_i") for c in names])
-        b = vectors.select(F.col("idx").alias("j"), *[F.col(c).alias(f"{c}_j") for c in names])
-        return self.edges.join(a, "i").join(b, "j")
+        def sending(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for p in batches:
+                for c, payload in zip(p["block"], p["payload"]):
+                    state = pickle.loads(payload)
+                    values = send(state).astype(kind)
+                    wants = state["wants"]
+                    yield pd.DataFrame([(c, -1, pickle.dumps(state)), *[(b, c, pickle.dumps(values[at])) for b, at in wants.items()]], columns=["block", "sender", "payload"])
+
+        def folding(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            out, sent = [], right.sort_values("sender")
+            states = sent[sent["sender"] < 0]
+            out += [(c, -1, payload) for c, payload in zip(states["block"], states["payload"])]
+            sent = sent[sent["sender"] >= 0]
+            if len(left):
+                held = pickle.loads(left["payload"].iloc[0])
+                # senders and items are in the order of the block's own list of items
+                sums = fold(held, np.concatenate([pickle.loads(v) for v in sent["payload"]]).astype(np.float64))
+                b = int(left["block"].iloc[0])
+                if reweigh:
+                    held, sums = sums
+                    out.append((b, -2, pickle.dumps(held)))
+                out += [(int(c), b, pickle.dumps(sums[held["homes"] == c].astype(kind))) for c in np.unique(held["homes"])]
+            return pd.DataFrame(out, columns=["block", "sender", "payload"])
+
+        def merging(p: pd.DataFrame) -> pd.DataFrame:
+            state = pickle.loads(p.loc[p["sender"] < 0, "payload"].iloc[0])
+            sums = None
+            for b, payload in sorted(zip(p["sender"], p["payload"])):
+                if b >= 0:
+                    part = pickle.loads(payload)
+                    sums = np.zeros((state["n"], part.shape[1])) if sums is None else sums
+                    sums[state["wants"][b]] += part  # an item stands once in a list
+            dots = merge(state, sums)
+            return pd.DataFrame({"block": [int(p["block"].iloc[0])], "payload": [pickle.dumps(state)], "dots": [[float(v) for v in dots]]})
+
+        pairs = self.pairs if reweigh else self.weighted
+        message = "block int, sender int, payload binary"
+        sent = self.state.select("block", "payload").mapInPandas(sending, message).repartition(self.parts, "block")
+        folded = pairs.groupBy("block").cogroup(sent.groupBy("block")).applyInPandas(folding, message)
+        if reweigh:
+            folded = self.store.keep(folded, "folded")
+        state = folded.where("sender != -2").repartition(self.parts, "block").groupBy("block").applyInPandas(merging, "block int, payload binary, dots array<double>")
+        # each round's state is a table: plans that hold cached plans would grow from round to round
+        self.state = self.store.keep(state, "state")
+        if reweigh:
+            if self.weighted is not None:
+                self.weighted.unpersist()
+            self.weighted = self._placed(self.store.keep(folded.where("sender = -2").select("block", "payload"), "weighted"))
+        return np.array([r[0] for r in self.state.select("dots").collect()])  # one short row for each block
+
+    def _gradient(self) -> float:
+        """Take the last solve's step, and the gradient and the weights at the new strengths."""
+        ridge = self.ridge
+
+        def send(state):
+            state["s"] = state["s"] + state["x"]
+            return state["s"]
+
+        def fold(held, y):
+            own, other, k = held["own"], held["other"], len(y)
+            g, w = pair_terms(y[own, 0] - y[other, 0], held["wins"], held["losses"])
+            sums = np.stack([np.bincount(own, g, k) - np.bincount(other, g, k), np.bincount(own, w, k) + np.bincount(other, w, k)], axis=1)
+            return held | {"w": w}, sums
+
+        def merge(state, sums):
+            state["d"] = sums[:, 1:] + ridge
+            state["r"] = sums[:, :1] - ridge * state["s"]
+            return [np.abs(state["r"]).max()]
+
+        return float(self._round(send, fold, merge, reweigh=True).max(initial=0.0))
 
     @staticmethod
-    def _terms():
-        @F.pandas_udf("struct<g double, w double>")
-        def terms(d, wins, losses):
-            import pandas as pd
-
-            g, w = pair_terms(d.to_numpy(), wins.to_numpy(), losses.to_numpy())
-            return pd.DataFrame({"g": g, "w": w})
-
-        return terms(F.col("s_i") - F.col("s_j"), F.col("wins"), F.col("losses"))
+    def _product(held, y):
+        """The sums of w (y_i - y_j) over the pairs of each item, for every column."""
+        own, other, k = held["own"], held["other"], len(y)
+        flow = held["w"][:, None] * (y[own] - y[other])
+        return np.stack([np.bincount(own, f, k) - np.bincount(other, f, k) for f in flow.T], axis=1)
 
-    def gradient(self, state: DataFrame) -> DataFrame:
-        sums = self._over_pairs(state, ["s"]).select("i", self._terms().alias("t")).groupBy("i").agg(F.sum("t.g").alias("g"), F.sum("t.w").alias("w")).withColumnRenamed("i", "idx")
-        joined = state.join(sums, "idx", "left")
-        return written(joined.select("idx", "s", (F.coalesce("g", F.lit(0.0)) - self.ridge * F.col("s")).alias("g"), (F.coalesce("w", F.lit(0.0)) + self.ridge).alias("d")))
+    def _solve(self, width: int, tolerance: float, kind: type = np.float64) -> None:
+        """Conjugate gradients for the right sides in ``r``, with the diagonal as preconditioner, into ``x``.
 
-    def solve(self, state: DataFrame, tolerance: float) -> DataFrame:
-        """``idx, x`` with H x = g at the state's strengths."""
-        cur = state.select("idx", "s", "d", F.lit(0.0).alias("x"), F.col("g").alias("r"), (F.col("g") / F.col("d")).alias("p"))
-        rz, start = cur.agg(F.sum(F.col("r") * F.col("r") / F.col("d")), F.sum(F.col("r") * F.col("r"))).first()
+        In the form with one reduction a step: the products of u = r / d are carried on to those of the directions.
+        """
+        ridge, alpha, beta = self.ridge, None, None
+        gamma, first = None, None
         for _ in range(SOLVER_STEPS):
-            if not start:
-                break
-            h = self._over_pairs(cur, ["s", "p"]).select("i", (self._terms()["w"] * (F.col("p_i") - F.col("p_j"))).alias("v")).groupBy("i").agg(F.sum("v").alias("v")).withColumnRenamed("i", "idx")
-            cur = written(cur.join(h, "idx", "left").withColumn("h", F.coalesce("v", F.lit(0.0)) + self.ridge * F.col("p")).drop("v"))
-            step = rz / max(cur.agg(F.sum(F.col("p") * F.col("h"))).first()[0], 1e-300)
-            cur = cur.withColumn("x", F.col("x") + step * F.col("p")).withColumn("r", F.col("r") - step * F.col("h")).drop("h")
-            new, left = cur.agg(F.sum(F.col("r") * F.col("r") / F.col("d")), F.sum(F.col("r") * F.col("r"))).first()
-            if left <= tolerance**2 * start:
-                break
-            cur = cur.withColumn("p", F.col("r") / F.col("d") + new / rz * F.col("p"))
-            rz = new
-        return cur.select("idx", "x")
+
+            def send(state, alpha=alpha, beta=beta):
+                if alpha is None:
+                    state |= {"x": np.zeros_like(state["r"]), "p": np.zeros_like(state["r"]), "q": np.zeros_like(state["r"])}
+                else:
+                    state["p"] = state["u"] + beta * state["p"]
+                    state["q"] = state["h"] + beta * state["q"]
+                    state["x"] = state["x"] + alpha * state["p"]
+                    state["r"] = state["r"] - alpha * state["q"]
+                state["u"] = state["r"] / state["d"]
+                return state["u"]
+
+            def merge(state, sums):
+                state["h"] = sums + ridge * state["u"]
+                r, u = state["r"], state["u"]
+                return [*(r * u).sum(0), *(state["h"] * u).sum(0), *(r * r).sum(0)]
+
+            new, delta, rr = self._round(send, self._product, merge, kind=kind).sum(0).reshape(3, width)
+            first = rr if first is None else first
+            if (rr <= tolerance**2 * first).all():
+                return
+            new, delta = np.maximum(new, 1e-300), np.maximum(delta, 1e-300)
+            beta = np.zeros(width) if gamma is None else new / gamma
+            alpha = new / (delta if gamma is None else np.maximum(delta - beta * new / alpha, 1e-300))
+            gamma = new
+        raise RuntimeError(f"a solve didn't converge in {SOLVER_STEPS} steps")
+
+    def _errors(self) -> None:
+        """Standard errors from sign vectors z: the diagonal of the inverse is the mean of z (inverse z) over them.
+
+        What is known of the inverse is left out of the mean and added exactly. A constant is an eigenvector with value
+        ridge, so only the part of the inverse without constants, P inverse P, is sought. With D the diagonal and W the
+        weights between items the inverse begins with M = 1/D + W/D^2 + the paths of two steps, whose diagonal is a sum over
+        pairs; the diagonal of P M P needs M 1 besides, and the solve begins at P M P z. All terms of the inverse are
+        positive, so the result is held above M's. The sign vectors of items whose numbers differ modulo their count are
+        orthogonal, so that up to PROBES items nothing is left to chance.
+        """
+        ridge, m, n = self.ridge, PROBES, self.n
+        hadamard = np.array([[1.0]])
+        while len(hadamard) < m:
+            hadamard = np.block([[hadamard, hadamard], [hadamard, -hadamard]])
+
+        def signs(state):
+            idx = np.arange(state["base"], state["base"] + state["n"])
+            mixed = (idx.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+            return hadamard[idx % m] * np.where(mixed >> np.uint64(40) & np.uint64(1), 1.0, -1.0)[:, None]
+
+        def send(state):
+            if "v" not in state:
+                state["z"] = np.concatenate([signs(state), np.ones((state["n"], 1))], axis=1)
+                state["v"], state["m"] = state["z"] / state["d"], 0.0
+            return np.concatenate([state["v"], 1 / state["d"]], axis=1)
+
+        def fold(held, y):
+            own, other, k, w2 = held["own"], held["other"], len(y), held["w"] ** 2
+            two = np.bincount(own, w2 * y[other, -1], k) + np.bincount(other, w2 * y[own, -1], k)
+            return np.concatenate([_Solver._product(held, y[:, :-1]), two[:, None]], axis=1)
+
+        def merge(state, sums):
+            state["m"] = state["m"] + state["v"]
+            dots = [*state["z"].sum(0), *state["v"].sum(0)]
+            state["v"] = state["v"] - (sums[:, :-1] + ridge * state["v"]) / state["d"]
+            state["known"] = 1 / state["d"] + sums[:, -1:] / state["d"] ** 2
+            return dots
+
+        total = np.zeros(m + 1)
+        for _ in range(3):
+            dots = self._round(send, fold, merge, kind=np.float32).sum(0)
+            mean, total = dots[: m + 1] / n, total + dots[m + 1 :] / n
+        middle = total[:m] - mean[:m] * total[m]  # of M P z
+
+        def begin(state):
+            # P z less the normal matrix times P M P z
+            state["r"] = state["d"] * (state["v"][:, :m] - mean[:m] * state["v"][:, m:]) + ridge * middle
+            return state
+
+        self._change(begin)
+        self._solve(m, ERROR_RESIDUAL, np.float32)
+
+        def end(state):
+            without = state["known"] - 2 / n * state["m"][:, m:] + total[m] / n
+            found = without + (state["z"][:, :m] * state["x"]).mean(1, keepdims=True) + 1 / (n * ridge)
+            state["error"] = np.sqrt(np.maximum(found, state["known"]))
+            return state
+
+        self._change(end)
+
+    def _change(self, change: Callable) -> None:
+        def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for p in batches:
+                yield p.assign(payload=[pickle.dumps(change(pickle.loads(v))) for v in p["payload"]])
+
+        self.state = self.store.keep(self.state.select("block", "payload").mapInPandas(each, "block int, payload binary"), "state")
 
     def fit(self) -> DataFrame:
-        state = self.ids.withColumn("s", F.lit(0.0))
+        """``idx, strength, std_error`` as a written table."""
         for _ in range(NEWTON_STEPS):
-            state = self.gradient(state)
-            size = state.agg(F.max(F.abs("g"))).first()[0]
-            if size is None or size < GRADIENT:
+            if self._gradient() < GRADIENT:
                 break
-            step = self.solve(state, min(0.1, max(1e-4, size * 0.01)))
-            state = written(state.join(step, "idx").select("idx", (F.col("s") + F.col("x")).alias("s")))
-        state, rest = self.gradient(state.select("idx", "s")), None
-        for probe in range(PROBES):
-            sign = F.when(F.pmod(F.xxhash64("idx", F.lit(probe)), F.lit(2)) == 0, 1.0).otherwise(-1.0)
-            x = self.solve(state.select("idx", "s", "d", sign.alias("g")), 1e-3).select("idx", (sign * F.col("x")).alias("x"))
-            rest = x if rest is None else written(rest.unionByName(x).groupBy("idx").agg(F.sum("x").alias("x")))
-        out = state.join(rest, "idx")
-        return out.select("idx", F.col("s").alias("strength"), F.sqrt(1 / F.col("d") + F.greatest(F.col("x") / PROBES - 1 / F.col("d"), F.lit(0.0))).alias("std_error"))
-
-
-def rank_items(results: DataFrame, winner: str = "winner", loser: str = "loser", ridge: float = 1.0, driver_items: int = DRIVER_ITEMS) -> DataFrame:
+            self._solve(1, STEP_RESIDUAL)
+        else:
+            raise RuntimeError(f"strengths didn't converge in {NEWTON_STEPS} steps")
+        self._errors()
+
+        def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for p in batches:
+                for state in map(pickle.loads, p["payload"]):
+                    yield pd.DataFrame({"idx": np.arange(state["base"], state["base"] + state["n"]), "strength": state["s"][:, 0], "std_error": state["error"][:, 0]})
+
+        out = self.store.keep(self.state.select("block", "payload").mapInPandas(rows, "idx bigint, strength double, std_error double"), "fitted")
+        for df in (self.pairs, self.weighted):
+            df.unpersist()
+        return out
+
+
+def rank_items(results: DataFrame, winner: str = "winner", loser: str = "loser", ridge: float = 1.0) -> DataFrame:
     """One row per item: ``item, n_won, n_lost, strength, std_error, position``.
 
     ``results`` holds one row per decided comparison. Rows with a null side or an item against itself say nothing and are
     left out; repeated rows count as often as they stand (make them distinct before, where they are copies). Items with
     few comparisons are drawn to 0 by the prior, which also joins items that no chain of comparisons connects. Equal
-    strengths are ordered by item. An empty table gives no rows.
+    strengths are ordered by item. An empty table gives no rows. RuntimeError if the iterations do not converge.
     """
     spark = results.sparkSession
+    store = Written(spark)
     pairs = results.select(F.col(winner).alias("winner"), F.col(loser).alias("loser")).where("winner IS NOT NULL AND loser IS NOT NULL AND winner != loser")
-    pairs = checkpoint(pairs.groupBy("winner", "loser").agg(F.count("*").cast("double").alias("n")))
-    items = indexed_items(pairs)
-    n = items.count()
-    edges = both_views(pairs, items)
-    totals = edges.groupBy(F.col("i").alias("idx")).agg(F.sum("wins").cast("long").alias("n_won"), F.sum("losses").cast("long").alias("n_lost"))
-    if n <= driver_items:
-        strength, error = _DriverSolver(edges, n, ridge).fit()
-        fitted = spark.createDataFrame(pa.table({"idx": np.arange(n), "strength": strength, "std_error": error}).to_pandas(), "idx bigint, strength double, std_error double") if n else spark.createDataFrame([], "idx bigint, strength double, std_error double")
-    else:
-        fitted = _TableSolver(edges, items, ridge).fit()
-    rows = checkpoint(fitted.join(items, "idx").join(totals, "idx").select("item", "n_won", "n_lost", "strength", "std_error"))
-    # positions from a range-partitioned sort: rows before a partition plus the place in it
-    ordered = checkpoint(rows.repartitionByRange(parallelism(spark), F.desc("strength"), "item").sortWithinPartitions(F.desc("strength"), "item"))
-    placed = ordered.select("*", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("m"))
-    offset, total = F.lit(0).cast("long"), 0
-    for p, k in sorted((r[0], r[1]) for r in placed.groupBy("p").count().collect()):
-        offset = F.when(F.col("p") == p, F.lit(total)).otherwise(offset)
-        total += k
-    return placed.select("item", "n_won", "n_lost", "strength", "std_error", (offset + F.col("m") + 1).alias("position"))
+    pairs = store.keep(pairs.groupBy("winner", "loser").agg(F.count("*").cast("double").alias("n")), "pairs")
+    each = pairs.select(F.inline(F.array(F.struct(F.col("winner").alias("item"), F.col("n").alias("won"), F.lit(0.0).alias("lost")), F.struct(F.col("loser").alias("item"), F.lit(0.0).alias("won"), F.col("n").alias("lost")))))
+    totals = store.keep(each.groupBy("item").agg(F.sum("won").cast("long").alias("n_won"), F.sum("lost").cast("long").alias("n_lost")), "totals")
+    n = totals.count()
+    if not n:
+        return totals.select("*", F.lit(0.0).alias("strength"), F.lit(0.0).alias("std_error"), F.lit(0).cast("long").alias("position"))
+    sorts = parts_for(spark, n)
+    items = store.keep(ranked(totals, [], ["item"], sorts).select("item", "n_won", "n_lost", (F.col("r") - 1).alias("idx")), "items")
+    parts = -(-n // BLOCK_ITEMS)
+    fitted = _Solver(_blocks(pairs, items.select("item", "idx"), parts), n, ridge, parts).fit()
+    rows = items.join(fitted, "idx").withColumn("weak", -F.col("strength"))
+    placed = ranked(rows, [], ["weak", "item"], sorts)
+    return placed.select("item", "n_won", "n_lost", "strength", "std_error", F.col("r").alias("position"))

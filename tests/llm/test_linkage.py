@@ -53,24 +53,33 @@ def test_strengths_equal_dense_newton(spark, results):
     assert got[0].n_won == sum(i == 0 for i, _ in results)
 
 
-def test_vectors_as_tables(spark, monkeypatch):
-    monkeypatch.setattr(ranking, "PROBES", 1)
-    monkeypatch.setattr(ranking, "GRADIENT", 1e-2)
-    pairs = [(0, 1), (0, 1), (1, 2), (2, 0), (0, 2), (3, 2)]
-    want, _ = fit_exact(pairs, 4)
-    df = spark.createDataFrame(pairs, "winner int, loser int")
-    got = {r.item: r.strength for r in ranking.rank_items(df, driver_items=0).collect()}
-    assert [got[i] for i in range(4)] == pytest.approx(want.tolist(), abs=2e-2)
-
-
-def test_standard_errors_from_probes(spark, monkeypatch):
-    monkeypatch.setattr(ranking, "EXACT", 0)
+def test_blocks_change_nothing(spark, results, monkeypatch):
+    monkeypatch.setattr(ranking, "BLOCK_ITEMS", 5)
+    want, error = fit_exact(results, 12)
+    df = spark.createDataFrame(results, "winner int, loser int")
+    got = {r.item: r for r in ranking.rank_items(df).collect()}
+    assert [got[i].strength for i in range(12)] == pytest.approx(want.tolist(), abs=2e-3)
+    assert max(abs(got[i].std_error / error[i] - 1) for i in range(12)) < 0.03
+
+
+def test_standard_errors(spark):
     rng = random.Random(5)
-    pairs = [tuple(rng.sample(range(60), 2)) for _ in range(900)]
-    _, error = fit_exact(pairs, 60)
+    pairs = [tuple(rng.sample(range(60), 2)) for _ in range(900)] + [(60, 61), (61, 62), (62, 63), *[(64, i) for i in range(60)]]
+    _, error = fit_exact(pairs, 65)
     df = spark.createDataFrame([(i, j) for i, j in pairs], "winner int, loser int")
     got = {r.item: r.std_error for r in ranking.rank_items(df).collect()}
-    assert np.mean([abs(got[i] - error[i]) / error[i] for i in range(60)]) < 0.05
+    off = [abs(got[i] - error[i]) / error[i] for i in range(65)]
+    assert np.mean(off) < 0.02 and max(off) < 0.1
+    few = [p for p in pairs if max(p) < 8]
+    exact = fit_exact(few, 8)[1]
+    got = {r.item: r.std_error for r in ranking.rank_items(spark.createDataFrame(few, "winner int, loser int")).collect()}
+    assert [got[i] for i in sorted(got)] == pytest.approx([exact[i] for i in sorted(got)], rel=2e-3)
+
+
+def test_no_convergence_is_an_error(spark, results, monkeypatch):
+    monkeypatch.setattr(ranking, "NEWTON_STEPS", 1)
+    with pytest.raises(RuntimeError, match="converge"):
+        ranking.rank_items(spark.createDataFrame(results, "winner int, loser int"))
 
 
 def test_ranking_edges(spark):
