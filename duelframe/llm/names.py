@@ -1,119 +1,118 @@
 """Spellings of person names: reading a typed name, and linking the spellings of one person.
 
-A typed name is read as (given name, surname) in one or more ways; names are points of a metric space whose distance is the
-Levenshtein distance of the surnames plus a constant where the given names differ. Linking partitions that space: names
-go to their nearest pivot, boundary names also to every cell that the triangle inequality can't rule out, and each cell
-runs an exact radius join.
+A typed name is read as (given name, surname) in one or more ways. Readings are points of a metric space whose distance is
+the Levenshtein distance of the surnames plus a multiple of that of the given names; where the given name stays open, the
+space is that of the surnames alone. Linking partitions the space: names go to their nearest pivot, boundary names also to
+every cell that the triangle inequality can't rule out, and each cell runs an exact radius join.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import combinations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from duelframe.llm.pairs import pairs_in_groups
-from duelframe.runtime import checkpoint, parallelism
+from duelframe.runtime import checkpoint, parallelism, parts_for
 
-#: Greatest Levenshtein distance of the surnames of two spellings.
+#: Greatest distance of two spellings of one person.
 RADIUS = 2
-#: What different given names add to a distance; above any difference that the radius allows.
-OTHER_GIVEN = 16
+#: What an edit of the given name weighs against one of the surname. Readings have given names from a lexicon, where a typing
+#: slip is already undone, so another given name is another person: the weight is above the radius.
+GIVEN_WEIGHT = 4
 #: Names of one cell that are aimed at, and most pivots; both are about parallel work, not about results.
-CELL_NAMES, MOST_PIVOTS = 4_000, 4_096
+CELL_NAMES, MOST_PIVOTS = 256, 4_096
 #: Distinct given names a lexicon may have on the driver.
-MOST_GIVEN = 200_000
+MOST_GIVEN = 50_000
 #: Surnames up to this length are joined by their deletion neighbourhoods, longer ones by comparing.
 SHORT = 40
+#: Surnames of one given name that a word must stand before, and their share, to be learned as a form of that name.
+LEARN_SURNAMES, LEARN_SHARE = 3, 0.2
 
 #: Letters that do not decompose.
 _LETTERS = str.maketrans({"ø": "o", "ł": "l", "đ": "d", "ð": "d", "þ": "th", "æ": "ae", "œ": "oe", "ı": "i", "0": "o", "1": "l", "5": "s"})
 #: Titles and marks beside names.
 _TITLES = {"mr", "mrs", "ms", "miss", "dr", "sr", "jr", "sir", "prof", "the", "ii", "iii"}
-#: Pet forms of given names that are not their beginnings.
+#: Pet forms in general use that are not the beginning of their name. A parameter of the functions below; what
+#: it lacks is learned from the names (``learned_forms``).
 _SHORT_FORMS = """
-alexander: sasha sandy lex xander sacha
-alexandra: sasha sandra lexi ola
-aleksandra: ola sasha sandra alex
-anastasia: nastya stasia stacy asya
+abigail: gail
+albert: bert
+alexander: sandy sasha lex
+alexei: alyosha lyosha
+alfred: fred
+anastasia: nastya
+andrew: drew
 anthony: tony
-benjamin: benji benny
-cassandra: cassie sandra
+barbara: babs
+catherine: kate kathy katie kitty
+charles: chuck
+christine: tina
 christopher: kit topher
-daniel: danny
-desmond: desi
+dolores: lola
 dmitri: dima mitya
-dorothea: dora thea dot dolly
-eduardo: lalo eddie
-edward: eddie ned ted teddy
+dorothy: dolly
+edward: ned ted teddy
+eduardo: lalo
+ekaterina: katya
+eleanor: nell nora
 elizabeth: liz beth betty lizzie bess libby
-emmanuel: manny manu
-ferenc: feri
-francisca: paca chica
-francisco: paco pancho chico kiko
-frederick: freddie fritz rick
-gabriel: gabe gabi
-gabriela: gabi gaby ela
-guilherme: guilha
-henrietta: hettie etta hetty
+eugene: gene
+francis: frank
+francisco: paco pancho
+friedrich: fritz
+gerald: jerry
+giovanni: gianni
+harold: harry hal
+heinrich: heinz
+helen: nell
+henry: hank harry hal
 ignacio: nacho
-ingeborg: inga
-isabela: bela bella
-jennifer: jenny
-johannes: hans jan hannes
-jonathan: jonny nathan
-jose: pepe chepe
-joseph: joe joey
-josephine: josie fifi
+isabella: bella
+ivan: vanya
+james: jim jimmy
+jesus: chuy
+johannes: hans hannes
+john: jack
+jose: pepe
 katherine: kate kathy katie kitty
-kazimierz: kazik
-lawrence: larry laurie lars
-leandro: leo
-leonard: len lenny
-ludmila: lyuda mila luda
-malgorzata: gosia malgosia
-margaret: maggie peggy meg greta
-matheus: teus
-matthias: hias
-michael: mike mick mikey
+lawrence: larry
+malgorzata: gosia
+margaret: maggie meg peggy greta
+maria: masha
+martha: patty
+mary: molly polly
+michael: mike mick
 mikhail: misha
+natalia: natasha
 nathaniel: nate
-nicholas: nick nico klaus
-octavio: tavo
-oliver: ollie
-ottilie: tilly
-patricia: trish patty tricia
+nicholas: nick
+nikolai: kolya
+patricia: trish
 patrick: paddy
-penelope: penny
-percival: percy
-quentin: quin
-rafael: rafe
 rebecca: becky becca
 richard: dick rick ricky
 robert: bob bobby bert
-samuel: sammy
-sebastiao: bastian tiao
-stanislaw: staszek stas
+rosemary: rosie
+sarah: sally
+stanislaw: staszek
+tatiana: tanya
 theodore: ted teddy
-therese: tess resi
-timothy: timmy
-tomas: tomek
-ulrich: uli
-valentin: tino
+theresa: tess
+tomasz: tomek
 victoria: vicky tori
-vincent: vinny
-wendell: dell
-wilhelmina: mina willa minnie billie
-william: bill billy willy liam
-yevgeni: zhenya genya
-yusuf: joe
-zachary: zack zak
-zuzana: zuzka zuzi
+virginia: ginny
+vladimir: vova volodya
+walter: wally
+william: bill billy liam
+yevgeni: zhenya
 """
 
 
@@ -194,6 +193,7 @@ class Reader:
         self.given = sorted(set(given))
         self._set = set(self.given)
         self._memory: dict[str, list[tuple[str, float]]] = {}
+        self._near: dict[str, list[str]] | None = None
 
     def given_names(self, token: str) -> list[tuple[str, float]]:
         """The lexicon's names a token may stand for, with costs; none for a word that is no given name."""
@@ -207,16 +207,32 @@ class Reader:
         if token in self._set:
             return [(token, 0.0)]
         if len(token) == 1:
-            return [(g, 0.5) for g in self.given if g[0] == token]
+            return [(g, 0.5) for g in self._beginning(token)]
         found = {g: 0.25 for g in self.pet_forms.get(token, ()) if g in self._set}
-        found |= {g: 0.3 for g in self.given if g not in found and g.startswith(token)}
-        if len(token) > 2:
-            for g in self.given:
+        found |= {g: 0.3 for g in self._beginning(token) if g not in found}
+        if 2 < len(token) <= SHORT:
+            for g in self._slips(token):
                 most = 1 if min(len(g), len(token)) < 5 else 2
-                if g not in found and abs(len(g) - len(token)) <= most and levenshtein(g, token, most) <= most:
-                    found[g] = 0.2 + slip_cost(token, g)
+                if g not in found and levenshtein(g, token, most) <= most:
+                    found[g] = min(0.2 + slip_cost(token, g), OPEN_COST)
         return list(found.items())
 
+    def _beginning(self, token: str) -> list[str]:
+        at, out = bisect_left(self.given, token), []
+        while at < len(self.given) and self.given[at].startswith(token):
+            out.append(self.given[at])
+            at += 1
+        return out
+
+    def _slips(self, token: str) -> list[str]:
+        """Names that may lie within two edits: those that share a string with the token after up to two deletions each."""
+        if self._near is None:
+            self._near = {}
+            for g in self.given:
+                for d in deletions(g, 2) if len(g) <= SHORT else ():
+                    self._near.setdefault(d, []).append(g)
+        return sorted({g for d in deletions(token, 2) for g in self._near.get(d, ())})
+
     def readings(self, name: str | None) -> list[tuple[str, str, float]]:
         """(given name, surname, cost) of each way to read a name; given name "" where it is no lexicon name."""
         if name is None:
@@ -269,8 +285,9 @@ class Reader:
         if len(parts) > 1:
             out += [(*x, 0.1) for x in self._pairs(parts[:1], parts[1:])] + [(*x, 0.2) for x in self._pairs(parts[-1:], parts[:-1])]
         word = fold(token)
-        out += [(g, word[len(g) :], 0.0, 0.2) for g in self.given if word.startswith(g) and len(word) - len(g) > 2]
-        out += [(g, word[: -len(g)], 0.0, 0.3) for g in self.given if word.endswith(g) and len(word) - len(g) > 2]
+        cuts = range(1, len(word)) if len(word) <= 4 * SHORT else ()
+        out += [(word[:n], word[n:], 0.0, 0.2) for n in cuts if len(word) - n > 2 and word[:n] in self._set]
+        out += [(word[n:], word[:n], 0.0, 0.3) for n in cuts if n > 2 and word[n:] in self._set]
         return out or [("", word, OPEN_COST, 0.5)]
 
     @staticmethod
@@ -303,6 +320,7 @@ class Cell:
 
     def __init__(self, points: list[tuple[int, str, str]], radius: int):
         self.points, self.radius = points, radius
+        self.given = {g for _, g, _ in points}
         self.near: dict[tuple[str, str], list[int]] = {}
         self.long: list[int] = []
         for j, (_, g, s) in enumerate(points):
@@ -313,7 +331,9 @@ class Cell:
                 self.near.setdefault((g, d), []).append(j)
 
     def within(self, g: str, s: str) -> Iterator[tuple[int, int]]:
-        """(point id, distance) of all points of the given name within the radius."""
+        """(point id, edits of the surname) of all points of the given name within the radius."""
+        if g not in self.given:
+            return
         found = {j for j in self.long if self.points[j][1] == g}
         if len(s) <= SHORT + self.radius:
             for d in deletions(s, self.radius):
@@ -325,18 +345,64 @@ class Cell:
 
 
 def distance(a: tuple[str, str], b: tuple[str, str], most: int = 64) -> int:
-    """The metric of the space: Levenshtein of the surnames, and OTHER_GIVEN if the given names differ."""
-    return (OTHER_GIVEN if a[0] != b[0] else 0) + levenshtein(a[1], b[1], most)
+    """The metric of the space: Levenshtein of the surnames and, GIVEN_WEIGHT times, of the given names."""
+    return GIVEN_WEIGHT * levenshtein(a[0], b[0], most) + levenshtein(a[1], b[1], most)
+
+
+def distances(texts: list[str], pivots: list[str]) -> np.ndarray:
+    """Levenshtein distance of each text to each pivot (of at most 64 characters): columns of the table as bit vectors, all texts at once."""
+    lengths = np.array([len(t) for t in texts])
+    order = np.argsort(-lengths, kind="stable")  # longest first: the texts that have a character at a place come first
+    codes = np.frombuffer("".join(texts[i] for i in order).encode("utf-32-le"), np.uint32)
+    letters, flat = np.unique(codes, return_inverse=True)
+    sizes = lengths[order]
+    starts = np.cumsum(sizes) - sizes
+    out = np.empty((len(texts), len(pivots)), np.int32)
+    one, whole = np.uint64(1), ~np.uint64(0)
+    having = [int(np.searchsorted(-sizes, -place, side="left")) for place in range(int(sizes[0]) if len(sizes) else 0)]
+    columns = [flat[starts[:n] + place] for place, n in enumerate(having)]
+    for c, pivot in enumerate(pivots):
+        score = np.full(len(texts), len(pivot), np.int32)
+        if not pivot:
+            out[order, c] = sizes
+            continue
+        where = np.zeros(len(letters), np.uint64)
+        for i, letter in enumerate(pivot):
+            at = np.searchsorted(letters, ord(letter))
+            if at < len(letters) and letters[at] == ord(letter):
+                where[at] |= one << np.uint64(i)
+        top = np.uint64(len(pivot) - 1)
+        up, down = np.full(len(texts), whole), np.zeros(len(texts), np.uint64)  # where a column rises and falls
+        for n, column in zip(having, columns):
+            u, d, eq = up[:n], down[:n], where[column]
+            flat_ = (((eq & u) + u) ^ u) | eq
+            right, left = d | ~(flat_ | u), u & flat_
+            score[:n] += ((right >> top) & one).astype(np.int32) - ((left >> top) & one).astype(np.int32)
+            right, left = (right << one) | one, left << one
+            up[:n], down[:n] = left | ~(eq | d | right), right & (eq | d)
+        out[order, c] = score
+    return out
+
+
+def _to_pivots(given: list[str], surname: list[str], pivots: list[tuple[str, str]]) -> np.ndarray:
+    """Distance of each point to each pivot."""
+
+    def part(texts: list[str], marks: list[str]) -> np.ndarray:
+        own, at = np.unique(np.array(texts, object), return_inverse=True)
+        other, to = np.unique(np.array(marks, object), return_inverse=True)
+        return distances(own.tolist(), other.tolist())[np.ix_(at, to)]
+
+    return GIVEN_WEIGHT * part(given, [g for g, _ in pivots]) + part(surname, [s for _, s in pivots])
 
 
 def choose_pivots(points: DataFrame, n: int) -> list[tuple[str, str]]:
-    """For each given name its share of n surnames (at least one), picked by hash: a bounded, repeatable sample."""
-    per = Window.partitionBy("given").orderBy(F.xxhash64("surname"), "surname")
-    counted = points.select("given", "surname").distinct().withColumn("i", F.row_number().over(per)).withColumn("all", F.count("*").over(Window.partitionBy("given")))
-    total = max(1, points.count())
-    share = F.ceil(F.col("all") * n / F.lit(total))
-    rows = counted.where(F.col("i") <= share).select("given", "surname").orderBy("given", "surname").limit(MOST_PIVOTS + MOST_GIVEN).collect()
-    return [(r[0], r[1]) for r in rows]
+    """n points picked by hash: a bounded, repeatable sample. Of texts longer than 64 characters none is a pivot."""
+    short = points.select("given", "surname").distinct().where("length(given) <= 64 AND length(surname) <= 64")
+    return sorted((r[0], r[1]) for r in short.orderBy(F.xxhash64("given", "surname"), "given", "surname").limit(n).collect())
+
+
+#: Rows of which a task holds the distances to all pivots at once.
+ROWS_AT_ONCE = 1_000
 
 
 def radius_join(queries: DataFrame, points: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -344,55 +410,40 @@ def radius_join(queries: DataFrame, points: DataFrame, radius: int = RADIUS) ->
 
     A point lies in the cell of its nearest pivot. A query goes to every cell whose pivot is no further from it than its
     own nearest pivot plus twice the radius (triangle inequality), and no further than the cell's covering radius plus the
-    radius. A query whose given name no point has can't be within the radius of one.
+    radius. The radius must be below GIVEN_WEIGHT, so that names within it have one given name.
     """
+    if radius >= GIVEN_WEIGHT:
+        raise ValueError("the radius must be below the weight of the given name")
     spark = points.sparkSession
     n = points.count()
-    pivots = choose_pivots(points, min(MOST_PIVOTS, max(1, n // CELL_NAMES)))
-    if not pivots:
-        return spark.createDataFrame([], "qid bigint, pid bigint, edits int")
-    shared = spark.sparkContext.broadcast(pivots)  # at most MOST_PIVOTS, and one for each given name
-
-    def by_given() -> dict[str, list[tuple[int, str]]]:
-        out: dict[str, list[tuple[int, str]]] = {}
-        for c, (g, s) in enumerate(shared.value):
-            out.setdefault(g, []).append((c, s))
-        return out
+    pivots = choose_pivots(points, min(MOST_PIVOTS, -(-n // CELL_NAMES))) or [("", "")]
+    shared = spark.sparkContext.broadcast(pivots)  # at most MOST_PIVOTS short names
+
+    def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+        for batch in batches:
+            for at in range(0, len(batch), ROWS_AT_ONCE):
+                p = batch.iloc[at : at + ROWS_AT_ONCE]
+                yield p, _to_pivots(p["given"].tolist(), p["surname"].tolist(), shared.value)
 
-    # Pivots of other given names are OTHER_GIVEN away and so beyond any bound once the own one has a pivot.
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cells = by_given()
-        for p in batches:
-            near = []
-            for g, s in zip(p["given"], p["surname"]):
-                options = cells.get(g, ())
-                d, c = min(((levenshtein(s, t, max(len(s), len(t))), c) for c, t in options), default=(0, -1)) if len(options) > 1 else (levenshtein(s, options[0][1], 64), options[0][0]) if options else (0, -1)
-                near.append((c, d))
-            yield p.assign(cell=[c for c, _ in near], reach=[d for _, d in near])
-
-    homes = checkpoint(points.mapInPandas(assign, "pid bigint, given string, surname string, cell int, reach int"))
-    covers = {r[0]: r[1] for r in homes.groupBy("cell").agg(F.max("reach")).collect()}  # one row per pivot
+        for p, away in chunks(batches):
+            yield p.assign(cell=away.argmin(1), reach=away.min(1))
+
+    homes = checkpoint(points.repartition(parts_for(spark, n, 200_000, 2_000)).mapInPandas(assign, "pid bigint, given string, surname string, cell int, reach int"))
+    covers = np.full(len(pivots), -radius - 1)
+    for c, reach in homes.groupBy("cell").agg(F.max("reach")).collect():  # one row per pivot
+        covers[c] = reach
     covered = spark.sparkContext.broadcast(covers)
 
     def replicate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cells = by_given()
-        for p in batches:
-            rows = []
-            for q, g, s in zip(p["qid"], p["given"], p["surname"]):
-                options = cells.get(g, ())
-                if len(options) == 1:
-                    rows.append((q, g, s, options[0][0]))
-                    continue
-                away = [(levenshtein(s, t, max(len(s), len(t))), c) for c, t in options]
-                bound = min(away, default=(0, 0))[0] + 2 * radius
-                rows += [(q, g, s, c) for d, c in away if d <= bound and d <= covered.value.get(c, -radius - 1) + radius]
-            yield pd.DataFrame(rows, columns=["qid", "given", "surname", "cell"])
+        for p, away in chunks(batches):
+            row, cell = np.nonzero((away <= away.min(1, keepdims=True) + 2 * radius) & (away <= covered.value + radius))
+            yield p.iloc[row].assign(cell=cell)
 
     visits = queries.mapInPandas(replicate, "qid bigint, given string, surname string, cell int")
     sides = visits.select("cell", F.lit(True).alias("query"), F.col("qid").alias("id"), "given", "surname").unionByName(homes.select("cell", F.lit(False).alias("query"), F.col("pid").alias("id"), "given", "surname"))
-    parts = parallelism(spark)
     # the cell's points come first, then its queries stream past them
-    ordered = sides.repartition(parts, "cell").sortWithinPartitions("cell", "query")
+    ordered = sides.repartition(max(parts_for(spark, n, 200_000, 2_000), min(parallelism(spark), len(pivots))), "cell").sortWithinPartitions("cell", "query")
 
     def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cell, points_here, index = None, [], None
@@ -418,15 +469,15 @@ def spellings(df: DataFrame, column: str) -> DataFrame:
 
 
 def _lexicon(registry: DataFrame) -> list[str]:
-    """Given names of the registry: first words that stand before more than one surname."""
+    """Given names of the registry: its first words."""
 
     @F.pandas_udf("struct<given string, surname string>")
     def halves(names: pd.Series) -> pd.DataFrame:
         rows = [fold(n).split() for n in names]
         return pd.DataFrame([(r[0], "".join(r[1:])) if len(r) > 1 else (None, None) for r in rows], columns=["given", "surname"])
 
-    rows = registry.select(halves("name").alias("h")).select("h.*").where("given IS NOT NULL").groupBy("given").agg(F.countDistinct("surname").alias("k"))
-    found = [r[0] for r in rows.where("k > 1 AND length(given) > 1").select("given").limit(MOST_GIVEN + 1).collect()]
+    rows = registry.select(halves("name").alias("h")).select("h.*").where("given IS NOT NULL")
+    found = [r[0] for r in rows.where("length(given) > 1").select("given").distinct().limit(MOST_GIVEN + 1).collect()]
     if len(found) > MOST_GIVEN:
         raise ValueError("more given names than a lexicon may have; clean the registry first")
     return found
@@ -450,55 +501,113 @@ def registry_entities(registry: DataFrame) -> DataFrame:
 MOST_COST, MOST_OPEN = 3.3, 1.05
 
 
-def link_spellings(names: DataFrame, registry: DataFrame) -> DataFrame:
+def link_spellings(names: DataFrame, registry: DataFrame, pet_forms: dict[str, list[str]] | None = None) -> DataFrame:
     """``name, n, entity, display, cost`` of each spelling: the person it means.
 
     ``names`` and ``registry`` are ``name, n`` (distinct strings and their numbers of rows). Every reading of a spelling
     is joined with the registry's persons within the radius; the person with the least cost is taken (of equally near
     ones that with the greater weight). Spellings near no registered person form groups around their own most frequent
-    full spelling. Null and blank names are no spellings.
+    full spelling; a spelling that can't be read is a group of its own. Null and blank names are no spellings.
+    ``pet_forms`` maps a pet form to the given names that it stands for, in place of the general list; further ones are
+    learned.
     """
-    spark = names.sparkSession
-    people = checkpoint(registry_entities(registry))
-    given = _lexicon(registry)
-    lexicon = spark.sparkContext.broadcast(given)
-    numbered = checkpoint(names.withColumn("qid", F.xxhash64("name")))
-    linked = checkpoint(_resolve(numbered, people, lexicon).where("i = 1").select("qid", "entity", "display", "cost"))
+    people, numbered, ways = _prepared(names, registry, pet_forms)
+    linked = checkpoint(_resolve(ways, people, False).where("i = 1").select("qid", "entity", "display", "cost"))
     rest = numbered.join(linked.select("qid"), "qid", "left_anti")
-    own = _own_groups(rest, lexicon)
-    best = linked.unionByName(own.select("qid", "entity", "display", "cost"))
+    own = checkpoint(_own_groups(rest, ways).select("qid", "entity", "display", "cost"))
+    alone = rest.join(own.select("qid"), "qid", "left_anti").select("qid", F.col("qid").alias("entity"), F.col("name").alias("display"), F.lit(0.0).alias("cost"))
+    best = linked.unionByName(own).unionByName(alone)
     return numbered.join(best, "qid").select("name", "n", "entity", "display", "cost")
 
 
-def possible_people(names: DataFrame, registry: DataFrame, margin: float = 0.6) -> DataFrame:
+def possible_people(names: DataFrame, registry: DataFrame, margin: float = 0.6, pet_forms: dict[str, list[str]] | None = None) -> DataFrame:
     """``name, entity, cost`` of all registered persons a spelling may mean: those within ``margin`` of the least cost."""
-    people = checkpoint(registry_entities(registry))
-    lexicon = names.sparkSession.sparkContext.broadcast(_lexicon(registry))
-    numbered = checkpoint(names.withColumn("qid", F.xxhash64("name")))
-    near = _resolve(numbered, people, lexicon).where(F.col("cost") <= F.col("least") + margin)
+    people, numbered, ways = _prepared(names, registry, pet_forms)
+    near = _resolve(ways, people, True).where(F.col("cost") <= F.col("least") + margin)
     return numbered.select("qid", "name").join(near.select("qid", "entity", "cost"), "qid").select("name", "entity", "cost")
 
 
-def _readings(numbered: DataFrame, lexicon) -> DataFrame:
+def _prepared(names: DataFrame, registry: DataFrame, pet_forms: dict[str, list[str]] | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Registered persons, numbered names, and the names' readings."""
+    people = checkpoint(registry_entities(registry))
+    given = _lexicon(registry)
+    numbered = checkpoint(names.withColumn("qid", F.xxhash64("name")))
+    forms = PET_FORMS if pet_forms is None else pet_forms
+    first = checkpoint(_readings(numbered, given, forms))
+    learned = learned_forms(first, people)
+    if not learned:
+        return people, numbered, first
+    # only names with such a word are read in another way
+    known = names.sparkSession.createDataFrame([(w,) for w in learned], "word string")
+    again = checkpoint(first.join(known, "word", "left_semi").select("qid").distinct())
+    more = {w: sorted({*forms.get(w, ()), *g}) for w, g in learned.items()}
+    second = _readings(numbered.join(again, "qid", "left_semi"), given, forms | more)
+    return people, numbered, checkpoint(first.join(again, "qid", "left_anti").unionByName(second))
+
+
+def _readings(numbered: DataFrame, given: list[str], pet_forms: dict[str, list[str]]) -> DataFrame:
+    """``rid, qid, given, surname, cost, open, word``: a reading whose given name is open has "" for it; ``word`` is what stands for an inexact one."""
+    spark = numbered.sparkSession
+    shared = spark.sparkContext.broadcast((given, pet_forms))  # at most MOST_GIVEN names and as many forms
+
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader = Reader(lexicon.value)
+        reader = Reader(*shared.value)
         for p in batches:
             rows = []
             for q, name in zip(p["qid"], p["name"]):
+                words = [w for w in (re.sub(r"\W", "", fold(t)) for t in name.split()) if w]
                 for g, s, c in reader.readings(name):
                     # a word that is no given name (a nickname of the ring, say) leaves the given name open
-                    rows += [(q, g, s, c, False)] if g else [(q, x, s, c, True) for x in ["", *reader.given]]
-            yield pd.DataFrame(rows, columns=["qid", "given", "surname", "cost", "open"])
+                    word = next((w for w in words if w not in s), None) if c > 0 else None
+                    rows.append((q, g, s, c, not g, word))
+            yield pd.DataFrame(rows, columns=["qid", "given", "surname", "cost", "open", "word"])
+
+    parts = parts_for(spark, numbered.count(), 200_000, 2_000)
+    ways = numbered.select("qid", "name").repartition(parts).mapInPandas(read, "qid bigint, given string, surname string, cost double, open boolean, word string")
+    best = ways.groupBy("qid", "given", "surname").agg(F.min("cost").alias("cost"), F.min("open").alias("open"), F.min("word").alias("word"))
+    return best.withColumn("rid", F.xxhash64("qid", "given", "surname"))
 
-    ways = numbered.select("qid", "name").mapInPandas(read, "qid bigint, given string, surname string, cost double, open boolean")
-    return ways.groupBy("qid", "given", "surname").agg(F.min("cost").alias("cost"), F.min("open").alias("open"))
+
+def learned_forms(ways: DataFrame, people: DataFrame) -> dict[str, list[str]]:
+    """Words that stand for given names, from the names themselves.
+
+    A word that is no given name of the lexicon, before an exact surname that only persons of one given name have, suggests
+    that given name. It is learned as a form of each name that LEARN_SURNAMES of its surnames and a share of LEARN_SHARE of
+    them suggest.
+    """
+    sure = people.groupBy("surname").agg(F.min("given").alias("given"), F.max("given").alias("other")).where("given = other AND given != ''").select("surname", "given")
+    seen = ways.where("length(word) > 1").select("word", "surname").distinct().join(sure, "surname")
+    counts = seen.groupBy("word", "given").agg(F.count("*").alias("k"))
+    total = counts.groupBy("word").agg(F.sum("k").alias("all"))
+    rows = counts.where(F.col("k") >= LEARN_SURNAMES).join(total, "word").where(F.col("k") >= LEARN_SHARE * F.col("all")).select("word", "given").limit(MOST_GIVEN + 1).collect()
+    if len(rows) > MOST_GIVEN:
+        raise ValueError("more forms of given names than a lexicon may have; clean the names first")
+    out: dict[str, list[str]] = {}
+    for word, given in rows:
+        if word != given:
+            out.setdefault(word, []).append(given)
+    return out
+
+
+def _near(ways: DataFrame, points: DataFrame, every: bool) -> DataFrame:
+    """``rid, pid`` of readings and points ``pid, given, surname, weight`` within the radius; open readings by surname alone.
+
+    Of the points with one surname an open reading gets all with ``every``, else the one of greatest weight.
+    """
+    closed = radius_join(ways.where("NOT open").select(F.col("rid").alias("qid"), "given", "surname"), points.select("pid", "given", "surname"))
+    # surnames in their own space, with ids made of them
+    last = points.select("surname").distinct().select(F.xxhash64("surname").alias("pid"), F.lit("").alias("given"), "surname")
+    loose = ways.where("open")
+    met = radius_join(loose.select("surname").distinct().select(F.xxhash64("surname").alias("qid"), F.lit("").alias("given"), "surname"), last)
+    holders = points if every else points.groupBy("surname").agg(F.max_by("pid", F.struct("weight", -F.col("pid"))).alias("pid"))
+    people = holders.select("pid", F.xxhash64("surname").alias("sid"))
+    opened = loose.select("rid", F.xxhash64("surname").alias("qid")).join(met.withColumnRenamed("pid", "sid"), "qid").join(people, "sid").select("rid", "pid")
+    return closed.select(F.col("qid").alias("rid"), "pid").unionByName(opened)
 
 
-def _resolve(numbered: DataFrame, people: DataFrame, lexicon) -> DataFrame:
-    ways = checkpoint(_readings(numbered, lexicon).withColumn("rid", F.xxhash64("qid", "given", "surname")))
-    points = people.select(F.col("entity").alias("pid"), "given", "surname")
-    near = radius_join(ways.select(F.col("rid").alias("qid"), "given", "surname"), points)
-    hits = near.withColumnRenamed("qid", "rid").join(ways.withColumnRenamed("surname", "typed").drop("given"), "rid").join(people.withColumnRenamed("entity", "pid"), "pid")
+def _resolve(ways: DataFrame, people: DataFrame, every: bool) -> DataFrame:
+    points = people.select(F.col("entity").alias("pid"), "given", "surname", "weight")
+    hits = _near(ways, points, every).join(ways.withColumnRenamed("surname", "typed").drop("given", "word"), "rid").join(people.withColumnRenamed("entity", "pid"), "pid")
 
     @F.pandas_udf("double")
     def slips(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -511,21 +620,22 @@ def _resolve(numbered: DataFrame, people: DataFrame, lexicon) -> DataFrame:
     return scored.withColumn("i", F.row_number().over(order)).withColumn("least", F.min("cost").over(Window.partitionBy("qid")))
 
 
-def _own_groups(rest: DataFrame, lexicon) -> DataFrame:
+def _own_groups(rest: DataFrame, readings: DataFrame) -> DataFrame:
     """Groups of spellings without a registered person: each goes to the strongest spelling within the radius of one of its readings.
 
     A spelling is strong if it reads plainly (a full known given name), then by its number of rows; a leader that itself
     follows another passes its followers on.
     """
-    ways = checkpoint(_readings(rest, lexicon).where("cost < 2").withColumn("rid", F.xxhash64("qid", "given", "surname")))
+    ways = checkpoint(readings.join(rest.select("qid"), "qid", "left_semi").where("cost < 2"))
     best = F.min_by(F.struct("given", "surname", "cost"), F.struct("cost", "given", "surname")).alias("b")
     full = checkpoint(ways.groupBy("qid").agg(best).join(rest.select("qid", "name", "n"), "qid").select("qid", "name", "n", "b.given", "b.surname", "b.cost"))
-    near = radius_join(ways.select(F.col("rid").alias("qid"), "given", "surname"), full.select(F.col("qid").alias("pid"), "given", "surname"))
-    hits = near.withColumnRenamed("qid", "rid").join(ways.select("rid", "qid"), "rid")
     strength = full.select(F.col("qid").alias("pid"), F.struct((-F.col("cost")).alias("plain"), "n", "qid").alias("strength"), F.col("name").alias("display"))
-    top = hits.join(strength, "pid").groupBy("qid").agg(F.max(F.struct("strength", "pid", "display", "edits")).alias("b")).select("qid", "b.pid", "b.display", F.col("b.edits").cast("double").alias("cost"))
+    points = full.select(F.col("qid").alias("pid"), "given", "surname", F.struct((-F.col("cost")).alias("plain"), "n").alias("weight"))
+    hits = _near(ways, points, False).join(ways.select("rid", "qid"), "rid")
+    itself = full.select("qid", F.col("qid").alias("pid"))  # so that each has a leader
+    top = hits.select("qid", "pid").unionByName(itself).join(strength, "pid").groupBy("qid").agg(F.max(F.struct("strength", "pid", "display")).alias("b")).select("qid", "b.pid", "b.display")
     leaders = top.select(F.col("qid").alias("pid"), F.col("pid").alias("next"), F.col("display").alias("next_display"))
-    return top.join(leaders, "pid").select("qid", F.col("next").alias("entity"), F.col("next_display").alias("display"), "cost")
+    return top.join(leaders, "pid").select("qid", F.col("next").alias("entity"), F.col("next_display").alias("display"), F.lit(0.0).alias("cost"))
 
 
 #: Spellings of one person that one task pairs.

@@ -99,6 +99,29 @@ def test_normal_is_exact():
 letters = st.text("abcd", max_size=7)
 
 
+@given(st.lists(st.text("abcdé", max_size=9), min_size=1, max_size=8), st.lists(st.text("abcxé", max_size=64), min_size=1, max_size=4))
+@settings(max_examples=150, deadline=None)
+def test_distances_of_a_batch(texts, pivots):
+    got = names.distances(texts, pivots)
+    assert got.tolist() == [[names.levenshtein(t, p, 99) for p in pivots] for t in texts]
+
+
+def test_forms_are_learned(spark):
+    people = [(f"{g} {s}", 2) for g, s in [("Rafael", x + "kahol") for x in ("Du", "Mu", "Lo", "Ty")] + [("Leandro", x + "viren") for x in ("Du", "Mu", "Lo", "Ty")]]
+    typed = [f"Rafa {x}kahol" for x in ("Du", "Mu", "Lo")] + [f"Tuto {x}viren" for x in ("Du", "Mu", "Lo")] + ["Tuto Tyvirem", "Hammer Dukahol", "Hammer Muviren", "Hammer Tykahol"]
+    linked = names.link_spellings(table(spark, [(t, 1) for t in typed]), table(spark, people), {})
+    got = {r.name: r.display for r in linked.collect()}
+    assert got["Tuto Tyvirem"] == "Leandro Tyviren" and got["Rafa Dukahol"] == "Rafael Dukahol" and got["Hammer Tykahol"] == "Rafael Tykahol"
+    people_table = names.registry_entities(table(spark, people))
+    ways = names._readings(table(spark, [(t, 1) for t in typed]).withColumn("qid", names.F.xxhash64("name")), ["rafael", "leandro"], {})
+    assert names.learned_forms(ways, people_table) == {"tuto": ["leandro"], "rafa": ["rafael"]}
+
+
+def test_unreadable_names_are_their_own_group(spark):
+    linked = names.link_spellings(table(spark, [("王 明", 1), ("-", 1), ("Rafael Kholaliz", 1)]), table(spark, [("Rafael Kholaliz", 2)]))
+    assert {r.name: r.display for r in linked.collect()} == {"王 明": "王 明", "-": "-", "Rafael Kholaliz": "Rafael Kholaliz"}
+
+
 @given(letters, letters, letters)
 @settings(max_examples=200, deadline=None)
 def test_distance_is_a_metric(a, b, c):
