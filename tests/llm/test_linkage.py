@@ -235,6 +235,29 @@ def test_solver_ends_converged_or_says_so(spark):
     rows = [(b, q, 0.9, 0.5 + 0.1 * b, 0.3 * q, 0.5, 0.1) for b in (1, 2, 3) for q in (1, 2, 3)]
     pairs = spark.createDataFrame(rows, "bet_id bigint, quote_id bigint, s_name double, s_date double, s_odds double, alike double, apart double")
     rules = softlogic.Rules(close=1e-4)
-    assert max(abs(r.x - r.y) for r in softlogic.solve(pairs, rules).collect()) < rules.close
+    at_once = {(r.bet_id, r.quote_id): r for r in softlogic.solve(pairs, rules).collect()}
+    in_rounds = {(r.bet_id, r.quote_id): r for r in softlogic.solve(pairs, rules, whole=1).collect()}
+    assert set(at_once) == set(in_rounds) and len(at_once) == 9
+    for k, r in at_once.items():
+        assert max(r.primal, r.dual) < rules.close and r.y == pytest.approx(in_rounds[k].y, abs=2e-3)
     with pytest.raises(RuntimeError, match="not converged"):
-        softlogic.solve(pairs, softlogic.Rules(rounds=6, close=0.0))
+        softlogic.solve(pairs, softlogic.Rules(rounds=6, close=0.0), whole=1).collect()
+    p = pairs.withColumn("label", softlogic.F.lit(1)).toPandas()
+    with pytest.raises(RuntimeError, match="not converged"):
+        softlogic.solve_sets(p, softlogic.Rules(rounds=6, close=0.0))
+
+
+def test_connected_bets(spark):
+    chain = [(b, q) for q in range(40) for b in (q, q + 1)] + [(100, 200), (101, 200), (102, 201), (7, 300), (100, 301)]
+    pairs = spark.createDataFrame(chain, "bet_id bigint, quote_id bigint")
+    got = {r.bet_id: r.label for r in softlogic.connected_bets(pairs).collect()}
+    assert got == {**{b: 0 for b in range(41)}, 100: 100, 101: 100}
+    assert softlogic.connected_bets(pairs.limit(0)).count() == 0
+
+
+def test_links_by_one_name(spark):
+    people = spark.createDataFrame([(n, e, 0.0) for n, e in (("A", 1), ("B", 2), ("C", 3))], "name string, entity bigint, cost double")
+    bets = spark.createDataFrame([(1, 100, "?", "B", "red", 2.0), (2, 100, "A", "C", "blue", None), (3, 200, None, None, "red", 2.0)], "bet_id bigint, day int, red string, blue string, side string, odds double")
+    quotes = spark.createDataFrame([(10, 100, "B", "C", 1.8, 2.02), (11, 100, "A", None, None, 3.0), (12, 101, "C", "", 1.5, 2.9), (13, 100, None, "B", 9.0, 1.8), (14, 111, "A", "C", 2.0, 2.0)], "quote_id bigint, day int, first string, second string, odds_1 double, odds_2 double")
+    got = {r.quote_id: r.bet_id for r in softlogic.link(bets, quotes, people).collect()}
+    assert got == {10: 1, 11: 2, 12: 2}
