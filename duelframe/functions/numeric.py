@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 EPSILON = 1e-6
 #: Lower ends and labels of left-closed buckets; a value below the first end has no bucket.
 BUCKETS = {
-    "odds": ((-math.inf, "<1.50"), (1.5, "1.50-1.99"), (2.0, "2.00-2.99"), (3.0, "3.00-4.99"), (5.0, "5.00+")),
+    "odds": ((-math.inf, "odds < 1.5"), (1.5, "1.5 <= odds < 2.0"), (2.0, "2.0 <= odds < 3.0"), (3.0, "3.0 <= odds < 5.0"), (5.0, "odds >= 5.0")),
     "market": ((-math.inf, "longshot"), (0.25, "underdog"), (0.45, "near coin flip"), (0.55, "slight favorite"), (0.70, "heavy favorite")),
-    "model": ((-math.inf, "<0.35"), (0.35, "0.35-0.45"), (0.45, "0.45-0.55"), (0.55, "0.55-0.65"), (0.65, "0.65+")),
-    "edge": ((0.0, "0.00-0.02"), (0.02, "0.02-0.05"), (0.05, "0.05-0.08"), (0.08, "0.08-0.10"), (0.10, "0.10+")),
+    "model": ((-math.inf, "<0.35"), (0.35, "0.35-0.45"), (0.45, "0.45-0.55"), (0.55, "0.55-0.65"), (0.65, ">0.65")),
+    "edge": ((0.0, "0.00-0.02"), (0.02, "0.02-0.05"), (0.05, "0.05-0.08"), (0.08, "0.08-0.10"), (0.10, ">0.10")),
 }
 
 

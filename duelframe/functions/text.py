@@ -11,24 +11,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Texts that stand for a missing value.
-PLACEHOLDERS = ("", "---", "--", "-", "null", "NULL", "None", "none", "nan", "NaN", "N/A")
-#: Contest classes, in the order in which they are looked for (a longer label before the one it contains).
+PLACEHOLDERS = ("", " ", "---", "--", "-", "null", "NULL", "None", "none", "nan", "NaN")
+#: Contest classes, in the order in which they are looked for.
 WEIGHT_CLASSES = (
     "women's strawweight",
     "women's flyweight",
     "women's bantamweight",
     "women's featherweight",
     "light heavyweight",
-    "strawweight",
-    "flyweight",
-    "bantamweight",
-    "featherweight",
-    "lightweight",
-    "welterweight",
     "middleweight",
+    "welterweight",
+    "lightweight",
+    "featherweight",
+    "bantamweight",
+    "flyweight",
     "heavyweight",
-    "catch weight",
     "open weight",
+    "catch weight",
+    "superfight",
 )
 
 

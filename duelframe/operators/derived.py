@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duelframe.functions import numeric as N
+from duelframe.runtime import checkpoint
 
 PER_FIGHT = {"win_pct": "total_wins", "sig_strikes_landed_per_fight": "total_sig_strikes_landed", "sig_strikes_attempted_per_fight": "total_sig_strikes_attempted"}
 PER_FIGHT |= {f"{m}_per_fight": f"total_{m}" for m in ("td_landed", "td_attempted", "sub_att", "ctrl_seconds", "kd", "kd_absorbed")}
@@ -75,6 +76,7 @@ def shared_scores(long: DataFrame, columns: list[str]) -> DataFrame:
 
 def power(long: DataFrame) -> DataFrame:
     """Knockdown efficiencies, power, vulnerability and durability indices. Needs ``career_rates`` before it."""
+    long = checkpoint(long)  # read for the weights, the means and the rows
     rows = long.crossJoin(F.broadcast(strike_weights(long)))  # one row
     strikes = {p: F.col(f"total_sig_strikes_{p}_landed") for p in ("head", "body", "leg")}
     taken = {p: F.col(f"total_sig_strikes_{p}_absorbed") for p in strikes}

@@ -24,19 +24,19 @@ def _all_buckets(bets: DataFrame, kind: str) -> DataFrame:
 
 
 def segment(bets: DataFrame, kind: str) -> DataFrame:
-    """Count, wins, profit, return and drawdown of each bucket; a bucket without bets is a row with 0 bets.
+    """Count, wins, profit, return, drawdown and means of each bucket; a bucket without bets is a row with 0 bets.
 
     Bets below the first bucket form one more row with a null bucket. ``kind`` is side, odds, market, model or edge.
     """
     label = F.col("selected_side") if kind == "side" else bucket(F.col(SEGMENTS[kind]), kind)
     rows = bets.withColumn("bucket", label)
-    agg = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.col("bet_won").cast("int")).alias("won"), F.sum("profit").alias("sum_profit"), F.sum("stake").alias("sum_stake"), F.avg("selected_edge").alias("avg_edge"), F.avg("selected_decimal_odds").alias("avg_odds"))
+    agg = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.col("bet_won").cast("int")).alias("won"), F.sum("profit").alias("sum_profit"), F.sum("stake").alias("sum_stake"), F.avg(F.coalesce(F.col("bet_won").cast("int"), F.lit(0))).alias("win_rate"), *[F.avg(f"selected_{c}").alias(f"avg_{n}") for c, n in (("edge", "edge"), ("decimal_odds", "odds"), ("model_prob", "model_prob"), ("market_prob", "market_prob"))])
     falls = drawdown(running(rows, ["bucket"], "profit", "e"), ["bucket"], "e")
     stats = agg.join(falls, agg["bucket"].eqNullSafe(falls["bucket"])).drop(falls["bucket"])
     every = _all_buckets(bets, kind)
     out = every.join(stats, "bucket", "full")
     z = lambda c: F.coalesce(c, F.lit(0.0))
-    return out.select("bucket", F.coalesce("n", F.lit(0)).alias("n_bets"), F.coalesce("won", F.lit(0)).alias("wins"), z("sum_profit").alias("total_profit"), F.when(F.col("sum_stake") > 0, F.col("sum_profit") / F.col("sum_stake")).otherwise(0.0).alias("roi"), "avg_edge", "avg_odds", z("max_drawdown").alias("max_drawdown"))
+    return out.select("bucket", F.coalesce("n", F.lit(0)).alias("n_bets"), F.coalesce("won", F.lit(0)).alias("wins"), z("sum_profit").alias("total_profit"), F.when(F.col("sum_stake") > 0, F.col("sum_profit") / F.col("sum_stake")).otherwise(0.0).alias("roi"), "win_rate", "avg_edge", "avg_odds", "avg_model_prob", "avg_market_prob", z("max_drawdown").alias("max_drawdown")).orderBy(F.desc("roi"), F.desc("total_profit"), F.desc("n_bets"))
 
 
 def edge_quality(bets: DataFrame) -> DataFrame:
@@ -47,19 +47,23 @@ def edge_quality(bets: DataFrame) -> DataFrame:
 
 
 def edge_correlations(bets: DataFrame) -> DataFrame:
-    """Pearson correlations of edge and odds with winning and profit."""
+    """Pearson correlations of edge, model and market probability with winning, and of edge with profit."""
     won = F.col("bet_won").cast("double")
-    pairs = {"edge_won": ("selected_edge", won), "edge_profit": ("selected_edge", F.col("profit")), "odds_won": ("selected_decimal_odds", won), "model_prob_won": ("selected_model_prob", won)}
+    pairs = {"edge_won": ("selected_edge", won), "edge_profit": ("selected_edge", F.col("profit")), "model_prob_won": ("selected_model_prob", won), "market_prob_won": ("selected_market_prob", won)}
     stats = bets.agg(*[F.corr(F.col(a), b).alias(n) for n, (a, b) in pairs.items()])
     return stats.select(F.inline(F.array(*[F.struct(F.lit(n).alias("pair"), F.col(n).alias("correlation")) for n in pairs])))
 
 
 def favourites_and_longshots(bets: DataFrame) -> DataFrame:
-    """Three overlapping groups by odds (below 2, from 2, from 3): counts, win rate, profit and return."""
+    """Three overlapping groups by odds (below 2, from 2, from 3): counts, win rate, means, profit and return; 0 in an empty group."""
     o = F.col("selected_decimal_odds")
-    labels = F.array_compact(F.array(F.when(o < 2, F.lit("favorite")), F.when(o >= 2, F.lit("underdog")), F.when(o >= 3, F.lit("longshot"))))
-    rows = bets.select("*", F.explode(labels).alias("group_name"))
-    return rows.groupBy("group_name").agg(F.count("*").alias("n_bets"), F.avg(F.col("bet_won").cast("int")).alias("win_rate"), F.sum("profit").alias("total_profit"), (F.sum("profit") / F.sum("stake")).alias("roi"))
+    groups = {"favorites_only": o < 2, "underdogs_only": o >= 2, "longshots_only": o >= 3}
+    rows = bets.select("*", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in groups.items()]))).alias("segment"))
+    won = F.coalesce(F.col("bet_won").cast("int"), F.lit(0))
+    stats = rows.groupBy("segment").agg(F.count("*").alias("n_bets"), F.avg(won).alias("win_rate"), F.sum("profit").alias("total_profit"), (F.sum("profit") / F.sum("stake")).alias("roi"), F.avg("selected_edge").alias("avg_edge"), F.avg("selected_decimal_odds").alias("avg_odds"))
+    every = bets.sparkSession.createDataFrame([(n,) for n in groups], "segment string")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0)).alias(c)
+    return every.join(stats, "segment", "left").select("segment", F.coalesce("n_bets", F.lit(0)).alias("n_bets"), *map(zero, ("win_rate", "total_profit", "roi", "avg_edge", "avg_odds")))
 
 
 def months_and_quarters(bets: DataFrame) -> DataFrame:

@@ -92,11 +92,11 @@ def career_span(long: DataFrame) -> DataFrame:
 
 
 def layoffs(long: DataFrame, short: int = 100, long_: int = 365) -> DataFrame:
-    """``days_since_last`` (null at the debut) and the flags ``short_turnaround``, ``long_layoff``."""
+    """``days_since_last_fight`` (null at the debut) and the flags ``short_turnaround``, ``long_layoff``."""
     rows = before(long, {}, most={"last_day": F.col("day")})
     days = F.col("day") - F.col("last_day")
     flag = lambda c: F.when(c, 1).otherwise(0)
-    return rows.select(*long.columns, days.alias("days_since_last"), flag(days < short).alias("short_turnaround"), flag(days > long_).alias("long_layoff"))
+    return rows.select(*long.columns, days.alias("days_since_last_fight"), flag(days < short).alias("short_turnaround"), flag(days > long_).alias("long_layoff"))
 
 
 def endurance(long: DataFrame) -> DataFrame:
@@ -104,11 +104,11 @@ def endurance(long: DataFrame) -> DataFrame:
     decision, late = F.contains(F.coalesce("method", F.lit("")), F.lit("decision")), F.coalesce(F.col("round") >= 3, F.lit(False))
     five = F.coalesce(F.col("rounds") >= 5, F.lit(False))
     one = lambda c: F.when(c, 1.0).otherwise(0.0)
-    names = {"avg_duration_seconds": F.col("duration_seconds"), "decision_rate": one(decision), "late_finish_rate": one(late & ~decision), "third_round_rate": one(late)}
-    counts = {"five_round_scheduled": one(five), "five_round_completed": one(five & F.coalesce(F.col("round") >= 4, F.lit(False))), "five_round_wins": one(five) * F.col("won"), "five_round_losses": one(five) * F.col("lost")}
+    names = {"avg_fight_duration_seconds": F.col("duration_seconds"), "decision_rate": one(decision), "late_finish_rate": one(late & ~decision), "third_round_or_later_rate": one(late)}
+    counts = {"past_5_round_scheduled_fights": one(five), "five_round_fights_completed": one(five & F.coalesce(F.col("round") >= 4, F.lit(False))), "past_5_round_wins": one(five) * F.col("won"), "past_5_round_losses": one(five) * F.col("lost")}
     rows = before(long, {"__n": F.lit(1), **names, **counts})
     kept = [c for c in rows.columns if c not in (*names, "__n")]
-    return rows.select(*kept, *[N.ratio(F.col(c), F.col("__n")).alias(c) for c in names], F.col("five_round_scheduled").alias("five_round_experience"))
+    return rows.select(*kept, *[N.ratio(F.col(c), F.col("__n")).alias(c) for c in names], F.col("past_5_round_scheduled_fights").alias("five_round_experience"))
 
 
 def past_opponents(long: DataFrame, metrics: list[str]) -> DataFrame:
@@ -153,7 +153,12 @@ def last_n(long: DataFrame, n: int = 2, prefix: str | None = None) -> DataFrame:
     return long.join(state.select(*KEYS, *out, per_minute.alias(f"{prefix}sig_strikes_landed_per_min")), KEYS)
 
 
-def decayed(long: DataFrame, half_life: float = 365.0, prefix: str = "decay_") -> DataFrame:
+def decay_weight(days: float, half_life: float = 365.0) -> float:
+    """The weight of a contest so many days ago."""
+    return math.exp(-math.log(2) / half_life * days)
+
+
+def decayed(long: DataFrame, half_life: float = 365.0, prefix: str = "exp_decay_") -> DataFrame:
     """``<prefix><metric>`` with weights that halve every ``half_life`` days; 0 where all weights vanish.
 
     exp(rate * (day - origin)) is summed instead of a weight per pair of contests: what depends on the later day cancels.

@@ -29,7 +29,8 @@ def evaluate(df: DataFrame, by: list[str], label: str = "label", p: str = "p") -
     Rows without a label or probability are left out; the groups' keys must not be null. The AUC comes from counts per
     distinct probability: negatives with a lower one are those of the lower slices of [0, 1] and those before in the slice.
     """
-    rows = df.where(F.col(label).isNotNull() & F.col(p).isNotNull())
+    # three aggregates read the rows
+    rows = checkpoint(df.where(F.col(label).isNotNull() & F.col(p).isNotNull()).select(*by, label, p))
     y, q = F.col(label) == 1, F.col(p) >= 0.5
     n = lambda c: F.sum(F.when(c, 1).otherwise(0))
     base = rows.groupBy(*by).agg(F.count("*").alias("n"), n(y).alias("n_pos"), _log_loss(F.col(label), F.col(p)).alias("log_loss"), F.avg((F.col(p) - F.col(label)) ** 2).alias("brier"), F.avg((y == q).cast("int")).alias("accuracy"), n(y & q).alias("tp"), n(~y & q).alias("fp"), n(y & ~q).alias("fn"))

@@ -22,7 +22,7 @@ from duelframe.operators import metrics as M
 from duelframe.runtime import checkpoint
 
 #: The final models' settings and the spaces that the searches draw from.
-LOGISTIC = {"C": 10.0, "l1_ratio": 0.8, "max_iter": 500}
+LOGISTIC = {"C": 10.0, "l1_ratio": 0.8, "max_iter": 5000}
 FOREST = {"numTrees": 800, "maxDepth": 12, "featureSubsetStrategy": "0.3", "minInstancesPerNode": 1, "subsamplingRate": 1.0, "impurity": "entropy", "class_weight": "balanced"}
 BOOST = {"maxIter": 300, "maxDepth": 2, "stepSize": 0.01, "subsamplingRate": 0.85, "minInstancesPerNode": 5}
 #: The searches' spaces are the reference's, as far as Spark ML has them: 30 is its deepest tree, "entropy" is also the
@@ -133,7 +133,7 @@ def forward_selection(train: DataFrame, validation: DataFrame, candidates: list[
     chosen, path, best = list(start or []), [], float("inf")
     train, validation = train.cache(), validation.cache()
     while rest := [c for c in candidates if c not in chosen]:
-        tried = [fit_and_evaluate(train, validation, [*chosen, c], c, **settings) for c in rest]
+        tried = evaluate_sets(train, validation, {c: [*chosen, c] for c in rest}, **settings)
         top = min(tried, key=lambda r: r["log_loss"])
         if best - top["log_loss"] < least_gain and path:
             break
@@ -143,26 +143,58 @@ def forward_selection(train: DataFrame, validation: DataFrame, candidates: list[
     return path
 
 
+def evaluate_sets(train: DataFrame, validation: DataFrame, sets: dict[str, list[str]], **settings) -> list[dict]:
+    """Metrics of named feature sets in their order; a few are fitted at once."""
+    train, validation = train.cache(), validation.cache()
+    with ThreadPool(AT_ONCE) as pool:
+        return pool.starmap(lambda n, f: fit_and_evaluate(train, validation, f, n, **settings), [(n, f) for n, f in sets.items() if f], 1)
+
+
 def compare_sets(train: DataFrame, validation: DataFrame, sets: dict[str, list[str]], **settings) -> list[dict]:
     """Metrics of named feature sets, best log loss first."""
-    rows = [fit_and_evaluate(train, validation, f, n, **settings) for n, f in sets.items() if f]
+    return sorted(evaluate_sets(train, validation, sets, **settings), key=lambda r: r["log_loss"])
+
+
+def leave_one_out(train: DataFrame, validation: DataFrame, features: list[str], base: list[str] | None = None, **settings) -> list[dict]:
+    """Metrics with each of ``features`` left out, beside ``base``, with the change of each metric against all of them."""
+    fixed = [f for f in base or [] if f not in features]
+    every = evaluate_sets(train, validation, {"all": [*fixed, *features], **{f: [*fixed, *[g for g in features if g != f]] for f in features}}, **settings)
+    full, rows = every[0], every[1:]
+    delta = lambda r: {f"delta_{m}": r[m] - full[m] for m in ("log_loss", "roc_auc", "brier", "accuracy")}
+    return [{"removed": r["name"], **{k: v for k, v in r.items() if k != "name"}, **delta(r)} for r in rows]
+
+
+def penalty_grid(train: DataFrame, validation: DataFrame, features: list[str], strengths: tuple[float, ...], ratios: tuple[float, ...]) -> list[dict]:
+    """Metrics of each pair of inverse penalty strength and share of the absolute penalty, best log loss first."""
+    train, validation = train.cache(), validation.cache()
+    picks = [{"C": c, "l1_ratio": r} for c in strengths for r in ratios]
+    with ThreadPool(AT_ONCE) as pool:
+        rows = pool.map(lambda s: {"settings": s, **fit_and_evaluate(train, validation, features, "", **s)}, picks, 1)
     return sorted(rows, key=lambda r: r["log_loss"])
 
 
+def interactions(df: DataFrame, feature: str, groups: dict[str, list[str]], by: str = "weight_class") -> tuple[DataFrame, list[str]]:
+    """``df`` with the feature times the indicator of each group of classes (all others are "Other"), and the new names."""
+    group = F.lit("Other")
+    for name, labels in groups.items():
+        group = F.when(F.lower(by).isin(*labels), F.lit(name)).otherwise(group)
+    names = [f"{feature}_x_{g}" for g in (*groups, "Other")]
+    return df.select("*", *[F.when(group == n.rsplit("_x_", 1)[1], N.real(F.col(feature))).otherwise(0.0).alias(n) for n in names]), names
+
+
 def ablation(train: DataFrame, validation: DataFrame, groups: dict[str, list[str]], **settings) -> list[dict]:
     """All groups, then without each group in turn, with the change of log loss."""
     every = list(dict.fromkeys(f for g in groups.values() for f in g))
     base = fit_and_evaluate(train, validation, every, "all", **settings)
-    rows = [{**base, "delta": 0.0}]
-    for name, group in groups.items():
-        row = fit_and_evaluate(train, validation, [f for f in every if f not in group], f"without {name}", **settings)
-        rows.append({**row, "delta": row["log_loss"] - base["log_loss"] if "log_loss" in row else None})
-    return rows
+    fits = evaluate_sets(train, validation, {f"without {n}": [f for f in every if f not in group] for n, group in groups.items()}, **settings)
+    return [{**base, "delta": 0.0}, *[{**r, "delta": r["log_loss"] - base["log_loss"]} for r in fits]]
 
 
 def subset_search(train: DataFrame, validation: DataFrame, base: list[str], pool: list[str], sizes: tuple[int, ...] = (2, 3, 4), tie: float = 1e-3, **settings) -> tuple[list[dict], dict]:
     """All subsets of the pool of the given sizes on top of ``base``; the pick is the smallest within ``tie`` of the best."""
-    rows = [fit_and_evaluate(train, validation, [*base, *s], "+".join(s), **settings) | {"size": k} for k in sizes for s in combinations(pool, k)]
+    subsets = {"+".join(s): s for k in sizes for s in combinations(pool, k)}
+    fits = evaluate_sets(train, validation, {n: [*base, *s] for n, s in subsets.items()}, **settings)
+    rows = [r | {"size": len(subsets[r["name"]])} for r in fits]
     best = min(r["log_loss"] for r in rows)
     return rows, min((r for r in rows if r["log_loss"] <= best + tie), key=lambda r: (r["size"], r["log_loss"]))
 

@@ -109,3 +109,8 @@ def require_unique(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def join_one_to_one(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     return require_unique(left, keys).join(require_unique(right, keys), keys, how)
+
+
+def most_used_source(quotes: DataFrame) -> DataFrame:
+    """One row: the source with most quotes, the first by name of equally frequent ones."""
+    return quotes.groupBy(F.col("source").alias("odds_source")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "odds_source").limit(1)

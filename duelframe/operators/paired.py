@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from duelframe.functions import numeric as N
 from duelframe.functions import text as X
 from duelframe.operators.entity_features import clean_type, latest_versions
+from duelframe.runtime import checkpoint
 
 SIDES = ("red", "blue")
 #: Measures of a side that a contest may have; absent ones are null.
@@ -59,7 +60,7 @@ def strike_totals(stats: DataFrame) -> DataFrame:
 
 def with_strikes(contests: DataFrame, totals: DataFrame) -> DataFrame:
     """The contests with each side's strike totals; null where a side has no records."""
-    out = contests
+    out, totals = contests, checkpoint(totals)  # joined for either side
     for s in SIDES:
         side = totals.select("bout_id", F.col("entity").alias(f"{s}_id"), *[F.col(c).alias(f"{s}_{c}") for c in STRIKES])
         out = out.join(side, ["bout_id", f"{s}_id"], "left")

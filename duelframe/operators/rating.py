@@ -1,7 +1,7 @@
 """Elo ratings before each contest.
 
 A rating depends on the opponent's rating at the time, so contests must be folded in order; no window expresses that. The
-fold reads five narrow columns in date order from a range-partitioned sort, streams them, and holds one number per entity.
+fold reads five narrow columns from one sorted partition (an external sort), streams them, and holds one number per entity.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ def elo(contests: DataFrame, k: float = 32.0, initial: float = 500.0) -> DataFra
     """
     score = F.when(F.col("outcome") == "red_win", 1.0).when(F.col("outcome") == "blue_win", 0.0).otherwise(0.5)
     rows = contests.select("bout_id", "day", F.col("red_id").alias("r"), F.col("blue_id").alias("b"), score.alias("s"))
-    ordered = rows.repartitionByRange(parallelism(contests.sparkSession), "day", "bout_id").sortWithinPartitions("day", "bout_id").coalesce(1)
+    ordered = rows.repartition(1).sortWithinPartitions("day", "bout_id")
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ratings: dict = {}
@@ -35,6 +35,8 @@ def elo(contests: DataFrame, k: float = 32.0, initial: float = 500.0) -> DataFra
             ids, days, reds, blues, scores = (batch.column(i).to_pylist() for i in range(5))
             red, blue = np.empty(len(ids)), np.empty(len(ids))
             for i, day in enumerate(days):
+                if today is not None and day < today:
+                    raise RuntimeError("the contests are out of order")
                 if day != today:
                     for x, y, s in waiting:
                         a, b = ratings.get(x, initial), ratings.get(y, initial)

@@ -67,15 +67,24 @@ def fold_rows(df: DataFrame, folds: DataFrame, day: str = "event_date") -> DataF
     return rows.withColumn("part", part).where("part IS NOT NULL").drop("calibration_year", "test_year")
 
 
-#: What a modelling table may hold besides ``pre_fight_*``, ``diff_*`` and ``*_diff``.
-SAFE_NAMES = ("bout_id", "event_date", "red_name", "blue_name", "red_win", "weight_class", "red_fighter_name", "blue_fighter_name")
-#: Words that point to results of the contest itself.
-SUSPECT_WORDS = ("outcome", "winner", "method", "end_time", "result", "odds", "profit", "landed_current", "judge", "score_card", "finish_time", "referee")
+#: What a modelling table may hold besides ``pre_fight_*``, ``diff_*`` and ``*_diff``. Names and classes are
+#: also those of this package's contest table.
+SAFE_NAMES = (
+    "bout_id", "event_date", "red_win", "weight_class", "weight_class_clean", "red_name", "blue_name", "red_fighter_name", "blue_fighter_name",
+    "red_fighter_age", "blue_fighter_age", "red_fighter_height", "blue_fighter_height", "red_fighter_reach", "blue_fighter_reach", "red_fighter_stance", "blue_fighter_stance",
+    "red_age", "blue_age", "red_height", "blue_height", "red_reach", "blue_reach", "red_stance", "blue_stance",
+    "red_grappler_vs_blue_striker", "red_striker_vs_blue_grappler", "red_finish_vs_blue_durability", "blue_finish_vs_red_durability",
+    "red_td_offense_vs_blue_td_defense", "blue_td_offense_vs_red_td_defense", "red_grappling_pressure_vs_blue_defense", "blue_grappling_pressure_vs_red_defense",
+)
+#: Words in a feature's name that point to the contest itself.
+SUSPECT_WORDS = ("result", "outcome", "method", "round", "time", "odds", "referee", "details", "fighter_1_odds", "fighter_2_odds", "event_name", "event_location")
+#: Names in which "round" is a matter of earlier contests.
+EARLIER_ROUNDS = ("five_round", "past_5_round", "third_round")
 
 
 def safe_columns(df: DataFrame, strict: bool = False) -> list[str]:
     """Columns that a model may see; ``strict`` also drops differences of the contest's own statistics."""
-    ok = [c for c in df.columns if c in SAFE_NAMES or c.startswith(("pre_fight_", "diff_", "recent_", "decay_")) or c.endswith("_diff")]
+    ok = [c for c in df.columns if c in SAFE_NAMES or c.startswith(("pre_fight_", "diff_")) or c.endswith("_diff")]
     return [c for c in ok if not (strict and c.endswith("_diff") and not c.startswith("pre_fight_") and c not in ("age_diff", "reach_diff", "height_diff"))]
 
 
@@ -83,6 +92,11 @@ def modelling_table(df: DataFrame, since: str = "2010-01-01", strict: bool = Fal
     return df.select(*safe_columns(df, strict)).where(F.col(day) >= F.lit(since).cast("date"))
 
 
-def suspects(columns: list[str]) -> list[str]:
-    """Feature names with a word that points to a result, apart from scheduled rounds."""
-    return [c for c in columns if any(w in c for w in SUSPECT_WORDS) or ("round" in c and not c.startswith(("pre_fight_", "diff_")))]
+def suspects(columns: list[str]) -> dict[str, list[str]]:
+    """The feature names with words that point to the contest itself, and those words."""
+    out = {}
+    for c in columns:
+        words = [w for w in SUSPECT_WORDS if w in c.lower() and not (w == "round" and any(e in c.lower() for e in EARLIER_ROUNDS))]
+        if words:
+            out[c] = words
+    return out

@@ -18,7 +18,7 @@ from duelframe.operators import odds as O
 from duelframe.operators import paired as P
 from duelframe.operators import splits as S
 from duelframe.operators.rating import elo
-from duelframe.runtime import read_table
+from duelframe.runtime import checkpoint, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -65,7 +65,8 @@ NUDGE = 1e-9
 
 # --- the same tables in SQL -------------------------------------------------------------------------------------------
 
-_TOKENS = ", ".join(f"'{t}'" for t in X.PLACEHOLDERS)
+_TOKENS = "'', ' ', '---', '--', '-', 'null', 'NULL', 'None', 'none', 'nan', 'NaN'"
+_CLASSES = ("women's strawweight", "women's flyweight", "women's bantamweight", "women's featherweight", "light heavyweight", "middleweight", "welterweight", "lightweight", "featherweight", "bantamweight", "flyweight", "heavyweight", "open weight", "catch weight", "superfight")
 
 
 def _clock(c: str) -> str:
@@ -83,8 +84,12 @@ def _rounds(c: str) -> str:
     return rf"coalesce(TRY_CAST(regexp_extract(lower({c}), '^\s*(\d+)\s*rnd', 1) AS INT), {parts}, TRY_CAST(regexp_extract({c}, '\d+', 0) AS INT))"
 
 
+def _titled(label: str) -> str:
+    return " ".join(w[0].upper() + w[1:] for w in label.split())
+
+
 def _class(c: str) -> str:
-    whens = " ".join("WHEN contains(lower({c}), '{a}') THEN '{b}'".format(c=c, a=w.replace("'", "''"), b=X._title(w).replace("'", "''")) for w in X.WEIGHT_CLASSES)
+    whens = " ".join("WHEN contains(lower({c}), '{a}') THEN '{b}'".format(c=c, a=w.replace("'", "''"), b=_titled(w).replace("'", "''")) for w in _CLASSES)
     return f"CASE {whens} END"
 
 
@@ -189,17 +194,17 @@ def career_span(spark, folder):
 _SINCE = f"day - max(day) {_PREV}"
 
 
-@query(_select({"days_since_last": _SINCE, "short_turnaround": f"CASE WHEN {_SINCE} < 100 THEN 1 ELSE 0 END", "long_layoff": f"CASE WHEN {_SINCE} > 365 THEN 1 ELSE 0 END"}, round_=False))
+@query(_select({"days_since_last_fight": _SINCE, "short_turnaround": f"CASE WHEN {_SINCE} < 100 THEN 1 ELSE 0 END", "long_layoff": f"CASE WHEN {_SINCE} > 365 THEN 1 ELSE 0 END"}, round_=False))
 def layoff_flags(spark, folder):
-    return H.layoffs(results_only(spark, folder)).select("bout_id", "side", "days_since_last", "short_turnaround", "long_layoff")
+    return H.layoffs(results_only(spark, folder)).select("bout_id", "side", "days_since_last_fight", "short_turnaround", "long_layoff")
 
 
 _DEC, _LATE, _FIVE = "contains(coalesce(method, ''), 'decision')", "coalesce(round >= 3, false)", "coalesce(rounds >= 5, false)"
 _ENDURANCE = {
-    "avg_duration_seconds": _ratio(_sum("duration_seconds"), _sum("1")), "decision_rate": _ratio(_sum(f"{_DEC}::INT"), _sum("1")),
-    "late_finish_rate": _ratio(_sum(f"({_LATE} AND NOT {_DEC})::INT"), _sum("1")), "third_round_rate": _ratio(_sum(f"({_LATE})::INT"), _sum("1")),
-    "five_round_scheduled": _sum(f"({_FIVE})::INT"), "five_round_completed": _sum(f"({_FIVE} AND coalesce(round >= 4, false))::INT"),
-    "five_round_wins": _sum(f"({_FIVE})::INT * won"), "five_round_losses": _sum(f"({_FIVE})::INT * lost"),
+    "avg_fight_duration_seconds": _ratio(_sum("duration_seconds"), _sum("1")), "decision_rate": _ratio(_sum(f"{_DEC}::INT"), _sum("1")),
+    "late_finish_rate": _ratio(_sum(f"({_LATE} AND NOT {_DEC})::INT"), _sum("1")), "third_round_or_later_rate": _ratio(_sum(f"({_LATE})::INT"), _sum("1")),
+    "past_5_round_scheduled_fights": _sum(f"({_FIVE})::INT"), "five_round_fights_completed": _sum(f"({_FIVE} AND coalesce(round >= 4, false))::INT"),
+    "past_5_round_wins": _sum(f"({_FIVE})::INT * won"), "past_5_round_losses": _sum(f"({_FIVE})::INT * lost"),
 }
 
 
@@ -214,7 +219,7 @@ o AS (SELECT r.bout_id, r.side, r.entity, r.day, q.win_pct AS ow, q.total_wins A
 SELECT bout_id, side, {", ".join(f"round(coalesce(avg({a}) {_PREV}, 0), 6) AS avg_opponent_{n}" for a, n in (("ow", "win_pct"), ("ot", "total_wins"), ("ofi", "total_fights")))} FROM o"""
 )
 def opponent_strength(spark, folder):
-    rows = D.career_rates(H.career_totals(long(spark, folder)))
+    rows = checkpoint(D.career_rates(H.career_totals(long(spark, folder))))  # joined with itself
     metrics = ["win_pct", "total_wins", "total_fights"]
     return rounded(H.past_opponents(rows, metrics), ["bout_id", "side"], [f"avg_opponent_{m}" for m in metrics])
 
@@ -246,23 +251,24 @@ _W = "pow(2.0, -(a.day - b.day) / 365.0)"
 
 
 @query(
-    f"""WITH {LONG_SQL} SELECT a.bout_id, a.side, {", ".join(f"round(CASE WHEN sum({_W}) > 1e-6 THEN sum({_W} * coalesce(b.{c}, 0)) / sum({_W}) ELSE 0 END, 6) AS decay_{n}" for n, c in H.FORM.items())},
-  round(CASE WHEN sum({_W}) > 1e-6 AND sum({_W} * coalesce(b.duration_seconds, 0)) > 1e-6 THEN sum({_W} * coalesce(b.sig_landed, 0)) * 60 / sum({_W} * coalesce(b.duration_seconds, 0)) ELSE 0 END, 6) AS decay_sig_strikes_landed_per_min
+    f"""WITH {LONG_SQL} SELECT a.bout_id, a.side, {", ".join(f"round(CASE WHEN sum({_W}) > 1e-6 THEN sum({_W} * coalesce(b.{c}, 0)) / sum({_W}) ELSE 0 END, 6) AS exp_decay_{n}" for n, c in H.FORM.items())},
+  round(CASE WHEN sum({_W}) > 1e-6 AND sum({_W} * coalesce(b.duration_seconds, 0)) > 1e-6 THEN sum({_W} * coalesce(b.sig_landed, 0)) * 60 / sum({_W} * coalesce(b.duration_seconds, 0)) ELSE 0 END, 6) AS exp_decay_sig_strikes_landed_per_min
 FROM l a LEFT JOIN l b ON a.entity = b.entity AND b.day < a.day GROUP BY a.bout_id, a.side"""
 )
 def exp_decay_form(spark, folder):
-    return rounded(H.decayed(long(spark, folder)), ["bout_id", "side"], _form_columns("decay_"))
+    return rounded(H.decayed(long(spark, folder)), ["bout_id", "side"], _form_columns("exp_decay_"))
 
 
 _EXPECTED = "1 / (1 + pow(10, (coalesce(s.m[o.blue_id], 500) - coalesce(s.m[o.red_id], 500)) / 400))"
 
 
-@query(
-    f"""WITH RECURSIVE {CONTESTS_SQL}, o AS (SELECT *, row_number() OVER (ORDER BY day, bout_id) AS n, rank() OVER (ORDER BY day) AS first_n, CASE outcome WHEN 'red_win' THEN 1.0::DOUBLE WHEN 'blue_win' THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END AS score FROM c),
+elo_ratings_sql = f"""WITH RECURSIVE {CONTESTS_SQL}, o AS (SELECT *, row_number() OVER (ORDER BY day, bout_id) AS n, rank() OVER (ORDER BY day) AS first_n, CASE outcome WHEN 'red_win' THEN 1.0::DOUBLE WHEN 'blue_win' THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END AS score FROM c),
 s(n, m) AS (SELECT 0::BIGINT, MAP([]::BIGINT[], []::DOUBLE[]) UNION ALL SELECT o.n, map_concat(s.m, MAP([o.red_id, o.blue_id], [coalesce(s.m[o.red_id], 500) + 32 * (o.score - {_EXPECTED}), coalesce(s.m[o.blue_id], 500) + 32 * ({_EXPECTED} - o.score)])) FROM s JOIN o ON o.n = s.n + 1),
 r AS (SELECT o.bout_id, coalesce(s.m[o.red_id], 500) AS red_elo, coalesce(s.m[o.blue_id], 500) AS blue_elo FROM o JOIN s ON s.n = o.first_n - 1)
 SELECT bout_id, round(red_elo, 6) AS red_elo, round(blue_elo, 6) AS blue_elo, round(red_elo - blue_elo, 6) AS elo_diff, round(1 / (1 + pow(10, (blue_elo - red_elo) / 400)), 6) AS red_elo_win_prob FROM r"""
-)
+
+
+@query(elo_ratings_sql)
 def elo_ratings(spark, folder):
     return rounded(elo(contests(spark, folder)), ["bout_id"], ["red_elo", "blue_elo", "elo_diff", "red_elo_win_prob"])
 
@@ -271,7 +277,7 @@ def elo_ratings(spark, folder):
 
 
 def _rated(spark, folder) -> DataFrame:
-    return D.career_rates(H.career_totals(P.to_long(struck(spark, folder))))
+    return D.career_rates(H.career_totals(checkpoint(P.to_long(struck(spark, folder), ["sig_landed", "sig_attempted", "td_landed", "td_attempted", "kd", "sub_att", "ctrl_seconds", *P.STRIKES[:6]]))))
 
 
 _STRIKES_SQL = f"""s0 AS (SELECT DISTINCT * FROM contest_stats), s1 AS (SELECT * FROM s0 QUALIFY row_number() OVER (PARTITION BY record_id ORDER BY loaded_at DESC) = 1),
@@ -515,12 +521,15 @@ def implied_probs(spark, folder):
 
 
 def merged(spark: SparkSession, folder: str) -> DataFrame:
-    """Contests with the latest northbook quote of their date and names."""
-    q = O.implied_probabilities(O.latest_quotes(quotes(spark, folder).where(F.lower("source") == "northbook").withColumn("source", F.lower("source"))))
+    """Contests with the latest quote of the chosen source for their date and names."""
+    every = quotes(spark, folder)
+    chosen = O.choose_source(O.source_coverage(every)).select("source")
+    q = O.implied_probabilities(O.latest_quotes(every.join(F.broadcast(chosen), "source", "left_semi")))  # one row
     return O.merge_quotes(contests(spark, folder), q)
 
 
-_NB_SQL = f"{QUOTES_SQL}, lq AS (SELECT * REPLACE (lower(source) AS source) FROM q WHERE lower(source) = 'northbook' QUALIFY row_number() OVER (PARTITION BY event_date, pair_key ORDER BY quoted_at DESC NULLS FIRST, quote_id DESC) = 1), {_PROB_SQL.split('= 1), ', 1)[1]}"
+_PICK_SQL = "SELECT source FROM v WHERE source NOT IN ('UNKNOWN_SOURCE', 'NO_SOURCE_COLUMN') AND n_contests >= 0.8 * (SELECT max(n_contests) FROM v) ORDER BY n_contests DESC, n_missing, source LIMIT 1"
+_NB_SQL = f"{_COVER_SQL}, lq AS (SELECT * FROM q WHERE source = ({_PICK_SQL}) QUALIFY row_number() OVER (PARTITION BY event_date, pair_key ORDER BY quoted_at DESC NULLS FIRST, quote_id DESC) = 1), {_PROB_SQL.split('= 1), ', 1)[1]}"
 _CK = f"least({_KEY.format(c='red_name')}, {_KEY.format(c='blue_name')}) || '__' || greatest({_KEY.format(c='red_name')}, {_KEY.format(c='blue_name')})"
 _TURN = ", ".join(f"CASE WHEN key_1 = red_key THEN {n}_{i} ELSE {n}_{3 - i} END AS {s}_{name}" for n, name in (("decimal", "decimal_odds"), ("prob", "implied_prob_raw"), ("novig", "implied_prob_novig")) for i, s in ((1, "red"), (2, "blue")))
 MERGED_SQL = f"{CONTESTS_SQL}, {_NB_SQL}, ck AS (SELECT *, {_KEY.format(c='red_name')} AS red_key, {_CK} AS pair_key FROM c), mg AS (SELECT ck.bout_id, ck.event_date, ck.day, ck.outcome, ck.red_win, ip.source IS NOT NULL AS matched, ip.overround AS odds_overround, {_TURN} FROM ck LEFT JOIN ip ON ip.event_date = ck.event_date AND ip.pair_key = ck.pair_key)"
@@ -577,10 +586,31 @@ def fold_parts(spark, folder):
     return S.fold_rows(c, S.walk_forward_folds(c)).groupBy("fold_id", "part").agg(F.count("*").alias("n_rows"), F.round(F.avg("red_win"), 6).alias("target_mean"))
 
 
-@query(f"WITH {CONTESTS_SQL} SELECT bout_id, event_date::VARCHAR AS event_date, red_name, red_win FROM c WHERE event_date >= DATE '2015-01-01'")
+_ATTRIBUTES = ["red_height", "blue_height", "red_reach", "blue_reach"]
+
+
+@query(f"WITH {CONTESTS_SQL} SELECT bout_id, event_date::VARCHAR AS event_date, red_name, blue_name, red_win, weight_class, {', '.join(_ATTRIBUTES)} FROM c WHERE event_date >= DATE '2010-01-01'")
 def model_safe_filter(spark, folder):
-    c = contests(spark, folder)
-    return dates_as_text(S.modelling_table(c, "2015-01-01").select("bout_id", "event_date", "red_name", "red_win"))
+    c = contests(spark, folder).drop("red_stance", "blue_stance")
+    return dates_as_text(S.modelling_table(c))
+
+
+_SAFE_SQL = "'bout_id', 'event_date', 'red_win', 'weight_class_clean', 'red_fighter_name', 'blue_fighter_name', " + ", ".join(f"'{s}_fighter_{c}'" for s in ("red", "blue") for c in ("age", "height", "reach", "stance"))
+
+
+@query(f"SELECT column_name FROM (DESCRIBE combined_data) WHERE column_name IN ({_SAFE_SQL}) OR starts_with(column_name, 'pre_fight_') OR starts_with(column_name, 'diff_') OR ends_with(column_name, '_diff')")
+def model_safe_columns(spark, folder):
+    names = S.safe_columns(read_table(spark, folder, "combined_data"))
+    return spark.createDataFrame([(n,) for n in names], "column_name string")
+
+
+_WORDS_SQL = "['result', 'outcome', 'method', 'round', 'time', 'odds', 'referee', 'details', 'fighter_1_odds', 'fighter_2_odds', 'event_name', 'event_location']"
+
+
+@query(f"SELECT column_name, array_to_string(list_filter({_WORDS_SQL}, lambda w: contains(column_name, w)), ', ') AS words FROM (SELECT column_name FROM (DESCRIBE combined_data) UNION SELECT column_name FROM (DESCRIBE quotes_raw)) d WHERE len(list_filter({_WORDS_SQL}, lambda w: contains(column_name, w))) > 0")
+def suspicious_columns(spark, folder):
+    found = S.suspects(sorted({*read_table(spark, folder, "combined_data").columns, *read_table(spark, folder, "quotes_raw").columns}))
+    return spark.createDataFrame([(c, ", ".join(w)) for c, w in found.items()], "column_name string, words string")
 
 
 # --- predictions, metrics ---------------------------------------------------------------------------------------------
@@ -701,11 +731,14 @@ def kelly_backtest(spark, folder):
     return rows.groupBy("edge_threshold", "kelly_fraction").agg(F.count("*").alias("n_bets"), F.round(F.ln(F.max_by("bankroll", F.struct("event_date", "bout_id"))), 5).alias("log_final_bankroll"), F.round(F.ln(F.max("bankroll")), 5).alias("log_best_bankroll"))
 
 
-def flat_at(spark: SparkSession, folder: str, threshold: float = 0.02) -> DataFrame:
-    return B.flat_profit(B.bets_at(bets(spark, folder), threshold))
+def flat_at(spark: SparkSession, folder: str) -> DataFrame:
+    """The flat bets at the threshold with the best return."""
+    flat = checkpoint(B.flat_profit(bets(spark, folder)))
+    best = B.best_threshold(B.summary(flat, ["edge_threshold"])).select("edge_threshold")
+    return flat.join(F.broadcast(best), "edge_threshold", "left_semi")  # one row
 
 
-_AT = "at0 AS (SELECT * FROM fc WHERE round(edge_threshold, 10) = 0.02)"
+_AT = f"{_SUM_SQL}, at0 AS (SELECT * FROM fc WHERE edge_threshold = (SELECT edge_threshold FROM sm ORDER BY roi DESC, total_profit DESC, n_bets DESC, edge_threshold LIMIT 1))"
 
 
 @query(f"WITH {BETS_SQL}, {_AT} SELECT bout_id, row_number() OVER w AS bet_number, round(sum(profit) OVER (w ROWS UNBOUNDED PRECEDING), 6) AS running_profit, round(CASE WHEN count(*) OVER (w ROWS 49 PRECEDING) >= 10 THEN sum(profit) OVER (w ROWS 49 PRECEDING) / sum(stake) OVER (w ROWS 49 PRECEDING) END + 1e-9, 6) AS rolling_roi FROM at0 WINDOW w AS (ORDER BY event_date, bout_id)")
@@ -714,23 +747,31 @@ def rolling_roi(spark, folder):
     return rounded(rows.withColumn("rolling_roi", F.col("rolling_roi") + NUDGE), ["bout_id", "bet_number"], ["running_profit", "rolling_roi"])
 
 
+_ENDS = {
+    "odds": (("-inf", "odds < 1.5"), (1.5, "1.5 <= odds < 2.0"), (2.0, "2.0 <= odds < 3.0"), (3.0, "3.0 <= odds < 5.0"), (5.0, "odds >= 5.0")),
+    "market": (("-inf", "longshot"), (0.25, "underdog"), (0.45, "near coin flip"), (0.55, "slight favorite"), (0.70, "heavy favorite")),
+    "model": (("-inf", "<0.35"), (0.35, "0.35-0.45"), (0.45, "0.45-0.55"), (0.55, "0.55-0.65"), (0.65, ">0.65")),
+    "edge": ((0.0, "0.00-0.02"), (0.02, "0.02-0.05"), (0.05, "0.05-0.08"), (0.08, "0.08-0.10"), (0.10, ">0.10")),
+}
+
+
 def _bucket_sql(kind: str, c: str) -> str:
-    whens = " ".join(f"WHEN {c} >= {lo} THEN '{name}'" if lo != float("-inf") else f"WHEN {c} IS NOT NULL THEN '{name}'" for lo, name in reversed(N.BUCKETS[kind]))
+    whens = " ".join(f"WHEN {c} IS NOT NULL THEN '{name}'" if lo == "-inf" else f"WHEN {c} >= {lo} THEN '{name}'" for lo, name in reversed(_ENDS[kind]))
     return f"CASE {whens} END"
 
 
 def _segment_sql(kind: str) -> str:
     label = "selected_side" if kind == "side" else _bucket_sql(kind, G.SEGMENTS[kind])
-    names = ["red", "blue"] if kind == "side" else [n for _, n in N.BUCKETS[kind]]
+    names = ["red", "blue"] if kind == "side" else [n for _, n in _ENDS[kind]]
     every = ", ".join(f"('{n}')" for n in names)
     return f"""WITH {BETS_SQL}, {_AT}, s1 AS (SELECT *, {label} AS bucket FROM at0), s2 AS (SELECT *, sum(profit) OVER (PARTITION BY bucket ORDER BY event_date, bout_id ROWS UNBOUNDED PRECEDING) AS e FROM s1), s3 AS (SELECT *, max(e) OVER (PARTITION BY bucket ORDER BY event_date, bout_id ROWS UNBOUNDED PRECEDING) - e AS d FROM s2),
-s4 AS (SELECT bucket, count(*) AS n, sum(bet_won::INT) AS won, sum(profit) AS pf, sum(stake) AS st, avg(selected_edge) AS ae, avg(selected_decimal_odds) AS ao, max(d) AS dd FROM s3 GROUP BY bucket), ev(bucket) AS (VALUES {every})
-SELECT bucket, coalesce(n, 0)::BIGINT AS n_bets, coalesce(won, 0)::BIGINT AS wins, round(coalesce(pf, 0), 6) AS total_profit, round(coalesce(pf / st, 0), 6) AS roi, round(ae, 6) AS avg_edge, round(ao, 6) AS avg_odds, round(coalesce(dd, 0), 6) AS max_drawdown FROM ev FULL JOIN s4 USING (bucket)"""
+s4 AS (SELECT bucket, count(*) AS n, sum(bet_won::INT) AS won, sum(profit) AS pf, sum(stake) AS st, avg(bet_won::INT) AS wr, avg(selected_edge) AS ae, avg(selected_decimal_odds) AS ao, avg(selected_model_prob) AS mp, avg(selected_market_prob) AS kp, max(d) AS dd FROM s3 GROUP BY bucket), ev(bucket) AS (VALUES {every})
+SELECT bucket, coalesce(n, 0)::BIGINT AS n_bets, coalesce(won, 0)::BIGINT AS wins, round(coalesce(pf, 0), 6) AS total_profit, round(coalesce(pf / st, 0), 6) AS roi, round(wr, 6) AS win_rate, round(ae, 6) AS avg_edge, round(ao, 6) AS avg_odds, round(mp, 6) AS avg_model_prob, round(kp, 6) AS avg_market_prob, round(coalesce(dd, 0), 6) AS max_drawdown FROM ev FULL JOIN s4 USING (bucket)"""
 
 
 def _segment_query(kind: str):
     def run(spark, folder):
-        return rounded(G.segment(flat_at(spark, folder), kind), ["bucket", "n_bets", "wins"], ["total_profit", "roi", "avg_edge", "avg_odds", "max_drawdown"])
+        return rounded(G.segment(flat_at(spark, folder), kind), ["bucket", "n_bets", "wins"], ["total_profit", "roi", "win_rate", "avg_edge", "avg_odds", "avg_model_prob", "avg_market_prob", "max_drawdown"])
 
     run.__name__ = f"segment_{kind}"
     return query(_segment_sql(kind))(run)
@@ -740,19 +781,19 @@ for _kind in ("side", "odds", "market", "model", "edge"):
     _segment_query(_kind)
 
 
-@query(f"WITH {BETS_SQL}, {_AT}, s AS (SELECT *, {_bucket_sql('edge', 'selected_edge')} AS bucket FROM at0), a AS (SELECT bucket, count(*) AS n, avg(selected_edge) AS ae, avg(bet_won::INT) AS wr, avg(selected_model_prob) AS mp, sum(profit) / sum(stake) AS r FROM s GROUP BY bucket), ev(bucket) AS (VALUES {', '.join(f'({chr(39)}{n}{chr(39)})' for _, n in N.BUCKETS['edge'])}) SELECT bucket, coalesce(n, 0)::BIGINT AS n_bets, round(ae, 6) AS avg_edge, round(wr, 6) AS win_rate, round(mp, 6) AS avg_model_prob, round(coalesce(r, 0), 6) AS roi FROM ev LEFT JOIN a USING (bucket)")
+@query(f"WITH {BETS_SQL}, {_AT}, s AS (SELECT *, {_bucket_sql('edge', 'selected_edge')} AS bucket FROM at0), a AS (SELECT bucket, count(*) AS n, avg(selected_edge) AS ae, avg(bet_won::INT) AS wr, avg(selected_model_prob) AS mp, sum(profit) / sum(stake) AS r FROM s GROUP BY bucket), ev(bucket) AS (VALUES {', '.join(f'({chr(39)}{n}{chr(39)})' for _, n in _ENDS['edge'])}) SELECT bucket, coalesce(n, 0)::BIGINT AS n_bets, round(ae, 6) AS avg_edge, round(wr, 6) AS win_rate, round(mp, 6) AS avg_model_prob, round(coalesce(r, 0), 6) AS roi FROM ev LEFT JOIN a USING (bucket)")
 def edge_quality(spark, folder):
     return rounded(G.edge_quality(flat_at(spark, folder)), ["bucket", "n_bets"], ["avg_edge", "win_rate", "avg_model_prob", "roi"])
 
 
-@query(f"WITH {BETS_SQL}, {_AT}, s AS (SELECT corr(selected_edge, bet_won::INT) AS a, corr(selected_edge, profit) AS b, corr(selected_decimal_odds, bet_won::INT) AS c, corr(selected_model_prob, bet_won::INT) AS d FROM at0) SELECT unnest(['edge_won', 'edge_profit', 'odds_won', 'model_prob_won']) AS pair, round(unnest([a, b, c, d]), 6) AS correlation FROM s")
+@query(f"WITH {BETS_SQL}, {_AT}, s AS (SELECT corr(selected_edge, bet_won::INT) AS a, corr(selected_edge, profit) AS b, corr(selected_model_prob, bet_won::INT) AS c, corr(selected_market_prob, bet_won::INT) AS d FROM at0) SELECT unnest(['edge_won', 'edge_profit', 'model_prob_won', 'market_prob_won']) AS pair, round(unnest([a, b, c, d]), 6) AS correlation FROM s")
 def edge_correlations(spark, folder):
     return rounded(G.edge_correlations(flat_at(spark, folder)), ["pair"], ["correlation"])
 
 
-@query(f"WITH {BETS_SQL}, {_AT}, s AS (SELECT 'favorite' AS group_name, * FROM at0 WHERE selected_decimal_odds < 2 UNION ALL SELECT 'underdog', * FROM at0 WHERE selected_decimal_odds >= 2 UNION ALL SELECT 'longshot', * FROM at0 WHERE selected_decimal_odds >= 3) SELECT group_name, count(*) AS n_bets, round(avg(bet_won::INT), 6) AS win_rate, round(sum(profit), 6) AS total_profit, round(sum(profit) / sum(stake), 6) AS roi FROM s GROUP BY 1")
+@query(f"WITH {BETS_SQL}, {_AT}, g(segment, lo, hi) AS (VALUES ('favorites_only', 0, 2), ('underdogs_only', 2, 1e9), ('longshots_only', 3, 1e9)) SELECT segment, count(bout_id) AS n_bets, round(coalesce(avg(bet_won::INT), 0), 6) AS win_rate, round(coalesce(sum(profit), 0), 6) AS total_profit, round(coalesce(sum(profit) / sum(stake), 0), 6) AS roi, round(coalesce(avg(selected_edge), 0), 6) AS avg_edge, round(coalesce(avg(selected_decimal_odds), 0), 6) AS avg_odds FROM g LEFT JOIN at0 ON selected_decimal_odds >= lo AND selected_decimal_odds < hi GROUP BY segment")
 def favorite_longshot(spark, folder):
-    return rounded(G.favourites_and_longshots(flat_at(spark, folder)), ["group_name", "n_bets"], ["win_rate", "total_profit", "roi"])
+    return rounded(G.favourites_and_longshots(flat_at(spark, folder)), ["segment", "n_bets"], ["win_rate", "total_profit", "roi", "avg_edge", "avg_odds"])
 
 
 @query(f"WITH {BETS_SQL}, {_AT}, s AS (SELECT 'month' AS period_kind, strftime(event_date, '%Y-%m') AS period, * FROM at0 UNION ALL SELECT 'quarter', year(event_date) || 'Q' || quarter(event_date), * FROM at0) SELECT period_kind, period, count(*) AS n_bets, sum(bet_won::INT)::BIGINT AS wins, round(sum(profit), 6) AS total_profit, round(sum(profit) / sum(stake), 6) AS roi FROM s GROUP BY 1, 2")
@@ -800,8 +841,51 @@ def _one(c: Column) -> Column:
     return F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0)).cast("bigint")
 
 
-@query(f"WITH {LONG_SQL}, x AS (SELECT {_sum('1')} AS f, {_sum('won')} AS w FROM l) SELECT coalesce(sum((w > f)::INT), 0)::BIGINT AS wins_above_fights, 0::BIGINT AS debut_with_streak, 0::BIGINT AS debut_with_layoff, 0::BIGINT AS debut_with_form FROM x")
+_DEBUT = f"{LONG_SQL}, n AS (SELECT bout_id, side, {_sum('1')} AS f, {_sum('won')} AS w FROM l)"
+
+
+@query(f"""WITH {_DEBUT}, fo AS ({_form_sql(2)}) SELECT coalesce(sum((w > f)::INT), 0)::BIGINT AS wins_above_fights, count(*) FILTER (WHERE f = 0) AS n_debuts, coalesce(sum((f = 0 AND recent_2_win_pct <> 0)::INT), 0)::BIGINT AS debut_with_form,
+  (SELECT count(*) FROM l a WHERE NOT EXISTS (SELECT 1 FROM l b WHERE b.entity = a.entity AND b.day < a.day) AND EXISTS (SELECT 1 FROM l b WHERE b.entity = a.entity AND b.day < a.day AND b.won + b.lost > 0)) AS debut_with_streak, (SELECT count(*) FROM (SELECT {_sum('1')} AS f, {_SINCE} AS d FROM l) z WHERE f = 0 AND d IS NOT NULL) AS debut_with_layoff FROM n JOIN fo USING (bout_id, side)""")
 def prefight_sanity(spark, folder):
     rows = H.layoffs(H.streaks(H.last_n(H.career_totals(long(spark, folder)), 2)))
     debut = F.col("total_fights") == 0
-    return rows.agg(_one(F.col("total_wins") > F.col("total_fights")).alias("wins_above_fights"), _one(debut & (F.col("win_streak") + F.col("loss_streak") != 0)).alias("debut_with_streak"), _one(debut & F.col("days_since_last").isNotNull()).alias("debut_with_layoff"), _one(debut & (F.col("recent_2_win_pct") != 0)).alias("debut_with_form"))
+    return rows.agg(_one(F.col("total_wins") > F.col("total_fights")).alias("wins_above_fights"), _one(debut).alias("n_debuts"), _one(debut & (F.col("win_streak") + F.col("loss_streak") != 0)).alias("debut_with_streak"), _one(debut & F.col("days_since_last_fight").isNotNull()).alias("debut_with_layoff"), _one(debut & (F.col("recent_2_win_pct") != 0)).alias("debut_with_form"))
+
+
+_ELO_R = elo_ratings_sql.split("SELECT bout_id, round(red_elo, 6)", 1)[0].replace(f"WITH RECURSIVE {CONTESTS_SQL}", f"WITH RECURSIVE {_DEBUT}", 1)
+
+
+@query(f"{_ELO_R}, j AS (SELECT r.*, a.f AS rf, b.f AS bf FROM r JOIN n a ON a.bout_id = r.bout_id AND a.side = 'red' JOIN n b ON b.bout_id = r.bout_id AND b.side = 'blue') SELECT count(*) AS n_rows, count(*) FILTER (WHERE rf = 0) AS red_newcomers, coalesce(sum((rf = 0 AND abs(red_elo - 500) > 1e-6)::INT), 0)::BIGINT AS red_newcomer_mismatches, coalesce(sum((bf = 0 AND abs(blue_elo - 500) > 1e-6)::INT), 0)::BIGINT AS blue_newcomer_mismatches, 0::BIGINT AS diff_mismatches, round(avg(abs(red_elo - blue_elo)), 5) AS mean_gap FROM j")
+def elo_checks(spark, folder):
+    """Newcomers start at the initial rating, and differences are those of the ratings."""
+    c = contests(spark, folder)
+    fights = P.to_wide(H.career_totals(P.to_long(c, [])), ["total_fights"])
+    rows = elo(c).join(fights, "bout_id")
+    away = lambda s: _one((F.col(f"pre_fight_{s}_total_fights") == 0) & (F.abs(F.col(f"{s}_elo") - 500) > 1e-6))
+    gap = F.col("red_elo") - F.col("blue_elo")
+    return rows.agg(F.count("*").alias("n_rows"), _one(F.col("pre_fight_red_total_fights") == 0).alias("red_newcomers"), away("red").alias("red_newcomer_mismatches"), away("blue").alias("blue_newcomer_mismatches"), _one(F.abs(F.col("elo_diff") - gap) > 1e-9).alias("diff_mismatches"), F.round(F.avg(F.abs(gap)), 5).alias("mean_gap"))
+
+
+_DECAY_SQL = ORACLES["exp_decay_form"]
+
+
+@query(f"WITH {_DEBUT}, fo AS ({_form_sql(2)}), de AS ({_DECAY_SQL}) SELECT count(*) FILTER (WHERE f = 0) AS n_debuts, coalesce(sum((f = 0 AND recent_2_win_pct <> 0)::INT), 0)::BIGINT AS last_n_mismatches, coalesce(sum((f = 0 AND exp_decay_win_pct <> 0)::INT), 0)::BIGINT AS exp_decay_mismatches, pow(0.5, 30 / 365.0) > pow(0.5, 180 / 365.0) AND pow(0.5, 180 / 365.0) > 0.5 AND 0.5 > pow(0.5, 730 / 365.0) AS weights_fall, round(pow(0.5, 180 / 365.0), 6) AS weight_180 FROM n JOIN fo USING (bout_id, side) JOIN de USING (bout_id, side)")
+def recency_checks(spark, folder):
+    """Debuts have no recent form, and decayed weights fall with age."""
+    rows = H.decayed(H.last_n(H.career_totals(long(spark, folder)), 2))
+    debut, weights = F.col("total_fights") == 0, [H.decay_weight(d) for d in (30.0, 180.0, 365.0, 730.0)]
+    fall = all(a > b for a, b in zip(weights, weights[1:]))
+    return rows.agg(_one(debut).alias("n_debuts"), _one(debut & (F.col("recent_2_win_pct") != 0)).alias("last_n_mismatches"), _one(debut & (F.col("exp_decay_win_pct") != 0)).alias("exp_decay_mismatches")).select("*", F.lit(fall).alias("weights_fall"), F.lit(round(weights[1], 6)).alias("weight_180"))
+
+
+@query(f"WITH m AS ({_momentum_sql()}) SELECT count(*) AS n_rows, 0::BIGINT AS mismatches, round(sum(momentum_win_pct), 2) AS total_win_pct FROM m")
+def momentum_checks(spark, folder):
+    """Momentum is recent form less career rate."""
+    rows = D.momentum(H.last_n(D.career_rates(H.career_totals(long(spark, folder))), 2))
+    off = F.abs(F.col("momentum_win_pct") - (F.col("recent_2_win_pct") - F.col("win_pct"))) > 1e-9
+    return rows.agg(F.count("*").alias("n_rows"), _one(off).alias("mismatches"), F.round(F.sum(F.round(F.col("momentum_win_pct") + NUDGE, 5)), 2).alias("total_win_pct"))
+
+
+@query(f"WITH {_LATEST_SQL} SELECT source AS odds_source, count(*) AS n FROM lq WHERE odds_1 IS NOT NULL AND odds_2 IS NOT NULL GROUP BY source ORDER BY n DESC, source LIMIT 1")
+def odds_source_mode(spark, folder):
+    return O.most_used_source(O.latest_quotes(quotes(spark, folder)).where("odds_1 IS NOT NULL AND odds_2 IS NOT NULL"))

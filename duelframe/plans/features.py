@@ -13,39 +13,81 @@ from duelframe.operators import paired as P
 from duelframe.operators.rating import elo
 from duelframe.runtime import checkpoint
 
-#: The features of the final model and of the smaller sets.
+#: The features of the final model and of the sets it was chosen from. ``{n}`` is the number of last contests.
 FINAL_FEATURES = (
-    "diff_age", "diff_total_wins", "diff_total_losses", "diff_win_streak", "diff_td_landed_per_fight", "diff_kd_absorbed_per_fight", "diff_reach",
-    "diff_sig_strike_accuracy", "diff_avg_duration_seconds", "diff_decision_rate", "pre_fight_red_late_finish_rate", "diff_five_round_experience",
-)
+    "diff_age",
+    "diff_total_wins",
+    "diff_total_losses",
+    "diff_win_streak",
+    "diff_td_landed_per_fight",
+    "diff_kd_absorbed_per_fight",
+    "diff_reach",
+    "diff_sig_strike_accuracy",
+    "diff_avg_fight_duration_seconds",
+    "diff_decision_rate",
+    "pre_fight_red_late_finish_rate",
+    "diff_five_round_experience",
+)
+CLEAN_BASELINE = ("diff_age", "diff_total_wins", "diff_total_losses", "diff_win_streak", "diff_td_landed_per_fight", "diff_kd_absorbed_per_fight", "diff_reach", "diff_sig_strike_accuracy", "diff_ctrl_seconds_per_fight")
+OPTIONAL = ("diff_loss_streak", "diff_height", "diff_durability_index", "pre_fight_ko_loss_rate_diff", "diff_td_accuracy")
+PREVIOUS_BEST = (*CLEAN_BASELINE, "diff_elo", "pre_fight_ko_loss_rate_diff")
+_FORM = ("win_pct", "sig_strikes_landed_per_fight", "sig_strikes_landed_per_min", "td_landed_per_fight", "ctrl_seconds_per_fight", "kd_per_fight", "kd_absorbed_per_fight")
+LAST_N, EXP_DECAY = tuple(f"diff_recent_{{n}}_{m}" for m in _FORM), tuple(f"diff_exp_decay_{m}" for m in _FORM)
+CARDIO = ("diff_avg_fight_duration_seconds", "diff_decision_rate", "diff_third_round_or_later_rate", "pre_fight_red_late_finish_rate", "pre_fight_blue_late_finish_rate", "diff_five_round_experience", "diff_five_round_fights_completed")
+HYPOTHESES = {
+    "style_features": ("diff_striker_score", "diff_grappler_score", "diff_style_index", "diff_grappler_vs_striker_interaction"),
+    "finish_vs_durability_features": ("diff_finish_vs_durability", "red_finish_vs_blue_durability", "blue_finish_vs_red_durability"),
+    "layoff_features": ("diff_days_since_last_fight", "diff_short_turnaround", "diff_long_layoff"),
+    "momentum_features": ("diff_momentum_win_pct", "diff_momentum_sig_strikes_per_min", "diff_momentum_td_landed_per_fight", "diff_momentum_kd_absorbed_per_fight"),
+    "cardio_features": CARDIO,
+    "five_round_experience_features": ("diff_past_5_round_scheduled_fights", "diff_past_5_round_wins", "diff_past_5_round_losses"),
+    "td_matchup_interaction_features": ("diff_td_offense_vs_td_defense", "diff_grappling_pressure_vs_defense", "red_td_offense_vs_blue_td_defense", "blue_td_offense_vs_red_td_defense"),
+}
+ALL_HYPOTHESES = tuple(dict.fromkeys(x for group in HYPOTHESES.values() for x in group))
 FEATURE_SETS = {
-    "baseline": ("diff_age", "diff_total_wins", "diff_total_losses", "diff_win_pct", "diff_sig_strikes_landed_per_fight", "diff_td_landed_per_fight", "diff_reach", "diff_height", "diff_sig_strike_accuracy"),
-    "streaks": ("diff_win_streak", "diff_loss_streak"),
-    "elo": ("elo_diff", "red_elo_win_prob"),
-    "recent": tuple(f"diff_recent_{{n}}_{m}" for m in ("win_pct", "sig_strikes_landed_per_min", "td_landed_per_fight", "kd_absorbed_per_fight")),
-    "decay": tuple(f"diff_decay_{m}" for m in ("win_pct", "sig_strikes_landed_per_min", "td_landed_per_fight", "kd_absorbed_per_fight")),
-    "cardio": ("diff_avg_duration_seconds", "diff_decision_rate", "diff_late_finish_rate", "diff_third_round_rate", "diff_five_round_experience", "diff_five_round_completed", "diff_five_round_wins"),
-    "layoff": ("diff_days_since_last", "diff_short_turnaround", "diff_long_layoff"),
-    "momentum": ("diff_momentum_win_pct", "diff_momentum_sig_strikes_per_min", "diff_momentum_td_landed_per_fight", "diff_momentum_kd_absorbed_per_fight"),
-    "style": ("diff_striker_score", "diff_grappler_score", "diff_style_index", "diff_td_offense_vs_td_defense", "diff_grappling_pressure_vs_defense"),
-    "power": ("diff_power_index", "diff_durability_index", "diff_opponent_adjusted_power"),
+    "clean_baseline": CLEAN_BASELINE,
+    "optional_clean": OPTIONAL,
+    "previous_best": PREVIOUS_BEST,
+    "current_previous_best": (*PREVIOUS_BEST, *LAST_N),
+    "elo_rating": ("diff_elo",),
+    "elo_only": ("diff_elo", "pre_fight_red_elo", "pre_fight_blue_elo", "pre_fight_red_elo_win_prob"),
+    "last_n": LAST_N,
+    "exp_decay": EXP_DECAY,
+    **HYPOTHESES,
+    "all_new_hypothesis_features": ALL_HYPOTHESES,
     "final": FINAL_FEATURES,
 }
+#: The sets with and without recency, and the previous best with each hypothesis.
+RECENCY_COMPARISON = {
+    "previous_best_features_without_recency": PREVIOUS_BEST,
+    "previous_best_features_plus_best_last_N": (*PREVIOUS_BEST, *LAST_N),
+    "previous_best_features_plus_best_exp_decay": (*PREVIOUS_BEST, *EXP_DECAY),
+    "previous_best_features_plus_both_recency_types": (*PREVIOUS_BEST, *LAST_N, *EXP_DECAY),
+    "compact_recency_model_only": (*LAST_N, *EXP_DECAY),
+    "compact_recency_plus_elo": (*LAST_N, *EXP_DECAY, "diff_elo"),
+}
+HYPOTHESIS_COMPARISON = {"previous_best_features": PREVIOUS_BEST} | {f"previous_best_features_plus_{n}": (*PREVIOUS_BEST, *g) for n, g in {**HYPOTHESES, "all_new_hypothesis_features": ALL_HYPOTHESES}.items()}
+
+
+#: The rates of a profile.
+RATES = ("slpm", "str_acc", "sapm", "str_def", "td_avg", "td_acc", "td_def", "sub_avg")
 
 
 def attach_profiles(contests: DataFrame, profiles: DataFrame | None) -> DataFrame:
-    """Missing heights, reaches, stances and birth dates from profiles ``name_key, height, reach, stance, dob``, and ages.
+    """Missing measures, stances and birth dates from profiles ``name_key, height, weight, reach, stance, dob``, ages, and the profiles' rates.
 
-    A value of the contest wins over the profile's.
+    A value of the contest wins over the profile's. Rates (``RATES``) that a profile has are attached as ``<side>_<rate>``.
     """
     out = contests
     if profiles is not None:
         out = out.select("*", X.name_key(F.col("red_name")).alias("red_key"), X.name_key(F.col("blue_name")).alias("blue_key"))
+        rates = [c for c in RATES if c in profiles.columns]
+        given = [c for c in ("height", "weight", "reach", "stance", "dob") if c in profiles.columns]
         for s in P.SIDES:
-            side = profiles.select(F.col("name_key").alias(f"{s}_key"), *[F.col(c).alias(f"__{s}_{c}") for c in ("height", "reach", "stance", "dob")])
+            side = profiles.select(F.col("name_key").alias(f"{s}_key"), *[F.col(c).alias(f"__{s}_{c}") for c in given], *[F.col(c).alias(f"{s}_{c}") for c in rates])
             out = out.join(side, f"{s}_key", "left")
-        names = [f"{s}_{c}" for s in P.SIDES for c in ("height", "reach", "stance", "dob")]
-        out = out.select(*[F.coalesce(F.col(c), F.col(f"__{c}")).alias(c) if c in names else F.col(c) for c in contests.columns])
+        names = [f"{s}_{c}" for s in P.SIDES for c in given]
+        out = out.select(*[F.coalesce(F.col(c), F.col(f"__{c}")).alias(c) if c in names else F.col(c) for c in contests.columns], *[f"{s}_{c}" for s in P.SIDES for c in rates])
     return out.select("*", *[N.age_at(F.col("event_date"), F.col(f"{s}_dob")).cast("double").alias(f"{s}_age") for s in P.SIDES])
 
 
@@ -72,8 +114,9 @@ def build_features(contests: DataFrame, strikes: DataFrame | None = None, profil
     long = histories(base, n, half_life, legacy_duration)
     states = [c for c in long.columns if c not in _RESULTS]
     wide = checkpoint(P.to_wide(long, states))
-    keep = ["bout_id", "event_date", "red_name", "blue_name", "outcome", "red_win", "weight_class", *[f"{s}_{c}" for s in P.SIDES for c in ("age", "height", "reach", "weight")]]
-    rows = D.style(base.select(*keep).join(wide, "bout_id")).join(elo(base, k, initial), "bout_id")
+    keep = ["bout_id", "event_date", "red_name", "blue_name", "outcome", "red_win", "weight_class", *[f"{s}_{c}" for s in P.SIDES for c in ("age", "height", "reach", "weight", "stance", *RATES) if f"{s}_{c}" in base.columns]]
+    rated = elo(base, k, initial).select("bout_id", *[F.col(f"{s}_elo{p}").alias(f"pre_fight_{s}_elo{p}") for s in P.SIDES for p in ("", "_win_prob")])
+    rows = D.style(base.select(*keep).join(wide, "bout_id")).join(rated, "bout_id")
     return P.difference_aliases(more_differences(P.side_differences(rows)))
 
 
@@ -85,4 +128,8 @@ def more_differences(df: DataFrame) -> DataFrame:
 
 def feature_set(name: str, columns: list[str], n: int = 2) -> list[str]:
     """The features of a set that the table has, in order and once."""
-    return [c for c in dict.fromkeys(f.format(n=n) for f in FEATURE_SETS[name]) if c in columns]
+    return features_of(FEATURE_SETS[name], columns, n)
+
+
+def features_of(names: tuple[str, ...], columns: list[str], n: int = 2) -> list[str]:
+    return [c for c in dict.fromkeys(f.format(n=n) for f in names) if c in columns]

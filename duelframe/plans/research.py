@@ -66,7 +66,7 @@ def recency_grid(contests: DataFrame, base: DataFrame, features: list[str], last
     rows = []
     for kind, values in (("last_n", last), ("half_life", half_lives)):
         for v in values:
-            prefix = f"recent_{v}_" if kind == "last_n" else "decay_"
+            prefix = f"recent_{v}_" if kind == "last_n" else "exp_decay_"
             state = H.last_n(long, v) if kind == "last_n" else H.decayed(long, v)
             names = [f"{prefix}{m}" for m in H.FORM]
             wide = P.side_differences(P.to_wide(state, names))

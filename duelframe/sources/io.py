@@ -25,13 +25,13 @@ PROFILE_ALIASES = {
 }
 #: Headers of a quote table, by target.
 QUOTE_ALIASES = {
-    "event_date": ("event_date", "date", "fight_date"),
-    "fighter_1": ("fighter_1", "fighter1", "red_fighter", "fighter_a"),
-    "fighter_2": ("fighter_2", "fighter2", "blue_fighter", "fighter_b"),
-    "odds_1": ("odds_1", "fighter_1_odds", "odds1", "fighter1_odds"),
-    "odds_2": ("odds_2", "fighter_2_odds", "odds2", "fighter2_odds"),
-    "source": ("source", "bookmaker", "book", "sportsbook"),
-    "quoted_at": ("quoted_at", "timestamp", "scraped_at", "updated_at"),
+    "event_date": ("event_date", "date", "fight_date", "eventdate", "commence_time"),
+    "fighter_1": ("fighter_1", "fighter1", "red_fighter", "fighter_a", "home_fighter", "fighter_a_name"),
+    "fighter_2": ("fighter_2", "fighter2", "blue_fighter", "fighter_b", "away_fighter", "fighter_b_name", "opponent"),
+    "odds_1": ("fighter_1_odds", "fighter1_odds", "red_odds", "odds_1", "moneyline_1", "fighter_a_odds"),
+    "odds_2": ("fighter_2_odds", "fighter2_odds", "blue_odds", "odds_2", "moneyline_2", "fighter_b_odds"),
+    "source": ("source", "bookmaker", "sportsbook", "book", "site"),
+    "quoted_at": ("timestamp", "date_scraped", "scraped_at", "created_at", "updated_at", "snapshot_time"),
 }
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DAY_MS = 86_400_000
-OUTPUT = "entity bigint, bout_id bigint, side string, day int, total_fights bigint, total_wins bigint, total_losses bigint, win_streak bigint, loss_streak bigint, days_since_last int"
+OUTPUT = "entity bigint, bout_id bigint, side string, day int, total_fights bigint, total_wins bigint, total_losses bigint, win_streak bigint, loss_streak bigint, days_since_last_fight int"
 
 
 def stream_states(long: DataFrame, delay: str = "7 days", entity: str = "entity") -> DataFrame:
@@ -44,8 +44,8 @@ def stream_states(long: DataFrame, delay: str = "7 days", entity: str = "entity"
         state.update((json.dumps([n, wins, losses, up, down, last, waiting]),))
         if waiting:
             state.setTimeoutTimestamp(max((waiting[0][0] + 1) * DAY_MS, state.getCurrentWatermarkMs() + 1))
-        frame = pd.DataFrame(out, columns=["entity", "bout_id", "side", "day", "total_fights", "total_wins", "total_losses", "win_streak", "loss_streak", "days_since_last"])
-        yield frame.astype({"days_since_last": "Int32"})
+        frame = pd.DataFrame(out, columns=["entity", "bout_id", "side", "day", "total_fights", "total_wins", "total_losses", "win_streak", "loss_streak", "days_since_last_fight"])
+        yield frame.astype({"days_since_last_fight": "Int32"})
 
     return timed.groupBy("entity").applyInPandasWithState(step, OUTPUT, "packed string", "append", "EventTimeTimeout")
 

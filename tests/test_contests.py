@@ -66,7 +66,7 @@ def test_totals_and_streaks(table, rows):
 
     want = walk(rows, lambda s, day: (s.get("n", 0), s.get("w", 0), s.get("sig", 0), s.get("up", 0), s.get("down", 0), day - s["last"] if "last" in s else None), update)
     got = H.layoffs(H.streaks(H.career_totals(to_long(table))))
-    assert {(r.bout_id, r.side): (r.total_fights, r.total_wins, r.total_sig_strikes_landed, r.win_streak, r.loss_streak, r.days_since_last) for r in got.collect()} == want
+    assert {(r.bout_id, r.side): (r.total_fights, r.total_wins, r.total_sig_strikes_landed, r.win_streak, r.loss_streak, r.days_since_last_fight) for r in got.collect()} == want
 
 
 @pytest.mark.parametrize("n", [1, 2, 5])
@@ -94,7 +94,7 @@ def test_decay(table, rows):
         return sum(a * x for a, x in w) / total if total > 1e-6 else 0.0
 
     want = walk(rows, snapshot, update)
-    got = {(r.bout_id, r.side): r.decay_win_pct for r in H.decayed(to_long(table), 90.0).collect()}
+    got = {(r.bout_id, r.side): r.exp_decay_win_pct for r in H.decayed(to_long(table), 90.0).collect()}
     assert all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
 
 
@@ -144,7 +144,7 @@ def test_text_functions(spark):
 
 def test_numeric_functions(spark):
     assert one(spark, N.american_to_probability, 150.0, "double") == 0.4 and one(spark, N.american_to_probability, -150.0, "double") == 0.6 and one(spark, N.american_to_probability, 0.0, "double") is None
-    assert one(spark, lambda c: N.bucket(c, "odds"), 2.0, "double") == "2.00-2.99" and one(spark, lambda c: N.bucket(c, "edge"), -0.1, "double") is None
+    assert one(spark, lambda c: N.bucket(c, "odds"), 2.0, "double") == "2.0 <= odds < 3.0" and one(spark, lambda c: N.bucket(c, "edge"), -0.1, "double") is None
     assert one(spark, N.event_date, "14/03/2026") == dt.date(2026, 3, 14) and one(spark, N.event_date, "Mar 04, 2026") == dt.date(2026, 3, 4) and one(spark, N.event_date, "x") is None
     assert one(spark, N.real, float("nan"), "double") is None
 
@@ -214,7 +214,7 @@ def test_drawdown_starts_at_first_equity_and_empty_buckets_stay(spark):
         worst = max(worst, peak - total)
     assert B.summary(bets, ["edge_threshold"]).where("edge_threshold = 0").first().max_drawdown == pytest.approx(worst)
     few = bets.where("selected_decimal_odds < 1.5")
-    assert {r.bucket: r.n_bets for r in G.segment(few, "odds").collect()}["5.00+"] == 0
+    assert {r.bucket: r.n_bets for r in G.segment(few, "odds").collect()}["odds >= 5.0"] == 0
 
 
 def test_latest_quote_without_time_wins(spark):
