@@ -1,8 +1,9 @@
 """One ranking from pairwise results: probit paired-comparison strengths.
 
 P(i beats j) = Phi(s_i - s_j) with a normal (ridge) prior on the strengths. The posterior mode is found by iteratively
-reweighted least squares; each step's sparse normal equations (X'WX + ridge) d = gradient are solved by conjugate
-gradients. Standard errors are the roots of the diagonal of the inverse normal matrix.
+reweighted least squares, with the weights of the results seen; each step's sparse normal equations (X'WX + ridge) d =
+gradient are solved by conjugate gradients. Standard errors are the roots of the diagonal of the inverse normal matrix with
+the expected (Fisher) weights.
 
 Vectors and pairs are blocks of a table. Items are numbered and cut into blocks of ``BLOCK_ITEMS``; each pair lies with the
 item that has fewer opponents, so an item that met a third of all others leaves its pairs with them. One product of the
@@ -52,11 +53,13 @@ def normal(d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.exp(-0.5 * d * d) / math.sqrt(2 * math.pi), cdf(d), cdf(-d)
 
 
-def pair_terms(d: np.ndarray, wins: np.ndarray, losses: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Gradient and Fisher weight of each pair at strength difference d."""
+def pair_terms(d: np.ndarray, wins: np.ndarray, losses: np.ndarray, seen: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient and weight of each pair at strength difference d: the expected (Fisher) weight, or that of the results seen."""
     density, up, down = normal(d)
-    return density * (wins / up - losses / down), (wins + losses) * density * density / (up * down)
-
+    win, loss = density / up, density / down
+    if seen:
+        return wins * win - losses * loss, wins * win * (win + d) + losses * loss * (loss - d)
+    return wins * win - losses * loss, (wins + losses) * win * loss
 
 
 def _blocks(pairs: DataFrame, items: DataFrame, parts: int) -> DataFrame:
@@ -101,7 +104,7 @@ class _Solver:
         def start(p: pd.DataFrame) -> pd.DataFrame:
             c = int(p["block"].iloc[0])
             state = {"base": c * size, "n": min(size, n - c * size), "wants": dict(map(pickle.loads, p["payload"]))}
-            state |= {"s": np.zeros((state["n"], 1)), "x": np.zeros((state["n"], 1))}
+            state["s"] = np.zeros((state["n"], 1))
             return pd.DataFrame({"block": [c], "payload": [pickle.dumps(state)]})
 
         wants = packed.where("kind = 'wants'").select("block", "payload")
@@ -122,43 +125,40 @@ class _Solver:
                 for c, payload in zip(p["block"], p["payload"]):
                     state = pickle.loads(payload)
                     values = send(state).astype(kind)
-                    wants = state["wants"]
-                    yield pd.DataFrame([(c, -1, pickle.dumps(state)), *[(b, c, pickle.dumps(values[at])) for b, at in wants.items()]], columns=["block", "sender", "payload"])
+                    yield pd.DataFrame([(b, c, pickle.dumps(values[at])) for b, at in state["wants"].items()], columns=["block", "sender", "payload"])
 
         def folding(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            out, sent = [], right.sort_values("sender")
-            states = sent[sent["sender"] < 0]
-            out += [(c, -1, payload) for c, payload in zip(states["block"], states["payload"])]
-            sent = sent[sent["sender"] >= 0]
-            if len(left):
-                held = pickle.loads(left["payload"].iloc[0])
-                # senders and items are in the order of the block's own list of items
-                sums = fold(held, np.concatenate([pickle.loads(v) for v in sent["payload"]]).astype(np.float64))
-                b = int(left["block"].iloc[0])
-                if reweigh:
-                    held, sums = sums
-                    out.append((b, -2, pickle.dumps(held)))
-                out += [(int(c), b, pickle.dumps(sums[held["homes"] == c].astype(kind))) for c in np.unique(held["homes"])]
+            if not len(left):
+                return pd.DataFrame([], columns=["block", "sender", "payload"])
+            held, b, sent = pickle.loads(left["payload"].iloc[0]), int(left["block"].iloc[0]), right.sort_values("sender")
+            # senders and items are in the order of the block's own list of items
+            sums, out = fold(held, np.concatenate([pickle.loads(v) for v in sent["payload"]]).astype(np.float64)), []
+            if reweigh:
+                held, sums = sums
+                out.append((b, -2, pickle.dumps(held)))
+            out += [(int(c), b, pickle.dumps(sums[held["homes"] == c].astype(kind))) for c in np.unique(held["homes"])]
             return pd.DataFrame(out, columns=["block", "sender", "payload"])
 
-        def merging(p: pd.DataFrame) -> pd.DataFrame:
-            state = pickle.loads(p.loc[p["sender"] < 0, "payload"].iloc[0])
+        def merging(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            state = pickle.loads(left["payload"].iloc[0])
+            send(state)  # as in the task that sent: a state is read twice instead of being carried along
             sums = None
-            for b, payload in sorted(zip(p["sender"], p["payload"])):
-                if b >= 0:
-                    part = pickle.loads(payload)
-                    sums = np.zeros((state["n"], part.shape[1])) if sums is None else sums
-                    sums[state["wants"][b]] += part  # an item stands once in a list
+            for b, payload in sorted(zip(right["sender"], right["payload"])):
+                part = pickle.loads(payload)
+                sums = np.zeros((state["n"], part.shape[1])) if sums is None else sums
+                sums[state["wants"][b]] += part  # an item stands once in a list
             dots = merge(state, sums)
-            return pd.DataFrame({"block": [int(p["block"].iloc[0])], "payload": [pickle.dumps(state)], "dots": [[float(v) for v in dots]]})
+            return pd.DataFrame({"block": [int(left["block"].iloc[0])], "payload": [pickle.dumps(state)], "dots": [[float(v) for v in dots]]})
 
         pairs = self.pairs if reweigh else self.weighted
         message = "block int, sender int, payload binary"
-        sent = self.state.select("block", "payload").mapInPandas(sending, message).repartition(self.parts, "block")
+        state = self.state.select("block", "payload")
+        sent = state.mapInPandas(sending, message).repartition(self.parts, "block")
         folded = pairs.groupBy("block").cogroup(sent.groupBy("block")).applyInPandas(folding, message)
         if reweigh:
             folded = self.store.keep(folded, "folded")
-        state = folded.where("sender != -2").repartition(self.parts, "block").groupBy("block").applyInPandas(merging, "block int, payload binary, dots array<double>")
+        sums = folded.where("sender != -2").repartition(self.parts, "block")
+        state = state.repartition(self.parts, "block").groupBy("block").cogroup(sums.groupBy("block")).applyInPandas(merging, "block int, payload binary, dots array<double>")
         # each round's state is a table: plans that hold cached plans would grow from round to round
         self.state = self.store.keep(state, "state")
         if reweigh:
@@ -167,23 +167,25 @@ class _Solver:
             self.weighted = self._placed(self.store.keep(folded.where("sender = -2").select("block", "payload"), "weighted"))
         return np.array([r[0] for r in self.state.select("dots").collect()])  # one short row for each block
 
-    def _gradient(self) -> float:
+    def _gradient(self, seen: bool) -> float:
         """Take the last solve's step, and the gradient and the weights at the new strengths."""
         ridge = self.ridge
 
         def send(state):
-            state["s"] = state["s"] + state["x"]
+            state["s"] = state["s"] + state.pop("x", 0.0)
             return state["s"]
 
         def fold(held, y):
             own, other, k = held["own"], held["other"], len(y)
-            g, w = pair_terms(y[own, 0] - y[other, 0], held["wins"], held["losses"])
+            g, w = pair_terms(y[own, 0] - y[other, 0], held["wins"], held["losses"], seen)
             sums = np.stack([np.bincount(own, g, k) - np.bincount(other, g, k), np.bincount(own, w, k) + np.bincount(other, w, k)], axis=1)
             return held | {"w": w}, sums
 
         def merge(state, sums):
             state["d"] = sums[:, 1:] + ridge
             state["r"] = sums[:, :1] - ridge * state["s"]
+            for done in ("p", "q", "u", "h"):
+                state.pop(done, None)
             return [np.abs(state["r"]).max()]
 
         return float(self._round(send, fold, merge, reweigh=True).max(initial=0.0))
@@ -300,11 +302,12 @@ class _Solver:
     def fit(self) -> DataFrame:
         """``idx, strength, std_error`` as a written table."""
         for _ in range(NEWTON_STEPS):
-            if self._gradient() < GRADIENT:
+            if self._gradient(True) < GRADIENT:
                 break
             self._solve(1, STEP_RESIDUAL)
         else:
             raise RuntimeError(f"strengths didn't converge in {NEWTON_STEPS} steps")
+        self._gradient(False)
         self._errors()
 
         def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
