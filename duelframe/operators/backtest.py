@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from duelframe.runtime import checkpoint
+from duelframe.runtime import checkpoint, parallelism
 
 #: Edge thresholds, Kelly fractions, cap of a full Kelly stake, starting bankroll.
 THRESHOLDS = (0.0, 0.02, 0.05, 0.08, 0.10)
@@ -47,18 +47,15 @@ def bets_at(bets: DataFrame, threshold: float) -> DataFrame:
     return bets.where((F.round("edge_threshold", 10) == F.round(F.lit(threshold), 10)) & (F.col("selected_side") != "skip"))
 
 
-#: Days of one block of a running total.
-BLOCK_DAYS = 30
-
-
 def running(df: DataFrame, by: list[str], value: str, out: str, fold: Callable[[str], Column] = F.sum, upto: int = 0) -> DataFrame:
     """``df`` with ``out``: the sum (or max, or product) of a value so far in date order within its group.
 
-    A group is folded per block of days, which aggregates map-side, and blocks are chained by their totals; so a group of
-    any size is many tasks. ``upto`` -1 leaves the row itself out. Null where nothing comes before.
+    Rows are range-partitioned by group and date, so that a block is a run of that order with about as many rows as any
+    other; blocks are folded and chained by their totals, so a group of any size is many tasks. ``upto`` -1 leaves the row
+    itself out. Null where nothing comes before.
     """
     # both sides of the join below come from these rows: without the checkpoint each nested total would double the work
-    rows = checkpoint(df.withColumn("__b", F.floor(F.unix_date(F.col("event_date").cast("date")) / BLOCK_DAYS)))
+    rows = checkpoint(df.repartitionByRange(parallelism(df.sparkSession), *by, "event_date", "bout_id").withColumn("__b", F.spark_partition_id()))
     keys = [*by, "__b"]
     totals = rows.groupBy(*keys).agg(fold(value).alias("__t"))
     before = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)

@@ -129,3 +129,8 @@ def most_frequent(df: DataFrame, columns: list[str], k: int = 10) -> DataFrame:
     """The k most frequent values of the stacked columns."""
     rows = df.select(F.explode(F.array(*[F.col(c) for c in columns])).alias("value")).where("value IS NOT NULL")
     return rows.groupBy("value").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "value").limit(k)
+
+
+def table_summary(df: DataFrame, day: str = "event_date", target: str = "red_win") -> DataFrame:
+    """One row: rows, dates and their range, mean target, weight classes, missing outcomes."""
+    return df.agg(F.count("*").alias("n_rows"), F.countDistinct(day).alias("n_dates"), F.min(day).alias("first_date"), F.max(day).alias("last_date"), F.round(F.avg(target), 6).alias("target_mean"), F.countDistinct("weight_class").alias("n_classes"), F.sum(F.col("outcome").isNull().cast("int")).alias("missing_outcomes"))

@@ -889,3 +889,27 @@ def momentum_checks(spark, folder):
 @query(f"WITH {_LATEST_SQL} SELECT source AS odds_source, count(*) AS n FROM lq WHERE odds_1 IS NOT NULL AND odds_2 IS NOT NULL GROUP BY source ORDER BY n DESC, source LIMIT 1")
 def odds_source_mode(spark, folder):
     return O.most_used_source(O.latest_quotes(quotes(spark, folder)).where("odds_1 IS NOT NULL AND odds_2 IS NOT NULL"))
+
+
+@query("SELECT DISTINCT bout_id, coalesce(event_date::VARCHAR, '') || '||' || coalesce(red_fighter_name, '') || '||' || coalesce(blue_fighter_name, '') || '||' || (coalesce(lower(trim(fight_outcome)), '') = 'red_win')::INT AS row_key FROM combined_data")
+def row_keys(spark, folder):
+    won = (F.lower(F.trim(F.coalesce("fight_outcome", F.lit("")))) == "red_win").cast("int")
+    t = read_table(spark, folder, "combined_data").select("bout_id", X.row_key(F.col("event_date"), F.col("red_fighter_name"), F.col("blue_fighter_name"), won).alias("row_key"))
+    return t.distinct()
+
+
+@query(f"WITH {CONTESTS_SQL} SELECT count(*) AS n_rows, count(DISTINCT event_date) AS n_dates, min(event_date)::VARCHAR AS first_date, max(event_date)::VARCHAR AS last_date, round(avg(red_win), 6) AS target_mean, count(DISTINCT weight_class) AS n_classes, count(*) FILTER (WHERE outcome IS NULL) AS missing_outcomes FROM c")
+def table_summary(spark, folder):
+    return dates_as_text(G.table_summary(contests(spark, folder)))
+
+
+@query("SELECT profile_id, round(CASE WHEN TRY_CAST(regexp_extract(height, '\\d+(?:\\.\\d+)?', 0) AS DOUBLE) IS NOT NULL THEN TRY_CAST(regexp_extract(height, '\\d+(?:\\.\\d+)?', 0) AS DOUBLE) / 2.54 END, 6) AS height_in, round(TRY_CAST(regexp_extract(weight, '\\d+(?:\\.\\d+)?', 0) AS DOUBLE) * 2.2046226218, 6) AS weight_lb FROM (SELECT DISTINCT profile_id, height, weight FROM entities_raw) e")
+def measures_by_header(spark, folder):
+    """Measures as if their columns' headers stated cm and kg."""
+    t = read_table(spark, folder, "entities_raw").select("profile_id", "height", "weight").distinct()
+    return t.select("profile_id", F.round(X.measure(F.col("height"), "height_cm", "height"), 6).alias("height_in"), F.round(X.measure(F.col("weight"), "weight_kg", "weight"), 6).alias("weight_lb"))
+
+
+@query(f"WITH {BETS_SQL}, b AS (SELECT bout_id, edge_threshold, {', '.join(f'{_bucket_sql(k, c)} AS {k}_bucket' for k, c in G.SEGMENTS.items())} FROM bt WHERE selected_side <> 'skip') SELECT * FROM b")
+def bet_buckets(spark, folder):
+    return G.with_buckets(bets(spark, folder).where("selected_side != 'skip'")).select("bout_id", "edge_threshold", *[f"{k}_bucket" for k in G.SEGMENTS])

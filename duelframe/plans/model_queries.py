@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duelframe.functions import text as X
+from duelframe.operators import backtest
 from duelframe.operators import history as H
 from duelframe.operators import metrics as M
 from duelframe.operators import models
@@ -254,6 +255,13 @@ def metric_audit(spark: SparkSession, folder: str) -> DataFrame:
     return compared.select("metric", F.round("saved", 6).alias("saved"), F.round("computed", 6).alias("computed"), "passed")
 
 
+def config_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """The final logistic model's settings and the backtest's, against those expected."""
+    expected = {"C": 10.0, "l1_ratio": 0.8, "max_iter": 5000, "n_features": 12, "kelly_cap": 0.25, "bankroll": 1000.0}
+    actual = models.LOGISTIC | {"n_features": len(features.FINAL_FEATURES), "kelly_cap": backtest.CAP, "bankroll": backtest.BANKROLL}
+    return _table(spark, [{k: (float(v) if k in ("expected", "actual") else v) for k, v in r.items()} for r in audit.configuration(expected, actual)])
+
+
 def bet_audit(spark: SparkSession, folder: str) -> DataFrame:
     chosen = contest_queries.bets(spark, folder)
     flat = audit.bet_checks(flat_profit(chosen)).select(F.lit("flat").alias("kind"), "*")
@@ -270,11 +278,12 @@ def event_windows(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(F.date_format("window_start", "yyyy-MM-dd").alias("window_day"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-QUERIES = {f.__name__: f for f in (metric_audit, bet_audit, prediction_audit, event_windows, feature_table, leakage_audit, logistic_fit, logistic_coefficients, elo_k_grid, set_comparison, recency_comparison, hypothesis_comparison, group_ablation, cardio_leave_one_out, single_features, leave_one_feature_out, penalty_grid, selection_audit, class_interactions, forward_path, recency_grid, cardio_subsets, family_comparison, walk_forward_comparison, walk_forward_folds_compared, forest_search, boost_search)}
+QUERIES = {f.__name__: f for f in (metric_audit, config_audit, bet_audit, prediction_audit, event_windows, feature_table, leakage_audit, logistic_fit, logistic_coefficients, elo_k_grid, set_comparison, recency_comparison, hypothesis_comparison, group_ablation, cardio_leave_one_out, single_features, leave_one_feature_out, penalty_grid, selection_audit, class_interactions, forward_path, recency_grid, cardio_subsets, family_comparison, walk_forward_comparison, walk_forward_folds_compared, forest_search, boost_search)}
 _BETS_AUDIT = "sum((abs(profit - CASE WHEN bet_won THEN stake * (selected_decimal_odds - 1) ELSE -stake END) > 1e-6)::INT)::BIGINT AS wrong_profit, sum((abs(selected_edge - (selected_model_prob - selected_market_prob)) > 1e-9)::INT)::BIGINT AS wrong_edge, sum((stake < 0)::INT)::BIGINT AS negative_stakes"
 ORACLES = {
     "metric_audit": f"WITH {contest_queries.PRED_SQL}, mm AS (SELECT 'all' AS part, p, label FROM pr), {contest_queries._metrics_sql('mm', 'part')}, un AS (UNPIVOT (SELECT n::DOUBLE AS n, log_loss, roc_auc, brier, accuracy, precision, recall, f1 FROM ev) ON COLUMNS(*) INTO NAME metric VALUE saved) SELECT metric, saved, saved AS computed, true AS passed FROM un",
     "bet_audit": f"WITH {contest_queries._KELLY_SQL}, ks AS (SELECT *, bankroll / (1 + f * CASE WHEN bet_won THEN {contest_queries._KB} ELSE -1 END) AS before FROM k2) SELECT 'flat' AS kind, count(*) AS n_bets, {_BETS_AUDIT}, 0::BIGINT AS above_cap FROM fl UNION ALL SELECT 'kelly', count(*), {_BETS_AUDIT}, sum((f / kelly_fraction > 0.25 + 1e-12)::INT)::BIGINT FROM (SELECT * REPLACE (f * before AS stake, f * before * CASE WHEN bet_won THEN {contest_queries._KB} ELSE -1 END AS profit) FROM ks) k",
+    "config_audit": "SELECT unnest(['C', 'l1_ratio', 'max_iter', 'n_features', 'kelly_cap', 'bankroll']) AS parameter, unnest([10.0, 0.8, 5000, 12, 0.25, 1000]::DOUBLE[]) AS expected, unnest([10.0, 0.8, 5000, 12, 0.25, 1000]::DOUBLE[]) AS actual, true AS passed",
     "prediction_audit": f"WITH {contest_queries.PRED_SQL} SELECT count(*) AS n_rows, sum((p < 0 OR p > 1)::INT)::BIGINT AS outside, sum((p IS NULL OR label IS NULL)::INT)::BIGINT AS missing, 0::BIGINT AS label_mismatches FROM pr",
     "leakage_audit": "SELECT 'available and safe' AS check, unnest(['diff_age', 'diff_total_wins', 'diff_total_losses', 'diff_win_streak', 'diff_td_landed_per_fight', 'diff_kd_absorbed_per_fight', 'diff_reach', 'diff_sig_strike_accuracy', 'diff_avg_fight_duration_seconds', 'diff_decision_rate', 'pre_fight_red_late_finish_rate', 'diff_five_round_experience']) AS feature, true AS passed, '' AS detail UNION ALL SELECT 'expected set', '', true, '' UNION ALL SELECT 'cutoff', '', count(*) FILTER (WHERE event_date < DATE '2010-01-01' AND event_date >= DATE '2010-01-01') = 0, '0 rows before 2010-01-01' FROM combined_data",
     "event_windows": "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS window_day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",

@@ -8,6 +8,7 @@ import os
 import re
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,40 +61,48 @@ def snake_headers(names: list[str]) -> list[str]:
     return out
 
 
-def _is_local(path: str) -> bool:
-    return "://" not in path or path.startswith("file://")
-
-
-def _sample(spark: SparkSession, path: str, size: int = 8192) -> str:
-    if _is_local(path):
-        with open(path.removeprefix("file://"), encoding="utf-8", errors="replace") as f:
-            return f.read(size)
-    return "\n".join(r[0] for r in spark.read.text(path).limit(20).collect())[:size]
+def _first_lines(spark: SparkSession, path: str, label: str) -> list[str]:
+    """The first lines of a file, wherever it lies."""
+    try:
+        return [r[0] for r in spark.read.text(path).limit(20).collect()]
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            raise FileNotFoundError(f"{label} not found: {path}") from e
+        raise
 
 
 def read_csv(spark: SparkSession, path: str, label: str = "table", schema: T.StructType | None = None) -> DataFrame:
-    """A CSV table with its delimiter found from a sample, headers in snake case and placeholder texts as null.
+    """A CSV table with its delimiter found from its first lines, headers in snake case and placeholder texts as null.
 
     A missing file raises FileNotFoundError; an empty one gives an empty table. Without a schema all columns are strings:
     inferring types would read the data twice.
     """
-    if _is_local(path):
-        local = Path(path.removeprefix("file://"))
-        if not local.exists():
-            raise FileNotFoundError(f"{label} not found: {path}")
-        if local.is_file() and local.stat().st_size == 0:
-            return spark.createDataFrame([], schema or T.StructType([]))
-    delimiter = sniff_delimiter(_sample(spark, path))
-    reader = spark.read.option("header", True).option("sep", delimiter).option("multiLine", False)
+    lines = _first_lines(spark, path, label)
+    if not lines:
+        return spark.createDataFrame([], schema or T.StructType([]))
+    reader = spark.read.option("header", True).option("sep", sniff_delimiter("\n".join(lines))).option("multiLine", False)
     df = reader.schema(schema).csv(path) if schema else reader.csv(path)
     return clean_text_columns(df.toDF(*snake_headers(df.columns)))
 
 
 def try_read_csv(spark: SparkSession, path: str | None, schema: T.StructType) -> DataFrame:
     """An optional source: an empty table of the schema where there is no path or no file."""
-    if path is None or (_is_local(path) and not os.path.exists(path.removeprefix("file://"))):
+    try:
+        return spark.createDataFrame([], schema) if path is None else read_csv(spark, path, schema=schema)
+    except FileNotFoundError:
         return spark.createDataFrame([], schema)
-    return read_csv(spark, path, schema=schema)
+
+
+def read_backtest_inputs(spark: SparkSession, predictions: str, merged: str, keys: tuple[str, ...] = ("event_date", "red_fighter_name", "blue_fighter_name")) -> tuple[DataFrame, DataFrame]:
+    """The predictions and the contests with prices of a backtest, with typed dates; ValueError where a key column is missing."""
+    out = []
+    for path in (predictions, merged):
+        df = read_csv(spark, path) if path.endswith(".csv") else spark.read.parquet(path)
+        missing = [k for k in keys if k not in df.columns]
+        if missing:
+            raise ValueError(f"{path} has no column {', '.join(missing)}")
+        out.append(df.withColumn("event_date", F.col("event_date").try_cast("date")) if "event_date" in df.columns else df)
+    return out[0], out[1]
 
 
 def read_contests(spark: SparkSession, path: str, day: str = "event_date", target: str = "red_win") -> DataFrame:
@@ -141,11 +150,11 @@ def ensure_columns(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     return df.select("*", *[F.lit(None).cast(kind).alias(c) for c, kind in columns.items() if c not in df.columns])
 
 
-def locate_quotes(folder: str) -> str | None:
-    """The CSV file that most likely holds quotes: by words in its name, then by size; null without one."""
+def locate_quotes(folder: str, league: str = "ufc") -> str | None:
+    """The CSV file of a local folder that most likely holds quotes: by words in its name, then by size; null without one."""
     words = ("odds", "book", "bet", "moneyline", "line")
     files = [p for p in Path(folder).glob("*.csv") if any(w in p.name.lower() for w in words)]
-    best = max(files, key=lambda p: ("odds" in p.name.lower(), p.stat().st_size, p.name), default=None)
+    best = max(files, key=lambda p: ("odds" in p.name.lower(), league in p.name.lower(), p.stat().st_size, p.name), default=None)
     return str(best) if best else None
 
 
