@@ -10,6 +10,8 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
+import uuid
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -128,9 +130,8 @@ class ItemIndex:
     @staticmethod
     def _advance(cursors: list, upto: int, item: int) -> None:
         for c in cursors[:upto]:
-            items, at = c[2][0], c[1]
-            while at < len(items) and items[at] < item:
-                at += 1
+            items = c[2][0]
+            at = bisect_left(items, item, c[1])
             c[0], c[1] = (items[at], at) if at < len(items) else (-1, at)
 
     def leaks(self, text: str | None) -> dict[int, tuple[int, float, bool]]:
@@ -200,11 +201,23 @@ def find_leaks(docs: DataFrame, items: DataFrame, min_words: int = 12, doc_key:
     return out.groupBy(doc_key, item_key).agg(best, F.max("answer_follows").alias("answer_follows")).select(doc_key, item_key, "b.shared_words", "b.score", "answer_follows")
 
 
+#: The index that a worker built last, by the name of its items.
+_BUILT: dict[str, ItemIndex] = {}
+
+
+def _index_of(name: str, shared, min_words: int) -> ItemIndex:
+    if name not in _BUILT:
+        _BUILT.clear()
+        _BUILT[name] = ItemIndex(shared.value, min_words)
+    return _BUILT[name]
+
+
 def _find(docs: DataFrame, rows: list[tuple], min_words: int, doc_key: str, item_key: str, text: str, schema: str) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(rows)  # at most INDEX_ITEMS items; each task builds the index
+    shared = docs.sparkSession.sparkContext.broadcast(rows)  # at most INDEX_ITEMS items; each worker builds the index once
+    name = uuid.uuid4().hex
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = ItemIndex(shared.value, min_words)
+        index = _index_of(name, shared, min_words)
         names = [doc_key, item_key, "shared_words", "score", "answer_follows"]
         for batch in batches:
             hits = [(row, index.ids[k], *v) for row, t in enumerate(batch.column(1).to_pylist()) for k, v in index.leaks(t).items()]
