@@ -100,21 +100,21 @@ def candidates(bets: DataFrame, quotes: DataFrame, people: DataFrame, rules: Rul
     side = lambda c, name: F.struct(F.col(c).alias("p"), F.lit(name == "red").alias("is_red"), F.col(f"s{c}").alias("sp"), (F.col("side") == name).alias("on_it"))
     sides = known.select("*", F.inline(F.array(side("r", "red"), side("b", "blue")))).where("p IS NOT NULL")
     band = lambda c: F.floor(F.ln(c) / rules.odds_apart)
-    price = F.when(F.col("on_it"), F.col("own")).otherwise(F.col("other"))
-    turned = slots.select("*", F.explode(F.array(F.lit(True), F.lit(False))).alias("on_it")).withColumn("price", price)
-    banded = turned.where("price IS NOT NULL").select("*", F.explode(F.sequence(band(F.col("price")) - 1, band(F.col("price")) + 1)).alias("band"))
-    placed = sides.where("odds IS NOT NULL").withColumn("band", band(F.col("odds")))
-    priced, unpriced = turned.where("price IS NULL").drop("price"), sides.where("odds IS NULL")
-
-    def meet(q_single: bool) -> DataFrame:
-        """Pairs by one person: single quotes with all bets, and the other quotes with single bets."""
-        ql = (lambda d: d.where(~quoted_both)) if q_single else (lambda d: d.where(quoted_both))
-        bl = (lambda d: d) if q_single else (lambda d: d.where(~bet_both))
-        keys = ["p", "bucket", "on_it"]
-        near = ql(banded).drop("price").join(bl(placed), [*keys, "band"]).drop("band")
-        return near.unionByName(ql(priced).join(bl(sides), keys)).unionByName(ql(turned.where("price IS NOT NULL").drop("price")).join(bl(unpriced), keys))
 
-    lone = meet(True).unionByName(meet(False)).withColumn("same_way", F.col("is_red") == F.col("is_first"))
+    def meet(slots: DataFrame, sides: DataFrame) -> DataFrame:
+        """Pairs by one person whose prices are alike, or of which one is unknown."""
+        price = F.when(F.col("on_it"), F.col("own")).otherwise(F.col("other"))
+        turned = slots.select("*", F.explode(F.array(F.lit(True), F.lit(False))).alias("on_it")).withColumn("price", price)
+        banded = turned.where("price IS NOT NULL").select("*", F.explode(F.sequence(band(F.col("price")) - 1, band(F.col("price")) + 1)).alias("band"))
+        keys = ["p", "bucket", "on_it"]
+        near = banded.drop("price").join(sides.where("odds IS NOT NULL").withColumn("band", band(F.col("odds"))), [*keys, "band"]).drop("band")
+        some = turned.where("price IS NOT NULL").drop("price").join(sides.where("odds IS NULL"), keys)
+        return near.unionByName(turned.where("price IS NULL").drop("price").join(sides, keys)).unionByName(some)
+
+    # single quotes with all bets, and the other quotes of the persons of single bets with these
+    alone = checkpoint(sides.where(~bet_both))
+    others = slots.where(quoted_both).join(alone.select("p").distinct(), "p", "left_semi")
+    lone = meet(slots.where(~quoted_both), sides).unionByName(meet(others, alone)).withColumn("same_way", F.col("is_red") == F.col("is_first"))
     # a side that names another whom we can't read may well mean another contest
     unread = F.when((~quoted_both & F.col("quote_whole")) | (~bet_both & F.col("bet_whole")), 0.85).otherwise(1.0)
     lone = lone.withColumn("s_name", F.col("sq") * F.col("sp") * ONE_NAME * unread)
@@ -338,7 +338,7 @@ def link(bets: DataFrame, quotes: DataFrame, people: DataFrame, rules: Rules = R
     odds, then the smaller id. ``residual`` is the solver's larger one at that pair. Rows without a date or without any readable name link to nothing. Repeated rows must be made
     one before; either table may be empty.
     """
-    pairs = checkpoint(candidates(bets, quotes, people, rules))
+    pairs = checkpoint(candidates(bets, quotes, checkpoint(people), rules))  # people are joined four times
     # how alike a quote is to the bet's others: its odds against their middle, in the same scale as s_odds
     middle = F.percentile_approx("apart", 0.5, 100)
     typical = pairs.groupBy("bet_id").agg(middle.alias("middle"))
