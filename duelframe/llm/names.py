@@ -29,6 +29,8 @@ RADIUS = 2
 GIVEN_WEIGHT = 4
 #: Names of one cell that are aimed at, and most pivots; both are about parallel work, not about results.
 CELL_NAMES, MOST_PIVOTS = 256, 4_096
+#: The same where only surnames count: they lie about equally far from all pivots, so a query goes to nearly every cell.
+LOOSE_NAMES = 4_096
 #: Distinct given names a lexicon may have on the driver.
 MOST_GIVEN = 50_000
 #: Surnames up to this length are joined by their deletion neighbourhoods, longer ones by comparing.
@@ -405,7 +407,7 @@ def choose_pivots(points: DataFrame, n: int) -> list[tuple[str, str]]:
 ROWS_AT_ONCE = 1_000
 
 
-def radius_join(queries: DataFrame, points: DataFrame, radius: int = RADIUS) -> DataFrame:
+def radius_join(queries: DataFrame, points: DataFrame, radius: int = RADIUS, cell_names: int | None = None) -> DataFrame:
     """All ``(qid, pid, edits)`` with distance up to ``radius`` of ``queries (qid, given, surname)`` and ``points (pid, given, surname)``.
 
     A point lies in the cell of its nearest pivot. A query goes to every cell whose pivot is no further from it than its
@@ -416,7 +418,7 @@ def radius_join(queries: DataFrame, points: DataFrame, radius: int = RADIUS) ->
         raise ValueError("the radius must be below the weight of the given name")
     spark = points.sparkSession
     n = points.count()
-    pivots = choose_pivots(points, min(MOST_PIVOTS, -(-n // CELL_NAMES))) or [("", "")]
+    pivots = choose_pivots(points, min(MOST_PIVOTS, -(-n // (cell_names or CELL_NAMES)))) or [("", "")]
     shared = spark.sparkContext.broadcast(pivots)  # at most MOST_PIVOTS short names
 
     def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
@@ -598,7 +600,7 @@ def _near(ways: DataFrame, points: DataFrame, every: bool) -> DataFrame:
     # surnames in their own space, with ids made of them
     last = points.select("surname").distinct().select(F.xxhash64("surname").alias("pid"), F.lit("").alias("given"), "surname")
     loose = ways.where("open")
-    met = radius_join(loose.select("surname").distinct().select(F.xxhash64("surname").alias("qid"), F.lit("").alias("given"), "surname"), last)
+    met = radius_join(loose.select("surname").distinct().select(F.xxhash64("surname").alias("qid"), F.lit("").alias("given"), "surname"), last, cell_names=LOOSE_NAMES)
     holders = points if every else points.groupBy("surname").agg(F.max_by("pid", F.struct("weight", -F.col("pid"))).alias("pid"))
     people = holders.select("pid", F.xxhash64("surname").alias("sid"))
     opened = loose.select("rid", F.xxhash64("surname").alias("qid")).join(met.withColumnRenamed("pid", "sid"), "qid").join(people, "sid").select("rid", "pid")
