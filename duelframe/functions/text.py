@@ -56,9 +56,13 @@ def _unmarked(text: str) -> str:
 
 
 @F.pandas_udf(T.StringType())
-def strip_marks(s: pd.Series) -> pd.Series:
-    """Compatibility decomposition without combining marks; there is no such built-in."""
-    return s.map(lambda x: None if x is None else x if x.isascii() else _unmarked(x))
+def _decomposed(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: None if x is None else _unmarked(x))
+
+
+def strip_marks(c: Column) -> Column:
+    """Compatibility decomposition without combining marks; there is no such built-in. ASCII texts stay in the JVM."""
+    return F.coalesce(_decomposed(F.when(c.rlike(r"[^\x00-\x7F]"), c)), c)
 
 
 def name_key(c: Column) -> Column:

@@ -155,6 +155,19 @@ def compare_sets(train: DataFrame, validation: DataFrame, sets: dict[str, list[s
     return sorted(evaluate_sets(train, validation, sets, **settings), key=lambda r: r["log_loss"])
 
 
+def single_features(train: DataFrame, validation: DataFrame, features: list[str], label: str = "red_win", **settings) -> list[dict]:
+    """Metrics and coefficient of the logistic model of each feature alone, best log loss first."""
+    train, validation = train.cache(), validation.cache()
+
+    def one(f: str) -> dict:
+        fitted = fit_logistic(train, [f], label, **settings)
+        c = fitted.coefficients()[0][1]
+        return {"feature": f, **score(fitted.predict(validation), label), "coefficient": c, "coefficient_sign": "positive" if c > 0 else "negative" if c < 0 else "zero"}
+
+    with ThreadPool(AT_ONCE) as pool:
+        return sorted(pool.map(one, features, 1), key=lambda r: r["log_loss"])
+
+
 def leave_one_out(train: DataFrame, validation: DataFrame, features: list[str], base: list[str] | None = None, **settings) -> list[dict]:
     """Metrics with each of ``features`` left out, beside ``base``, with the change of each metric against all of them."""
     fixed = [f for f in base or [] if f not in features]

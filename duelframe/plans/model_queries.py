@@ -165,9 +165,7 @@ def single_features(spark: SparkSession, folder: str) -> DataFrame:
     """Validation metrics and coefficient of each feature alone, best first."""
     rows, train, validation = _splits(spark, folder)
     names = features.features_of((*features.PREVIOUS_BEST, *features.OPTIONAL, *features.FINAL_FEATURES), rows.columns)
-    fits = models.compare_sets(train, validation, {n: [n] for n in names})
-    signs = {n: models.fit_logistic(train, [n]).coefficients()[0][1] for n in names}
-    return _table(spark, [{"feature": r["name"], **{k: v for k, v in r.items() if k not in ("name", "features")}, "coefficient": signs[r["name"]], "coefficient_sign": "positive" if signs[r["name"]] > 0 else "negative" if signs[r["name"]] < 0 else "zero"} for r in fits])
+    return _table(spark, models.single_features(train, validation, names))
 
 
 def leave_one_feature_out(spark: SparkSession, folder: str) -> DataFrame:

@@ -132,6 +132,8 @@ def test_comparisons_of_one_run(learnable):
     train, rest = learnable.where("id < 400"), learnable.where("id >= 400")
     out = models.leave_one_out(train, rest, ["a", "b"], ["c"], max_iter=30)
     assert [r["removed"] for r in out] == ["a", "b"] and out[0]["delta_log_loss"] > 0.02 and out[0]["n_features"] == 2
+    alone = models.single_features(train, rest, ["b", "a"], max_iter=30)
+    assert alone[0]["feature"] == "a" and alone[0]["coefficient"] > 0.5 and alone[0]["coefficient_sign"] == "positive"
     grid = models.penalty_grid(train, rest, ["a"], (0.1, 1.0), (0.0, 1.0))
     assert len(grid) == 4 and [r["log_loss"] for r in grid] == sorted(r["log_loss"] for r in grid)
     table, names = models.interactions(learnable.limit(20).withColumn("weight_class", F.when(F.col("id") % 2 == 0, "Flyweight")), "a", {"Lower": ["flyweight"]})
