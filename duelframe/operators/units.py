@@ -48,6 +48,8 @@ UNITS = {
     "in": Unit(LENGTH, 0.0254),
     "ft": Unit(LENGTH, 0.3048, below="in"),
     "yd": Unit(LENGTH, 0.9144),
+    "km": Unit(LENGTH, 1000.0),
+    "mi": Unit(LENGTH, 1609.344),
     "kg": Unit(MASS, 1.0),
     "g": Unit(MASS, 0.001),
     "lb": Unit(MASS, 0.45359237, below="oz"),
@@ -68,6 +70,8 @@ SPELLINGS = {
     "in": "in ins inch inches \" '' ″ ” “ ’’ ′′",
     "ft": "ft foot feet ' ′ ’ ‘ `",
     "yd": "yd yard yards",
+    "km": "km kms kilometer kilometers kilometre kilometres",
+    "mi": "mi mile miles",
     "kg": "kg kgs kilo kilos kilogram kilograms kilogramme kilogrammes",
     "g": "g gr gram grams gramme grammes",
     "lb": "lb lbs pound pounds #",
@@ -171,6 +175,49 @@ def parse_quantity(text: str | None, exponents: tuple) -> tuple[float, bool] | N
     return value, unit is not None
 
 
+_FACTOR = re.compile(r"(?P<by>per\b|[/])|(?P<times>[*·×])(?!\*)|(?P<power>(?:\^|\*\*)\s*-?\d+|[²³]|\bsquared\b|\bcubed\b)|(?P<unit>°[cf]\b|[^\W\d_²³]+|" + "|".join(map(re.escape, _SYMBOLS)) + r")|(?P<other>\S)", re.I)
+_POWERS = {"²": 2, "³": 3, "squared": 2, "cubed": 3}
+
+
+def parse_unit(text: str) -> Unit | None:
+    """``unit := factor (("*" | "/" | "per")? factor)*``, ``factor := word power?``: a product of powers; None if it doesn't read.
+
+    A slash holds for the next factor only. Offsets count only where a unit stands alone: in a product a degree is a difference.
+    """
+    factors: list[list] = []  # unit, power
+    sign = 1
+    for m in _FACTOR.finditer(text.strip()):
+        kind, part = m.lastgroup, m.group().lower()
+        if kind == "unit" and part in WORDS:
+            factors.append([UNITS[WORDS[part]], sign])
+            sign = 1
+        elif kind == "by":
+            sign = -1
+        elif kind == "power" and factors:
+            factors[-1][1] *= _POWERS[part] if part in _POWERS else int(part.lstrip("^* "))
+        elif kind != "times":
+            return None
+    if not factors:
+        return None
+    if len(factors) == 1 and factors[0][1] == 1:
+        return factors[0][0]
+    out = Unit((0, 0, 0, 0), 1.0)
+    for unit, power in factors:
+        out = out * unit**power
+    return out
+
+
+def parse_measurement(text: str | None, to: str) -> float | None:
+    """The value of "12.5 km/h"-like text in the unit ``to``; None without a number, a readable unit, or with other dimensions."""
+    m = re.match(r"\s*([-+]?)\s*(\d+(?:[.,]\d+)*)(.*)$", text or "", re.S)
+    unit, target = parse_unit(m.group(3)) if m else None, parse_unit(to)
+    if target is None:
+        raise ValueError(f"no unit: {to}")
+    if unit is None or unit.exponents != target.exponents:
+        return None
+    return (-1 if m.group(1) == "-" else 1) * _number(m.group(2)) * unit.scale / target.scale if not (unit.offset or target.offset) else unit.convert((-1 if m.group(1) == "-" else 1) * _number(m.group(2)), target)
+
+
 #: "in" is mostly a preposition: it is a unit only in a list of units joined by marks.
 _LISTED = "|".join(sorted((re.escape(w) for w in WORDS if w[-1].isalpha() and w != "in"), key=len, reverse=True))
 _INCHES = re.compile(rf"(?<![\w-])in\s*[,/&+]\s*(?:{_LISTED})\b|\b(?:{_LISTED})\s*[,/&+]\s*in\b", re.I)

@@ -73,5 +73,5 @@ def recency_grid(contests: DataFrame, base: DataFrame, features: list[str], last
             extra = [f"pre_fight_{n}_diff" for n in names]
             table = S.chronological_split(base.join(wide.select("bout_id", *extra), "bout_id"))
             table = checkpoint(table)
-            rows.append({"kind": kind, "value": v, **models.fit_and_evaluate(table.where("split = 'train'"), table.where("split = 'validation'"), [*features, *extra], f"{kind} {v}", **settings)})
+            rows.append({"kind": kind, "value": float(v), **models.fit_and_evaluate(table.where("split = 'train'"), table.where("split = 'validation'"), [*features, *extra], f"{kind} {v}", **settings)})
     return models.near_best(rows)

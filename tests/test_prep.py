@@ -93,6 +93,14 @@ def test_units_have_dimensions_and_offsets():
         units.UNITS["kg"].convert(1, units.UNITS["m"])
 
 
+@pytest.mark.parametrize(
+    ("text", "to", "value"),
+    [("36 km/h", "m/s", 10.0), ("60 miles per hour", "mi / h", 60.0), ("2 kg·m/s²", "kg m / s^2", 2.0), ("1 ft^2", "in squared", 144.0), ("5 lb per square", "kg", None), ("3 kg", "m", None), ("-40 °F", "°C", -40.0), ("12", "m", None), (None, "m", None), ("2 m**3", "cm³", 2e6), ("9 °C/h", "kelvin per hour", 9.0)],
+)
+def test_products_of_units(text, to, value):
+    assert units.parse_measurement(text, to) == (None if value is None else pytest.approx(value))
+
+
 def test_notes_state_units():
     assert units.stated_unit("camp sheet, centimetres / kilograms", units.LENGTH) == "cm"
     assert units.stated_unit("tale of the tape in in/lb", units.LENGTH) == "in"
