@@ -31,11 +31,11 @@ def fold_predictions(train: DataFrame, calibration: DataFrame, test: DataFrame,
 
 
 def research(df: DataFrame, features: list[str], family: str = "forest", label: str = "red_win", market: str = "market", least: tuple[int, int, int] = (250, 50, 50), **settings) -> DataFrame:
-    """All folds' test predictions. Rows without a market probability are left out before the folds are made."""
+    """All folds' test predictions. Rows without a market probability are left out before the folds are made; no rows without a fold that is large enough."""
     rows = df.where(F.col(market).isNotNull())
     folds = S.walk_forward_folds(rows, "event_date", *least).orderBy("fold_id").collect()  # one row per year
     if not folds:
-        raise ValueError("no fold has enough rows")
+        return df.sparkSession.createDataFrame([], "bout_id bigint, event_date date, fold_id int, label int, " + ", ".join(f"{m} double" for m in METHODS))
     rows, year, panels = rows.cache(), F.year("event_date"), []
     for f in folds:
         parts = [rows.where(year < f.calibration_year), rows.where(year == f.calibration_year), rows.where(year == f.test_year)]

@@ -31,6 +31,9 @@ def test_aliases_and_files(tmp_path):
     (tmp_path / "x_odds.csv").write_text("a")
     (tmp_path / "bets.csv").write_text("aaaa")
     assert io.locate_quotes(str(tmp_path)).endswith("x_odds.csv")
+    (tmp_path / "ufc_odds.csv").write_text("")
+    assert io.locate_quotes(str(tmp_path)).endswith("ufc_odds.csv")
+    assert io.resolve_columns(["commence_time", "home_fighter", "away_fighter", "moneyline_1", "moneyline_2", "site", "snapshot_time"], io.QUOTE_ALIASES)["quoted_at"] == "snapshot_time"
     assert io.read_parameters(str(tmp_path / "none.json"), {"a": 1}) == {"a": 1}
     io.write_report({"b": 1}, str(tmp_path / "r/x.json"))
     assert io.read_parameters(str(tmp_path / "r/x.json"), {"a": 1}) == {"a": 1, "b": 1}
@@ -42,6 +45,17 @@ def test_write_and_read_back(spark, tmp_path):
     assert io.read_contests(spark, str(tmp_path / "t")).count() == 1
 
 
+def test_backtest_inputs(spark, tmp_path):
+    (tmp_path / "p.csv").write_text("Event Date,Red Fighter Name,Blue Fighter Name,p\n2020-01-01,A,B,0.5\n")
+    spark.createDataFrame([("2020-01-01", "A", "B", 2.0)], "event_date string, red_fighter_name string, blue_fighter_name string, red_decimal_odds double").write.parquet(str(tmp_path / "m"))
+    p, m = io.read_backtest_inputs(spark, str(tmp_path / "p.csv"), str(tmp_path / "m"))
+    assert p.first().event_date == m.first().event_date and p.first().p == "0.5"
+    with pytest.raises(ValueError, match="bout_id"):
+        io.read_backtest_inputs(spark, str(tmp_path / "p.csv"), str(tmp_path / "m"), ("bout_id",))
+    with pytest.raises(FileNotFoundError):
+        io.read_backtest_inputs(spark, str(tmp_path / "none.csv"), str(tmp_path / "m"))
+
+
 @pytest.fixture(scope="module")
 def learnable(spark):
     x = F.randn(1)
@@ -147,3 +161,9 @@ def test_metrics_by_two_formulas(spark):
     again = {r.metric: r["value"] for r in audit.recomputed_metrics(df).collect()}
     first = model_queries.M.evaluate(df.withColumn("g", F.lit(1)), ["g"]).first().asDict()
     assert all(again[m] == pytest.approx(first[m], abs=1e-12) for m in again) and again["n"] == 6
+
+
+def test_no_fold_gives_no_rows(spark):
+    rows = spark.createDataFrame([(1, None, 1, 0.5)], "bout_id bigint, event_date date, red_win int, market double")
+    panel = model_queries.walkforward.research(rows, ["market"])
+    assert panel.count() == 0 and model_queries.walkforward.compare(panel).count() == 0 and model_queries.walkforward.by_year(panel).count() == 0
