@@ -8,7 +8,7 @@ the expected (Fisher) weights.
 Vectors and pairs are blocks of a table. Items are numbered and cut into blocks of ``BLOCK_ITEMS``; each pair lies with the
 item that has fewer opponents, so an item that met a third of all others leaves its pairs with them. One product of the
 normal matrix is one job: blocks of items send the values that blocks of pairs need, these send back sums. The driver sees
-a few numbers for each block.
+a few sums over all blocks.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from duelframe.operators.metrics import ranked
@@ -30,10 +30,12 @@ from duelframe.runtime import Written, parts_for
 BLOCK_ITEMS = 16_384
 #: Sign vectors that the standard errors are estimated from (a power of two); up to so many items they are exact.
 PROBES = 8
+#: Items with most comparisons, whose standard errors are solved for exactly: sign vectors are worst for these.
+EXACT_ITEMS = 12
 #: Most steps of Newton's method and of one solve: an error beyond.
 NEWTON_STEPS, SOLVER_STEPS = 60, 500
 #: Greatest entry of the gradient at which the strengths are taken as found, and residuals (against the right side) of a solve.
-GRADIENT, STEP_RESIDUAL, ERROR_RESIDUAL = 1e-3, 0.05, 0.01
+GRADIENT, STEP_RESIDUAL, ERROR_RESIDUAL = 1e-3, 0.05, 2e-3
 
 _GRID = np.linspace(-6.5, 6.5, 1_301)
 _CDF = np.array([0.5 * math.erfc(-x / math.sqrt(2)) for x in _GRID])
@@ -92,8 +94,8 @@ def _blocks(pairs: DataFrame, items: DataFrame, parts: int) -> DataFrame:
 class _Solver:
     """The iterations. A block's state is a dict of arrays; a round is: each state sends, pairs fold, states merge."""
 
-    def __init__(self, blocks: DataFrame, n: int, ridge: float, parts: int):
-        self.n, self.ridge, self.parts, self.spark = n, ridge, parts, blocks.sparkSession
+    def __init__(self, blocks: DataFrame, n: int, ridge: float, parts: int, exact: list[int]):
+        self.n, self.ridge, self.parts, self.exact, self.spark = n, ridge, parts, exact, blocks.sparkSession
         self.store = Written(self.spark)
         # a table, so that the state's lineage begins here
         packed = self.store.keep(blocks, "blocks")
@@ -113,8 +115,8 @@ class _Solver:
     def _placed(self, pairs: DataFrame) -> DataFrame:
         return pairs.repartition(self.parts, "block").persist(StorageLevel.MEMORY_AND_DISK)
 
-    def _round(self, send: Callable, fold: Callable, merge: Callable, reweigh: bool = False, kind: type = np.float64) -> np.ndarray:
-        """One exchange; the sums over all blocks of the numbers that ``merge`` returns.
+    def _round(self, send: Callable, fold: Callable, merge: Callable, dots: int, reweigh: bool = False, kind: type = np.float64) -> np.ndarray:
+        """One exchange; the sums over all blocks (with ``reweigh`` the greatest) of the ``dots`` numbers that ``merge`` returns.
 
         ``send(state)`` gives the values to send, a row for each item; ``fold(pairs, values)`` gives the sums for the items of
         a block of pairs (and with ``reweigh`` its new contents before them); ``merge(state, sums)`` changes the state.
@@ -147,8 +149,8 @@ class _Solver:
                 part = pickle.loads(payload)
                 sums = np.zeros((state["n"], part.shape[1])) if sums is None else sums
                 sums[state["wants"][b]] += part  # an item stands once in a list
-            dots = merge(state, sums)
-            return pd.DataFrame({"block": [int(left["block"].iloc[0])], "payload": [pickle.dumps(state)], "dots": [[float(v) for v in dots]]})
+            found = merge(state, sums)
+            return pd.DataFrame({"block": [int(left["block"].iloc[0])], "payload": [pickle.dumps(state)], "dots": [[float(v) for v in found]]})
 
         pairs = self.pairs if reweigh else self.weighted
         message = "block int, sender int, payload binary"
@@ -160,12 +162,14 @@ class _Solver:
         sums = folded.where("sender != -2").repartition(self.parts, "block")
         state = state.repartition(self.parts, "block").groupBy("block").cogroup(sums.groupBy("block")).applyInPandas(merging, "block int, payload binary, dots array<double>")
         # each round's state is a table: plans that hold cached plans would grow from round to round
-        self.state = self.store.keep(state, "state")
+        seen = Observation()
+        over = F.max if reweigh else F.sum
+        self.state = self.store.keep(state.observe(seen, *[over(F.col("dots")[i]).alias(f"d{i}") for i in range(dots)]), "state")
         if reweigh:
             if self.weighted is not None:
                 self.weighted.unpersist()
             self.weighted = self._placed(self.store.keep(folded.where("sender = -2").select("block", "payload"), "weighted"))
-        return np.array([r[0] for r in self.state.select("dots").collect()])  # one short row for each block
+        return np.array([seen.get[f"d{i}"] for i in range(dots)])
 
     def _gradient(self, seen: bool) -> float:
         """Take the last solve's step, and the gradient and the weights at the new strengths."""
@@ -184,11 +188,11 @@ class _Solver:
         def merge(state, sums):
             state["d"] = sums[:, 1:] + ridge
             state["r"] = sums[:, :1] - ridge * state["s"]
-            for done in ("p", "q", "u", "h"):
+            for done in ("p", "q", "h"):
                 state.pop(done, None)
             return [np.abs(state["r"]).max()]
 
-        return float(self._round(send, fold, merge, reweigh=True).max(initial=0.0))
+        return float(self._round(send, fold, merge, 1, reweigh=True)[0])
 
     @staticmethod
     def _product(held, y):
@@ -208,21 +212,23 @@ class _Solver:
 
             def send(state, alpha=alpha, beta=beta):
                 if alpha is None:
-                    state |= {"x": np.zeros_like(state["r"]), "p": np.zeros_like(state["r"]), "q": np.zeros_like(state["r"])}
+                    state["r"] = state["r"].astype(kind)
+                    state |= {c: np.zeros_like(state["r"]) for c in "xpq"}
                 else:
-                    state["p"] = state["u"] + beta * state["p"]
-                    state["q"] = state["h"] + beta * state["q"]
-                    state["x"] = state["x"] + alpha * state["p"]
-                    state["r"] = state["r"] - alpha * state["q"]
-                state["u"] = state["r"] / state["d"]
-                return state["u"]
+                    state["p"] = (state["r"] / state["d"] + beta * state["p"]).astype(kind)
+                    state["q"] = (state["h"] + beta * state["q"]).astype(kind)
+                    state["x"] = (state["x"] + alpha * state["p"]).astype(kind)
+                    state["r"] = (state["r"] - alpha * state["q"]).astype(kind)
+                return state["r"] / state["d"]
 
             def merge(state, sums):
-                state["h"] = sums + ridge * state["u"]
-                r, u = state["r"], state["u"]
-                return [*(r * u).sum(0), *(state["h"] * u).sum(0), *(r * r).sum(0)]
+                r = state["r"].astype(np.float64)
+                u = r / state["d"]
+                h = sums + ridge * u
+                state["h"] = h.astype(kind)
+                return [*(r * u).sum(0), *(h * u).sum(0), *(r * r).sum(0)]
 
-            new, delta, rr = self._round(send, self._product, merge, kind=kind).sum(0).reshape(3, width)
+            new, delta, rr = self._round(send, self._product, merge, 3 * width, kind=kind).reshape(3, width)
             first = rr if first is None else first
             if (rr <= tolerance**2 * first).all():
                 return
@@ -240,9 +246,9 @@ class _Solver:
         weights between items the inverse begins with M = 1/D + W/D^2 + the paths of two steps, whose diagonal is a sum over
         pairs; the diagonal of P M P needs M 1 besides, and the solve begins at P M P z. All terms of the inverse are
         positive, so the result is held above M's. The sign vectors of items whose numbers differ modulo their count are
-        orthogonal, so that up to PROBES items nothing is left to chance.
+        orthogonal, so that up to PROBES items nothing is left to chance. The items of ``exact`` get unit vectors of their own.
         """
-        ridge, m, n = self.ridge, PROBES, self.n
+        ridge, m, n, exact = self.ridge, PROBES, self.n, self.exact
         hadamard = np.array([[1.0]])
         while len(hadamard) < m:
             hadamard = np.block([[hadamard, hadamard], [hadamard, -hadamard]])
@@ -272,21 +278,29 @@ class _Solver:
 
         total = np.zeros(m + 1)
         for _ in range(3):
-            dots = self._round(send, fold, merge, kind=np.float32).sum(0)
+            dots = self._round(send, fold, merge, 2 * (m + 1), kind=np.float32)
             mean, total = dots[: m + 1] / n, total + dots[m + 1 :] / n
         middle = total[:m] - mean[:m] * total[m]  # of M P z
 
         def begin(state):
             # P z less the normal matrix times P M P z
-            state["r"] = state["d"] * (state["v"][:, :m] - mean[:m] * state["v"][:, m:]) + ridge * middle
+            rest = state["d"] * (state["v"][:, :m] - mean[:m] * state["v"][:, m:]) + ridge * middle
+            units = np.arange(state["base"], state["base"] + state["n"])[:, None] == np.array(exact, np.int64)
+            state["r"] = np.concatenate([rest, units], axis=1)
+            state["m"] = state["m"][:, m:]
+            del state["z"], state["v"]  # the solve's vectors need the room
             return state
 
         self._change(begin)
-        self._solve(m, ERROR_RESIDUAL, np.float32)
+        self._solve(m + len(exact), ERROR_RESIDUAL, np.float32)
 
         def end(state):
-            without = state["known"] - 2 / n * state["m"][:, m:] + total[m] / n
-            found = without + (state["z"][:, :m] * state["x"]).mean(1, keepdims=True) + 1 / (n * ridge)
+            without = state["known"] - 2 / n * state["m"] + total[m] / n
+            found = without + (signs(state) * state["x"][:, :m]).mean(1, keepdims=True) + 1 / (n * ridge)
+            for c, i in enumerate(exact):
+                at = i - state["base"]
+                if 0 <= at < state["n"]:
+                    found[at] = state["x"][at, m + c]
             state["error"] = np.sqrt(np.maximum(found, state["known"]))
             return state
 
@@ -341,7 +355,8 @@ def rank_items(results: DataFrame, winner: str = "winner", loser: str = "loser",
     sorts = parts_for(spark, n)
     items = store.keep(ranked(totals, [], ["item"], sorts).select("item", "n_won", "n_lost", (F.col("r") - 1).alias("idx")), "items")
     parts = -(-n // BLOCK_ITEMS)
-    fitted = _Solver(_blocks(pairs, items.select("item", "idx"), parts), n, ridge, parts).fit()
+    exact = [r[0] for r in items.orderBy(F.desc(F.col("n_won") + F.col("n_lost")), "idx").select("idx").limit(EXACT_ITEMS).collect()]
+    fitted = _Solver(_blocks(pairs, items.select("item", "idx"), parts), n, ridge, parts, exact).fit()
     rows = items.join(fitted, "idx").withColumn("weak", -F.col("strength"))
     placed = ranked(rows, [], ["weak", "item"], sorts)
     return placed.select("item", "n_won", "n_lost", "strength", "std_error", F.col("r").alias("position"))
