@@ -1,6 +1,7 @@
 import inspect
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from duelframe.operators import models
@@ -70,6 +71,18 @@ def test_models_learn(learnable):
     assert models.fit_and_evaluate(learnable, learnable, [], "none") == {"name": "none", "n_features": 0}
 
 
+def test_models_predict_after_an_observation_and_a_tag(learnable):
+    seen = Observation()
+    learnable.observe(seen, F.count("*").alias("n")).collect()
+    learnable.sparkSession.addTag("models")
+    try:
+        for fit, settings in ((models.fit_logistic, {"max_iter": 5}), (models.fit_forest, {"numTrees": 3, "maxDepth": 2}), (models.fit_boost, {"maxIter": 2})):
+            fitted = fit(learnable, ["a", "b"], **settings)
+            assert seen.get == {"n": 600} and models.score(fitted.predict(learnable))["n"] == 600 and len(fitted.coefficients()) == 2
+    finally:
+        learnable.sparkSession.removeTag("models")
+
+
 def test_selection_and_calibration(learnable):
     train, rest = learnable.where("id < 400"), learnable.where("id >= 400")
     assert models.forward_selection(train, rest, ["b", "a"], max_iter=50)[0]["added"] == "a"
