@@ -1,5 +1,9 @@
+import pytest
+from pyspark.sql import Observation
+from pyspark.sql import functions as F
+
 from duelframe.plans import contest_queries as Q
-from duelframe.plans import research
+from duelframe.plans import model_queries, research
 from duelframe.runtime import read_table
 
 
@@ -20,3 +24,15 @@ def test_recency_grid(spark, tiny):
     contests = Q.contests(spark, tiny)
     rows = research.recency_grid(contests, contests.select("bout_id", "event_date", "red_win"), [], (2,), (365.0,), max_iter=20)
     assert [r["kind"] for r in rows] == ["last_n", "half_life"] and any(r["near_best"] for r in rows)
+
+
+@pytest.fixture
+def observed(spark):
+    """A session with an observation, which can't be sent to tasks."""
+    spark.range(5).observe(Observation(), F.count("*").alias("n")).collect()
+    return spark
+
+
+def test_elo_k_grid_in_an_observed_session(observed, tiny):
+    rows = model_queries.elo_k_grid(observed, tiny).collect()
+    assert [r.k for r in rows] == list(model_queries.ELO_K) and any(r.near_best for r in rows)
