@@ -36,3 +36,9 @@ def observed(spark):
 def test_elo_k_grid_in_an_observed_session(observed, tiny):
     rows = model_queries.elo_k_grid(observed, tiny).collect()
     assert [r.k for r in rows] == list(model_queries.ELO_K) and any(r.near_best for r in rows)
+
+
+def test_recency_grid_in_an_observed_session(observed, tiny):
+    contests = Q.contests(observed, tiny)
+    rows = research.recency_grid(contests, contests.select("bout_id", "event_date", "red_win"), [], (2,), (), max_iter=20)
+    assert [r["kind"] for r in rows] == ["last_n"] and rows[0]["near_best"]
