@@ -12,6 +12,7 @@ import re
 import unicodedata
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import partial
 from itertools import combinations
 
 import numpy as np
@@ -465,6 +466,148 @@ def radius_join(queries: DataFrame, points: DataFrame, radius: int = RADIUS, cel
     return ordered.mapInPandas(join, "qid bigint, pid bigint, edits int")
 
 
+#: Points of one given name in one part of an index, and most pairs that a task compares at once; about memory, not results.
+PART_POINTS, PAIRS_AT_ONCE = 100_000, 500_000
+#: The base of the keys' polynomial and its powers modulo 2^64.
+_POWERS = np.array([pow(0x9E3779B97F4A7C15, i, 1 << 64) for i in range(2 * SHORT)], np.uint64)
+
+
+def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of each text, filled up with 0, and the lengths."""
+    lengths = np.array([len(t) for t in texts], np.int64)
+    out = np.zeros((len(texts), int(lengths.max(initial=0))), np.uint32)
+    out[np.arange(out.shape[1]) < lengths[:, None]] = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    return out, lengths
+
+
+def deletion_keys(codes: np.ndarray, lengths: np.ndarray, seeds: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and key of each text without up to ``radius`` of its characters, as ``deletions`` but hashed, all texts of a length at once.
+
+    A key is a polynomial of the characters left plus the seed. Its parts between the dropped characters are differences
+    of running sums, of which there is one for each number of characters dropped before.
+    """
+    rows, keys = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+    for n in np.unique(lengths).tolist():
+        at = np.flatnonzero(lengths == n)
+        letters = np.ascontiguousarray(codes[at, :n].T).astype(np.uint64)
+        sums = np.zeros((radius + 1, n + 1, len(at)), np.uint64)
+        for d in range(radius + 1):
+            np.cumsum(letters * _POWERS[radius - d : radius - d + n, None], axis=0, out=sums[d, 1:])
+        for k in range(min(radius, n) + 1):
+            for drop in combinations(range(n), k):
+                key, begin = seeds[at], 0
+                for d, end in enumerate((*drop, n)):
+                    key, begin = key + sums[d, end] - sums[d, begin], end + 1
+                rows.append(at)
+                keys.append(key)
+    return np.concatenate(rows), np.concatenate(keys)
+
+
+def edits_within(a: np.ndarray, a_lengths: np.ndarray, b: np.ndarray, b_lengths: np.ndarray, radius: int) -> np.ndarray:
+    """``levenshtein`` of the texts of equal rows (code points as of ``_codes``), radius + 1 where it is greater."""
+    most = radius + 1
+    width = 2 * radius + 1  # a column for each j - i
+    previous = [np.full(len(a), min(k - radius, most) if k >= radius else most) for k in range(width)]
+    at = np.clip(b_lengths - a_lengths + radius, 0, width - 1)
+    out = np.where(a_lengths == 0, np.minimum(b_lengths, most), most)
+    for i in range(1, int(a_lengths.max(initial=0)) + 1):
+        row: list[np.ndarray] = []
+        for k in range(width):
+            j = i + k - radius
+            if j <= 0 or j > b.shape[1]:
+                row.append(np.full(len(a), min(i, most) if j == 0 else most))
+                continue
+            least = np.minimum(previous[k] + (a[:, i - 1] != b[:, j - 1]), most)
+            if k > 0:
+                least = np.minimum(least, row[k - 1] + 1)
+            row.append(np.minimum(least, previous[k + 1] + 1) if k + 1 < width else least)
+        ends = np.flatnonzero(a_lengths == i)
+        out[ends] = np.stack(row)[at[ends], ends]
+        previous = row
+    return np.where(np.abs(b_lengths - a_lengths) > radius, most, out)
+
+
+class Index:
+    """Points (``seeds`` stand for the given names) for exact radius queries: short surnames by sorted deletion keys, long ones as a list."""
+
+    def __init__(self, seeds: np.ndarray, surnames: list[str], radius: int):
+        self.seeds, self.radius = seeds, radius
+        self.codes, self.lengths = _codes(surnames)
+        short, self.long = np.flatnonzero(self.lengths <= SHORT), np.flatnonzero(self.lengths > SHORT)
+        rows, keys = deletion_keys(self.codes[short], self.lengths[short], seeds[short], radius)
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.rows = keys[order], short[rows[order]].astype(np.int32)
+
+    def within(self, seeds: np.ndarray, surnames: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query, point and edits of all pairs of one seed within the radius."""
+        codes, lengths = _codes(surnames)
+        found = [np.empty((3, 0), np.int64)]
+        for q, p in self._likely(codes, lengths, seeds):
+            same = seeds[q] == self.seeds[p]
+            q, p = q[same], p[same]
+            n = edits_within(codes[q], lengths[q], self.codes[p], self.lengths[p], self.radius)
+            found.append(np.stack([q, p, n])[:, n <= self.radius])
+        q, p, n = np.unique(np.concatenate(found, axis=1), axis=1)
+        return q, p, n
+
+    def _likely(self, codes: np.ndarray, lengths: np.ndarray, seeds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs that share a key, and all of long points with long queries, some at a time."""
+        near = np.flatnonzero(lengths <= SHORT + self.radius)
+        rows, keys = deletion_keys(codes[near], lengths[near], seeds[near], self.radius)
+        order = np.argsort(keys)
+        rows, keys = near[rows[order]], keys[order]
+        first = np.searchsorted(self.keys, keys)
+        hit = np.flatnonzero(self.keys[np.minimum(first, len(self.keys) - 1)] == keys) if len(self.keys) else order[:0]
+        hit = hit[np.argsort(rows[hit], kind="stable")]  # a query's keys together, so that most of its pairs come once
+        rows, first, n = rows[hit], first[hit], np.searchsorted(self.keys, keys[hit], "right") - first[hit]
+        piece = np.cumsum(n) // PAIRS_AT_ONCE
+        for part in np.split(np.arange(len(n)), np.flatnonzero(np.diff(piece)) + 1):
+            each = n[part]
+            at = np.repeat(first[part] - np.cumsum(each) + each, each) + np.arange(each.sum())
+            pairs = np.unique(np.repeat(rows[part], each) * len(self.lengths) + self.rows[at])
+            yield pairs // len(self.lengths), pairs % len(self.lengths)
+        far = np.flatnonzero(lengths > SHORT - self.radius) if len(self.long) else near[:0]
+        step = max(1, PAIRS_AT_ONCE // max(1, len(self.long)))
+        for i in range(0, len(far), step):
+            some = far[i : i + step]
+            yield np.repeat(some, len(self.long)), np.tile(self.long, len(some))
+
+
+def key_join(queries: DataFrame, points: DataFrame, radius: int = RADIUS, part_points: int = PART_POINTS) -> DataFrame:
+    """The rows of ``radius_join``, without pivots: the work for a query doesn't grow with the number of points.
+
+    Names within the radius have one given name, so a given name's points lie in one task, or where they are more than
+    ``part_points`` in several parts, each of which all its queries visit. A task finds the surnames near a query by keys
+    that near surnames share.
+    """
+    if radius >= GIVEN_WEIGHT:
+        raise ValueError("the radius must be below the weight of the given name")
+    spark = points.sparkSession
+    large = points.groupBy("given").agg(F.ceil(F.count("*") / part_points).cast("int").alias("parts")).where("parts > 1")
+    large = F.broadcast(large)  # fewer than points / part_points
+    parts = F.coalesce("parts", F.lit(1))
+    homes = points.join(large, "given", "left").select(F.lit(False).alias("query"), F.col("pid").alias("id"), "surname", "given", F.pmod(F.xxhash64("pid"), parts).cast("int").alias("part"))
+    visits = queries.join(large, "given", "left").select(F.lit(True).alias("query"), F.col("qid").alias("id"), "surname", "given", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    sides = homes.unionByName(visits).select("query", "id", "surname", F.xxhash64("given", "part").alias("cell"))
+    ordered = sides.repartition(parts_for(spark, points.count(), part_points // 2, 2_000), "cell").sortWithinPartitions("query")
+
+    def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        points_here, index, ids = [], None, None
+        for p in batches:
+            points_here.append(p[~p["query"]])
+            q = p[p["query"]]
+            if not len(q):
+                continue
+            if index is None:  # the points come first
+                own = pd.concat(points_here, ignore_index=True)
+                index, ids = Index(own["cell"].to_numpy().view(np.uint64), own["surname"].tolist(), radius), own["id"].to_numpy()
+            i, j, n = index.within(q["cell"].to_numpy().view(np.uint64), q["surname"].tolist())
+            yield pd.DataFrame({"qid": q["id"].to_numpy()[i], "pid": ids[j], "edits": n.astype(np.int32)})
+
+    return ordered.mapInPandas(join, "qid bigint, pid bigint, edits int")
+
+
+
 def spellings(df: DataFrame, column: str) -> DataFrame:
     """``name, n``: each distinct non-blank string of a column and its number of rows."""
     return df.select(F.col(column).cast("string").alias("name")).where(F.length(F.trim("name")) > 0).groupBy("name").agg(F.count("*").alias("n"))
@@ -524,7 +667,8 @@ def link_spellings(names: DataFrame, registry: DataFrame, pet_forms: dict[str, l
 
 def possible_people(names: DataFrame, registry: DataFrame, margin: float = 0.6, pet_forms: dict[str, list[str]] | None = None) -> DataFrame:
     """``name, entity, cost`` of all registered persons a spelling may mean: those within ``margin`` of the least cost."""
-    people, numbered, ways = _prepared(names, registry, pet_forms)
+    # read several times; without the cut the readers of names run on all rows instead of the distinct names
+    people, numbered, ways = _prepared(names, checkpoint(registry), pet_forms)
     near = _resolve(ways, people, True).where(F.col("cost") <= F.col("least") + margin)
     return numbered.select("qid", "name").join(near.select("qid", "entity", "cost"), "qid").select("name", "entity", "cost")
 
@@ -594,13 +738,15 @@ def learned_forms(ways: DataFrame, people: DataFrame) -> dict[str, list[str]]:
 def _near(ways: DataFrame, points: DataFrame, every: bool) -> DataFrame:
     """``rid, pid`` of readings and points ``pid, given, surname, weight`` within the radius; open readings by surname alone.
 
-    Of the points with one surname an open reading gets all with ``every``, else the one of greatest weight.
+    Of the points with one surname an open reading gets all with ``every``, else the one of greatest weight. With ``every``
+    the points are found by keys, else by pivots; the pairs are the same.
     """
-    closed = radius_join(ways.where("NOT open").select(F.col("rid").alias("qid"), "given", "surname"), points.select("pid", "given", "surname"))
+    tight, wide = (key_join, key_join) if every else (radius_join, partial(radius_join, cell_names=LOOSE_NAMES))
+    closed = tight(ways.where("NOT open").select(F.col("rid").alias("qid"), "given", "surname"), points.select("pid", "given", "surname"))
     # surnames in their own space, with ids made of them
     last = points.select("surname").distinct().select(F.xxhash64("surname").alias("pid"), F.lit("").alias("given"), "surname")
     loose = ways.where("open")
-    met = radius_join(loose.select("surname").distinct().select(F.xxhash64("surname").alias("qid"), F.lit("").alias("given"), "surname"), last, cell_names=LOOSE_NAMES)
+    met = wide(loose.select("surname").distinct().select(F.xxhash64("surname").alias("qid"), F.lit("").alias("given"), "surname"), last)
     holders = points if every else points.groupBy("surname").agg(F.max_by("pid", F.struct("weight", -F.col("pid"))).alias("pid"))
     people = holders.select("pid", F.xxhash64("surname").alias("sid"))
     opened = loose.select("rid", F.xxhash64("surname").alias("qid")).join(met.withColumnRenamed("pid", "sid"), "qid").join(people, "sid").select("rid", "pid")

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duelframe.llm import leaks, names, ranking, softlogic, spans, tokenizer
-from duelframe.runtime import read_table
+from duelframe.runtime import checkpoint, read_table
 
 
 def _registry(spark: SparkSession, folder: str) -> DataFrame:
@@ -61,6 +61,7 @@ def p6_links(spark: SparkSession, folder: str) -> DataFrame:
     day = F.unix_date(F.col("event_date").cast("date"))
     bets = read_table(spark, folder, "betting_cumulative_profit").select("bet_id", day.alias("day"), F.col("red_fighter_name").alias("red"), F.col("blue_fighter_name").alias("blue"), F.lower("selected_side").alias("side"), softlogic.decimal_odds(F.col("selected_decimal_odds")).alias("odds")).distinct()
     quotes = read_table(spark, folder, "quotes_raw").select("quote_id", day.alias("day"), F.col("fighter_1").alias("first"), F.col("fighter_2").alias("second"), softlogic.decimal_odds(F.col("fighter_1_odds")).alias("odds_1"), softlogic.decimal_odds(F.col("fighter_2_odds")).alias("odds_2")).distinct()
+    bets, quotes = checkpoint(bets), checkpoint(quotes)  # each is read several times
     written = [names.spellings(bets, "red"), names.spellings(bets, "blue"), names.spellings(quotes, "first"), names.spellings(quotes, "second")]
     typed = written[0].unionByName(written[1]).unionByName(written[2]).unionByName(written[3]).groupBy("name").agg(F.sum("n").alias("n"))
     people = names.possible_people(typed, _registry(spark, folder))

@@ -143,6 +143,34 @@ def test_cells_lose_no_pair(spark, monkeypatch):
     assert got == want
 
 
+@pytest.mark.parametrize("part_points", [names.PART_POINTS, 40])
+def test_keys_find_all_within_the_radius(spark, monkeypatch, part_points):
+    rng = random.Random(7)
+    monkeypatch.setattr(names, "PAIRS_AT_ONCE", 100)
+    word = lambda: "".join(rng.choice("abé") for _ in range(rng.randrange(1, 8)))
+    points = [(i, rng.choice(["ann", "bob"]), word()) for i in range(150)] + [(900, "ann", "z" * 60), (903, "ann", "z" * 39), (904, "ann", "z" * 41)]
+    queries = [(i, rng.choice(["ann", "bob", "eve"]), word()) for i in range(80)] + [(901, "ann", "z" * 59 + "y"), (902, "ann", "z" * 1000), (905, "ann", "z" * 40)]
+    schema = "pid bigint, given string, surname string"
+    p, q = spark.createDataFrame(points, schema), spark.createDataFrame(queries, schema.replace("pid", "qid"))
+    got = sorted((r.qid, r.pid, r.edits) for r in names.key_join(q, p, part_points=part_points).collect())
+    assert got == sorted((i, j, names.levenshtein(s, t, 9)) for i, g, s in queries for j, h, t in points if g == h and names.levenshtein(s, t, 2) <= 2)
+    assert names.key_join(q, p.limit(0)).count() == names.key_join(q.limit(0), p).count() == 0
+
+
+def test_possible_people_without_pivots(spark, monkeypatch):
+    """Distances to pivots, whose number grows with the persons, made the work for names grow as their square."""
+
+    def pivots(*_):
+        raise AssertionError("pivots")
+
+    monkeypatch.setattr(names, "choose_pivots", pivots)
+    people = table(spark, [("Rafael Kholaliz", 5), ("Rafael Kholariz", 5), ("Rebecca Gurtuagril", 5)])
+    near = names.possible_people(table(spark, [("Rafael Kholaliz", 1), ("Rafael Kholalis", 1), ("Hammer Gurtuagril", 1), ("Nobody Knownhere", 1)]), people)
+    key = {r.display: r.entity for r in names.registry_entities(people).collect()}
+    got = {(r.name, r.entity) for r in near.collect()}
+    assert got == {("Rafael Kholaliz", key["Rafael Kholaliz"]), ("Rafael Kholalis", key["Rafael Kholaliz"]), ("Hammer Gurtuagril", key["Rebecca Gurtuagril"])}
+
+
 GIVEN = ["francisco", "francisca", "rafael", "rebecca", "jose", "gabriel", "gabriela", "matheus", "michael", "leandro"]
 
 
