@@ -42,3 +42,20 @@ def test_recency_grid_in_an_observed_session(observed, tiny):
     contests = Q.contests(observed, tiny)
     rows = research.recency_grid(contests, contests.select("bout_id", "event_date", "red_win"), [], (2,), (), max_iter=20)
     assert [r["kind"] for r in rows] == ["last_n"] and rows[0]["near_best"]
+
+
+@pytest.fixture
+def modelled(observed, monkeypatch):
+    """An observed session in which the model queries get a small modelling table of a few of their features."""
+    noise = lambda k: (F.pmod(F.hash("bout_id", F.lit(k)), F.lit(100)) / 50 - 1).cast("double")
+    features = ["diff_age", "diff_elo", "diff_reach", "diff_loss_streak", "diff_momentum_win_pct", "diff_decision_rate"]
+    rows = observed.range(0, 160, 1, 1).withColumnRenamed("id", "bout_id").select("bout_id", *[noise(k).alias(f) for k, f in enumerate(features)])
+    split = F.when(F.col("bout_id") < 100, "train").when(F.col("bout_id") < 140, "validation").otherwise("test")
+    rows = rows.withColumns({"red_win": (F.col("diff_elo") + noise(9) > 0).cast("int"), "weight_class": F.when(F.col("bout_id") % 2 == 0, "flyweight").otherwise("lightweight"), "split": split}).cache()
+    monkeypatch.setattr(model_queries, "_modelling", lambda *_: rows)
+    return observed
+
+
+@pytest.mark.parametrize(("query", "n"), [("set_comparison", 10)])
+def test_model_queries_in_an_observed_session(modelled, query, n):
+    assert model_queries.QUERIES[query](modelled, "").count() == n
