@@ -56,6 +56,6 @@ def modelled(observed, monkeypatch):
     return observed
 
 
-@pytest.mark.parametrize(("query", "n"), [("set_comparison", 10), ("hypothesis_comparison", 9), ("group_ablation", 8), ("single_features", 5), ("leave_one_feature_out", 4), ("selection_audit", 2)])
+@pytest.mark.parametrize(("query", "n"), [("set_comparison", 10), ("hypothesis_comparison", 9), ("group_ablation", 8), ("single_features", 5), ("leave_one_feature_out", 4), ("selection_audit", 2), ("class_interactions", 3)])
 def test_model_queries_in_an_observed_session(modelled, query, n):
     assert model_queries.QUERIES[query](modelled, "").count() == n
