@@ -8,17 +8,22 @@ from collections.abc import Callable
 from functools import reduce
 from itertools import combinations
 from multiprocessing.pool import ThreadPool
+from types import SimpleNamespace
+
+import numpy as np
 
 from pyspark import SparkContext
 from pyspark.ml import Model, Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from duelframe.functions import numeric as N
+from duelframe.operators import logit as L
 from duelframe.operators import metrics as M
 from duelframe.runtime import checkpoint
 
@@ -85,11 +90,91 @@ class Fitted:
         return " ".join([f"logit = {self.model.intercept:.{digits}f}", *terms])
 
 
+class Logit(Fitted):
+    """A fitted logistic regression: its probability is a plain expression."""
+
+    def __init__(self, features: list[str], scaler: Scaler, at: np.ndarray):
+        super().__init__(features, scaler, SimpleNamespace(coefficients=Vectors.dense(at[1:]), intercept=float(at[0])), True)
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        s, z = self.scaler, F.lit(self.model.intercept)
+        for f, c in zip(self.features, map(float, self.model.coefficients)):
+            if s.deviations[f] > 0:
+                z = z + (F.coalesce(N.real(F.col(f)), F.lit(s.medians[f])) - s.means[f]) / s.deviations[f] * c
+        return df.withColumn("p", N.sigmoid(z))
+
+
+class Packed:
+    """A training table and one to judge on, packed for logistic fits of any sets of ``features``."""
+
+    def __init__(self, train: DataFrame, validation: DataFrame | None, features: list[str], label: str = "red_win"):
+        self.features = list(dict.fromkeys(features))
+        self.train = L.Blocks(train, self.features, label)
+        self.medians = np.nan_to_num(self.train.medians())
+        self.n, self.positive, self.means, self.deviations = self.train.moments(self.medians)
+        self.validation = None if validation is None else L.Blocks(validation.where(F.col(label).isNotNull()), self.features, label)
+
+    def scaler(self, features: list[str]) -> Scaler:
+        at = [self.features.index(f) for f in features]
+        return Scaler(*[{f: float(v[i]) for f, i in zip(features, at)} for v in (self.medians, self.means, self.deviations)])
+
+    def fit(self, asked: list[tuple[list[str], dict]]) -> list[Logit]:
+        """The fits of sets with their ``C``, ``l1_ratio`` and ``max_iter``; the penalty is 1 / (C n), the intercept is not penalised."""
+        problems = []
+        for features, given in asked:
+            s = LOGISTIC | given
+            problems.append(L.Problem([self.features.index(f) for f in features], 1.0 / (s["C"] * self.n), s["l1_ratio"], s["max_iter"]))
+        found = L.solve(self.train, self.medians, self.means, self.deviations, problems, self.n, self.positive)
+        return [Logit(f, self.scaler(f), at) for (f, _), at in zip(asked, found)]
+
+    def score(self, fits: list[Logit]) -> list[dict]:
+        """The metrics of each fit; all are judged together."""
+        points = [([self.features.index(f) for f in m.features], np.array([m.model.intercept, *m.model.coefficients])) for m in fits]
+        rows = L.probabilities(self.validation, self.medians, self.means, self.deviations, points)
+        found = {r["setting"]: {k: v for k, v in r.asDict().items() if k != "setting"} for r in M.evaluate(rows, ["setting"]).collect()}
+        return [found.get(i, {}) for i in range(len(fits))]
+
+    def free(self) -> None:
+        for blocks in (self.train, self.validation):
+            if blocks is not None:
+                blocks.free()
+
+
+class Joint:
+    """Logistic fits of several sets with their metrics, made together when the first of them is asked for."""
+
+    def __init__(self, train: DataFrame, validation: DataFrame, asked: list[tuple[list[str], dict]], packed: Packed | None = None, label: str = "red_win"):
+        self.train, self.validation, self.asked, self.packed, self.label, self.found = train, validation, asked, packed, label, None
+
+    def __getitem__(self, i: int) -> Part:
+        return Part(self, i)
+
+    def results(self) -> list[tuple[Logit, dict]]:
+        if self.found is None:
+            packed = self.packed or Packed(self.train, self.validation, [f for features, _ in self.asked for f in features], self.label)
+            fits = packed.fit(self.asked)
+            self.found = list(zip(fits, packed.score(fits)))
+            if self.packed is None:
+                packed.free()
+        return self.found
+
+
+class Part:
+    """One of the fits of a ``Joint``."""
+
+    def __init__(self, joint: Joint, i: int):
+        self.joint, self.i = joint, i
+
+    def result(self) -> tuple[Logit, dict]:
+        return self.joint.results()[self.i]
+
+
 def fit_logistic(df: DataFrame, features: list[str], label: str = "red_win", C: float = LOGISTIC["C"], l1_ratio: float = LOGISTIC["l1_ratio"], max_iter: int = LOGISTIC["max_iter"]) -> Fitted:
     """Elastic-net logistic regression; the penalty is 1 / (C n), the intercept is not penalised."""
-    scaler, n = Scaler.fit(df, features), df.count()
-    model = LogisticRegression(featuresCol="features", labelCol=label, elasticNetParam=l1_ratio, regParam=1.0 / (C * max(n, 1)), standardization=False, maxIter=max_iter, tol=1e-8)
-    return Fitted(features, scaler, model.fit(scaler.apply(df)), True)
+    packed = Packed(df, None, features, label)
+    fitted = packed.fit([(list(features), {"C": C, "l1_ratio": l1_ratio, "max_iter": max_iter})])[0]
+    packed.free()
+    return fitted
 
 
 def _per_node(strategy: str, n: int) -> str:
@@ -124,34 +209,41 @@ def score(df: DataFrame, label: str = "red_win") -> dict[str, float | None]:
     return {k: v for k, v in row.asDict().items() if k != "g"} if row else {}
 
 
-def fit_and_evaluate(train: DataFrame, validation: DataFrame, features: list[str], name: str = "", family: str = "logistic", **settings) -> dict:
-    """Metrics of one feature set on the validation table; an empty set gives only its name."""
+def fit_and_evaluate(train: DataFrame | Part, validation: DataFrame, features: list[str], name: str = "", family: str = "logistic", **settings) -> dict:
+    """Metrics of one feature set on the validation table; an empty set gives only its name. ``train`` may be one of a joint fit's parts."""
     if not features:
         return {"name": name, "n_features": 0}
-    fitted = FAMILIES[family](train, features, **settings)
-    return {"name": name, "n_features": len(features), "features": features, **score(fitted.predict(validation))}
+    metrics = train.result()[1] if isinstance(train, Part) else score(FAMILIES[family](train, features, **settings).predict(validation))
+    return {"name": name, "n_features": len(features), "features": features, **metrics}
 
 
 def forward_selection(train: DataFrame, validation: DataFrame, candidates: list[str], start: list[str] | None = None, least_gain: float = 5e-4, **settings) -> list[dict]:
     """The path that adds the feature which lowers the log loss most, while it does by at least ``least_gain``."""
     chosen, path, best = list(start or []), [], float("inf")
-    train, validation = train.cache(), validation.cache()
+    packed = None if "family" in settings else Packed(train, validation, [*chosen, *candidates], settings.get("label", "red_win"))
     while rest := [c for c in candidates if c not in chosen]:
-        tried = evaluate_sets(train, validation, {c: [*chosen, c] for c in rest}, **settings)
+        tried = evaluate_sets(train, validation, {c: [*chosen, c] for c in rest}, packed, **settings)
         top = min(tried, key=lambda r: r["log_loss"])
         if best - top["log_loss"] < least_gain and path:
             break
         best = top["log_loss"]
         chosen.append(top["name"])
         path.append({"step": len(path) + 1, "added": top["name"], **{k: v for k, v in top.items() if k != "name"}})
+    if packed:
+        packed.free()
     return path
 
 
-def evaluate_sets(train: DataFrame, validation: DataFrame, sets: dict[str, list[str]], **settings) -> list[dict]:
-    """Metrics of named feature sets in their order; a few are fitted at once."""
+def evaluate_sets(train: DataFrame, validation: DataFrame, sets: dict[str, list[str]], packed: Packed | None = None, **settings) -> list[dict]:
+    """Metrics of named feature sets in their order. Logistic models are fitted together, of other families a few at once."""
+    named = [(n, f) for n, f in sets.items() if f]
+    if settings.get("family", "logistic") == "logistic":
+        own = {k: v for k, v in settings.items() if k not in ("family", "label")}
+        joint = Joint(train, validation, [(f, own) for _, f in named], packed, settings.get("label", "red_win"))
+        return [fit_and_evaluate(joint[i], validation, f, n, **settings) for i, (n, f) in enumerate(named)]
     train, validation = train.cache(), validation.cache()
     with ThreadPool(AT_ONCE) as pool:
-        return pool.starmap(lambda n, f: fit_and_evaluate(train, validation, f, n, **settings), [(n, f) for n, f in sets.items() if f], 1)
+        return pool.starmap(lambda n, f: fit_and_evaluate(train, validation, f, n, **settings), named, 1)
 
 
 def compare_sets(train: DataFrame, validation: DataFrame, sets: dict[str, list[str]], **settings) -> list[dict]:
@@ -161,15 +253,13 @@ def compare_sets(train: DataFrame, validation: DataFrame, sets: dict[str, list[s
 
 def single_features(train: DataFrame, validation: DataFrame, features: list[str], label: str = "red_win", **settings) -> list[dict]:
     """Metrics and coefficient of the logistic model of each feature alone, best log loss first."""
-    train, validation = train.cache(), validation.cache()
 
-    def one(f: str) -> dict:
-        fitted = fit_logistic(train, [f], label, **settings)
+    def one(f: str, fitted: Logit, metrics: dict) -> dict:
         c = fitted.coefficients()[0][1]
-        return {"feature": f, **score(fitted.predict(validation), label), "coefficient": c, "coefficient_sign": "positive" if c > 0 else "negative" if c < 0 else "zero"}
+        return {"feature": f, **metrics, "coefficient": c, "coefficient_sign": "positive" if c > 0 else "negative" if c < 0 else "zero"}
 
-    with ThreadPool(AT_ONCE) as pool:
-        return sorted(pool.map(one, features, 1), key=lambda r: r["log_loss"])
+    found = Joint(train, validation, [([f], settings) for f in features], label=label).results()
+    return sorted([one(f, *r) for f, r in zip(features, found)], key=lambda r: r["log_loss"])
 
 
 def leave_one_out(train: DataFrame, validation: DataFrame, features: list[str], base: list[str] | None = None, **settings) -> list[dict]:
@@ -183,10 +273,9 @@ def leave_one_out(train: DataFrame, validation: DataFrame, features: list[str],
 
 def penalty_grid(train: DataFrame, validation: DataFrame, features: list[str], strengths: tuple[float, ...], ratios: tuple[float, ...]) -> list[dict]:
     """Metrics of each pair of inverse penalty strength and share of the absolute penalty, best log loss first."""
-    train, validation = train.cache(), validation.cache()
     picks = [{"C": c, "l1_ratio": r} for c in strengths for r in ratios]
-    with ThreadPool(AT_ONCE) as pool:
-        rows = pool.map(lambda s: {"settings": s, **fit_and_evaluate(train, validation, features, "", **s)}, picks, 1)
+    joint = Joint(train, validation, [(features, s) for s in picks])
+    rows = [{"settings": s, **fit_and_evaluate(joint[i], validation, features, "", **s)} for i, s in enumerate(picks)]
     return sorted(rows, key=lambda r: r["log_loss"])
 
 
