@@ -11,7 +11,7 @@ from duelframe.operators import derived as D
 from duelframe.operators import history as H
 from duelframe.operators import paired as P
 from duelframe.operators.rating import elo
-from duelframe.runtime import checkpoint
+from duelframe.runtime import Written, collect_garbage
 
 #: The features of the final model and of the sets it was chosen from. ``{n}`` is the number of last contests.
 FINAL_FEATURES = (
@@ -92,14 +92,20 @@ def attach_profiles(contests: DataFrame, profiles: DataFrame | None) -> DataFram
 
 
 def histories(contests: DataFrame, n: int = 2, half_life: float = 365.0, legacy_duration: bool = False) -> DataFrame:
-    """The long table with every state before a contest."""
-    long = P.to_long(contests)
-    rows = D.career_rates(H.career_totals(long, legacy_duration))
-    rows = checkpoint(D.power(rows))
-    # each step joins rows with their own daily sums: without a cut between steps every step would double the work
-    for step in (H.endurance, H.layoffs, H.career_span, H.streaks, lambda d: H.last_n(d, n), lambda d: D.momentum(H.decayed(d, half_life), n)):
-        rows = checkpoint(step(rows))
-    rows = H.past_opponents(rows, ["win_pct", "total_wins", "total_fights", "power_index", "durability_index", "vulnerability_index"])
+    """Every state before a contest, for both sides: ``bout_id, side, entity, opponent, day`` and the states.
+
+    States of a day are written once, without what follows from them row by row; rows are shuffled by contest before that.
+    """
+    long, store = P.to_long(contests), Written(contests.sparkSession)
+    days = store.keep(H.states_by_day(long, n, half_life, legacy_duration), "days")
+    sides = store.keep(P.to_long(contests, []).select("bout_id", "side", "opponent", *H.KEYS), "sides")
+    collect_garbage(contests.sparkSession)
+    rows = sides.hint("shuffle_hash").join(days, H.KEYS)
+    metrics = ["win_pct", "total_wins", "total_fights", "power_index", "durability_index", "vulnerability_index"]
+    others = store.keep(H.opponents_by_day(D.power(D.career_rates(rows), True), metrics), "others")
+    collect_garbage(contests.sparkSession)
+    whole = rows.join(others.hint("shuffle_hash"), H.KEYS).repartition("bout_id")
+    rows = D.momentum(D.power(D.career_rates(whole), True), n)
     return rows.select("*", (F.col("power_index") - F.col("avg_opponent_vulnerability_index")).alias("opponent_adjusted_power"))
 
 
@@ -110,13 +116,14 @@ _RESULTS = {"won", "lost", "method", "round", "rounds", "duration_seconds", "sid
 def build_features(contests: DataFrame, strikes: DataFrame | None = None, profiles: DataFrame | None = None, n: int = 2, half_life: float = 365.0, k: float = 32.0, initial: float = 500.0, legacy_duration: bool = False) -> DataFrame:
     """One row per contest: identity, target, attributes, states of both sides, style scores, ratings and differences."""
     base = contests if strikes is None else P.with_strikes(contests, strikes)
-    base = checkpoint(attach_profiles(base, profiles))
+    base = Written(contests.sparkSession).keep(attach_profiles(base, profiles), "contests")
+    collect_garbage(contests.sparkSession)
     long = histories(base, n, half_life, legacy_duration)
     states = [c for c in long.columns if c not in _RESULTS]
-    wide = checkpoint(P.to_wide(long, states))
+    wide = P.to_wide(long, states)
     keep = ["bout_id", "event_date", "red_name", "blue_name", "outcome", "red_win", "weight_class", *[f"{s}_{c}" for s in P.SIDES for c in ("age", "height", "reach", "weight", "stance", *RATES) if f"{s}_{c}" in base.columns]]
     rated = elo(base, k, initial).select("bout_id", *[F.col(f"{s}_elo{p}").alias(f"pre_fight_{s}_elo{p}") for s in P.SIDES for p in ("", "_win_prob")])
-    rows = D.style(base.select(*keep).join(wide, "bout_id")).join(rated, "bout_id")
+    rows = D.style(base.select(*keep).hint("shuffle_hash").join(wide, "bout_id")).join(rated.hint("shuffle_hash"), "bout_id")
     return P.difference_aliases(more_differences(P.side_differences(rows)))
 
 

@@ -18,7 +18,7 @@ from duelframe.operators import units as U
 from duelframe.operators.backtest import flat_profit, kelly
 from duelframe.operators.rating import elo
 from duelframe.plans import audit, contest_queries, features, research, walkforward
-from duelframe.runtime import checkpoint, read_table
+from duelframe.runtime import Written, checkpoint, read_table
 from duelframe.streaming.history import windowed_counts
 
 
@@ -44,7 +44,7 @@ def _modelling(spark: SparkSession, folder: str) -> DataFrame:
     names = list(dict.fromkeys(f for s in wanted for f in features.features_of(s, rows.columns)))
     market = contest_queries.merged(spark, folder).select("bout_id", F.col("red_implied_prob_novig").alias("market"))
     kept = rows.select("bout_id", "event_date", "red_win", "weight_class", *names).join(market, "bout_id", "left")
-    return checkpoint(S.chronological_split(kept))
+    return S.chronological_split(Written(spark).keep(kept, "modelling"))  # written first: the dates are read apart
 
 
 def _table(spark: SparkSession, rows: list[dict]) -> DataFrame:
@@ -141,8 +141,10 @@ def cardio_leave_one_out(spark: SparkSession, folder: str) -> DataFrame:
     rows, train, validation = _splits(spark, folder)
     of = lambda f: features.features_of(f, rows.columns)
     base, pool = of(features.PREVIOUS_BEST), of(features.CARDIO)
-    table = _table(spark, models.leave_one_out(train, validation, pool, base))
-    fitted = models.fit_logistic(train, list(dict.fromkeys([*base, *pool])))
+    full = list(dict.fromkeys([*base, *pool]))
+    packed = models.Packed(train, validation, full)
+    table = _table(spark, models.leave_one_out(train, validation, pool, base, packed=packed))
+    fitted = packed.fit([(full, {})])[0]
     known = _table(spark, [{"removed": f, "coefficient": c, "abs_coefficient": abs(c)} for f, c in fitted.coefficients()])
     return table.join(F.broadcast(known), "removed", "left")  # one row per feature
 
