@@ -75,7 +75,7 @@ class Blocks:
                 yield pa.RecordBatch.from_arrays([pa.array([[np.ascontiguousarray(a, float).tobytes() for a in held]], pa.list_(pa.binary()))], names=["a"])
 
         out = None
-        for r in self.table.mapInArrow(run, "a array<binary>").toLocalIterator():
+        for r in self.table.mapInArrow(run, "a array<binary>").collect():
             found = [np.frombuffer(a, float) for a in r.a]
             out = found if out is None else merge(out, found)
         return out

@@ -13,7 +13,7 @@ from duelframe.operators import models
 from duelframe.operators import odds as O
 from duelframe.operators import paired as P
 from duelframe.operators import splits as S
-from duelframe.runtime import checkpoint
+from duelframe.runtime import Written, checkpoint
 
 
 def ingest_quotes(quotes: DataFrame, contests: DataFrame, names: dict[str, str] | None = None, source: str | None = None) -> dict[str, DataFrame]:
@@ -60,18 +60,18 @@ def compare_backtests(runs: dict[str, dict[str, DataFrame]]) -> DataFrame:
 def recency_grid(contests: DataFrame, base: DataFrame, features: list[str], last: tuple[int, ...] = tuple(range(1, 11)), half_lives: tuple[float, ...] = (180.0, 365.0, 730.0, 1095.0), **settings) -> list[dict]:
     """Validation metrics of the base features plus last-N, and plus decayed, form for each value of the grids.
 
-    ``base`` is ``bout_id, event_date, red_win`` and the features. The long table is checkpointed once for all values.
+    ``base`` is ``bout_id, event_date, red_win`` and the features. All values' forms are columns of one table, on which
+    their models are fitted together.
     """
-    long = checkpoint(P.to_long(contests, ["sig_landed", "td_landed", "kd", "ctrl_seconds"]))
-    rows = []
-    for kind, values in (("last_n", last), ("half_life", half_lives)):
-        for v in values:
-            prefix = f"recent_{v}_" if kind == "last_n" else "exp_decay_"
-            state = H.last_n(long, v) if kind == "last_n" else H.decayed(long, v)
-            names = [f"{prefix}{m}" for m in H.FORM]
-            wide = P.side_differences(P.to_wide(state, names))
-            extra = [f"pre_fight_{n}_diff" for n in names]
-            table = S.chronological_split(base.join(wide.select("bout_id", *extra), "bout_id"))
-            table = checkpoint(table)
-            rows.append({"kind": kind, "value": float(v), **models.fit_and_evaluate(table.where("split = 'train'"), table.where("split = 'validation'"), [*features, *extra], f"{kind} {v}", **settings)})
-    return models.near_best(rows)
+    long, store = P.to_long(contests, ["sig_landed", "td_landed", "kd", "ctrl_seconds"]), Written(contests.sparkSession)
+    picks = [("last_n", v, f"recent_{v}_", f"recent_{v}_") for v in last] + [("half_life", v, f"exp_decay_{i}_", "exp_decay_") for i, v in enumerate(half_lives)]
+    names = {prefix: [f"{prefix}{m}" for m in H.FORM] for _, _, prefix, _ in picks}
+    days = H.forms_by_day(long, last, half_lives).select(*H.KEYS, *[n for form in names.values() for n in form])
+    states = long.select("bout_id", "side", *H.KEYS).join(days, H.KEYS)
+    extra = {prefix: [f"pre_fight_{n}_diff" for n in form] for prefix, form in names.items()}
+    wide = P.side_differences(P.to_wide(states, [n for form in names.values() for n in form])).select("bout_id", *[c for form in extra.values() for c in form])
+    table = S.chronological_split(store.keep(base.join(wide, "bout_id")))
+    train, validation = table.where("split = 'train'"), table.where("split = 'validation'")
+    joint = models.Joint(train, validation, [([*features, *extra[prefix]], settings) for _, _, prefix, _ in picks])
+    shown = [[*features, *[f"pre_fight_{name}{m}_diff" for m in H.FORM]] for *_, name in picks]
+    return models.near_best([{"kind": kind, "value": float(v), **models.fit_and_evaluate(joint[i], validation, shown[i], f"{kind} {v}", **settings)} for i, (kind, v, *_) in enumerate(picks)])

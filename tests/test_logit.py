@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from duelframe.operators import logit, models
+from duelframe.plans import features, model_queries
 
 
 @pytest.fixture(scope="module")
@@ -56,3 +57,42 @@ def test_medians_of_odd_values(spark):
     rows = spark.createDataFrame([(-0.0, float("nan"), 1e-300, None), (0.0, -5.0, -1e300, None), (-3.5, 2.0, 7.0, None)], "a double, b double, c double, e double").withColumn("red_win", F.lit(1))
     found = logit.Blocks(rows.repartition(2), ["a", "b", "c", "e"], "red_win").medians()
     assert found[:3].tolist() == [0.0, -1.5, 1e-300] and np.isnan(found[3])
+
+
+@pytest.fixture
+def modelled(spark, monkeypatch):
+    """A small modelling table with the features of all sets."""
+    sets = [*features.FEATURE_SETS.values(), *features.RECENCY_COMPARISON.values(), *features.HYPOTHESIS_COMPARISON.values()]
+    names = list(dict.fromkeys(f.format(n=2) for s in sets for f in s))
+    noise = lambda k: (F.pmod(F.hash("bout_id", F.lit(k)), F.lit(1000)) / 500 - 1).cast("double")
+    rows = spark.range(0, 400, 1, 2).withColumnRenamed("id", "bout_id").select("bout_id", *[noise(k).alias(f) for k, f in enumerate(names)])
+    split = F.when(F.col("bout_id") < 250, "train").when(F.col("bout_id") < 340, "validation").otherwise("test")
+    rows = rows.withColumns({"red_win": (F.col("diff_elo") + noise(-1) > 0).cast("int"), "weight_class": F.when(F.col("bout_id") % 2 == 0, "flyweight").otherwise("lightweight"), "split": split}).cache()
+    monkeypatch.setattr(model_queries, "_modelling", lambda *_: rows)
+    return spark
+
+
+def jobs_of(spark, run, group):
+    spark.sparkContext.setJobGroup(group, "")
+    try:
+        out = run()
+        return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+#: Queries of several logistic models and their rows: the jobs don't grow with the models.
+TOGETHER = {
+    "class_interactions": 4,
+    "hypothesis_comparison": 9,
+    "cardio_leave_one_out": 7,
+    "group_ablation": 8,
+    "leave_one_feature_out": 15,
+    "set_comparison": 17,
+}
+
+
+@pytest.mark.parametrize("query", TOGETHER)
+def test_models_of_a_query_are_fitted_together(modelled, query):
+    out, jobs = jobs_of(modelled, lambda: model_queries.QUERIES[query](modelled, "").collect(), query)
+    assert len(out) == TOGETHER[query] and 0 < jobs < 80
