@@ -18,7 +18,7 @@ METHODS = ("market", "raw", "sigmoid", "isotonic", "blend_raw", "blend_sigmoid",
 def fold_predictions(train: DataFrame, calibration: DataFrame, test: DataFrame, features: list[str], family: str = "forest", label: str = "red_win", market: str = "market", **settings) -> DataFrame:
     """The test rows with a probability per method; calibrators and blend weights are learned on the calibration rows."""
     fitted = models.FAMILIES[family](train, features, label, **settings)
-    cal, out = fitted.predict(calibration), fitted.predict(test)
+    cal, out = checkpoint(fitted.predict(calibration)), checkpoint(fitted.predict(test))  # each is read many times
     sigmoid, isotonic = models.fit_sigmoid(cal, label=label), models.fit_isotonic(cal, label=label)
     for calibrate, name in ((sigmoid, "p_sigmoid"), (isotonic, "p_isotonic")):
         cal, out = ((calibrate(d) if calibrate else d.withColumn(name, F.col("p"))) for d in (cal, out))
