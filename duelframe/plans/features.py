@@ -80,12 +80,13 @@ def attach_profiles(contests: DataFrame, profiles: DataFrame | None) -> DataFram
     """
     out = contests
     if profiles is not None:
-        out = out.select("*", X.name_key(F.col("red_name")).alias("red_key"), X.name_key(F.col("blue_name")).alias("blue_key"))
         rates = [c for c in RATES if c in profiles.columns]
         given = [c for c in ("height", "weight", "reach", "stance", "dob") if c in profiles.columns]
-        for s in P.SIDES:
-            side = profiles.select(F.col("name_key").alias(f"{s}_key"), *[F.col(c).alias(f"__{s}_{c}") for c in given], *[F.col(c).alias(f"{s}_{c}") for c in rates])
-            out = out.join(side, f"{s}_key", "left")
+        # names only go to the profiles, and what is found comes back by contest
+        sides = contests.select("bout_id", F.inline(F.array(*[F.struct(F.lit(s).alias("side"), X.name_key(F.col(f"{s}_name")).alias("name_key")) for s in P.SIDES])))
+        of = lambda s, c: F.max(F.when(F.col("side") == s, F.col(c)))
+        found = sides.join(profiles.select("name_key", *given, *rates), "name_key").groupBy("bout_id").agg(*[of(s, c).alias(f"__{s}_{c}") for s in P.SIDES for c in given], *[of(s, c).alias(f"{s}_{c}") for s in P.SIDES for c in rates])
+        out = out.join(found, "bout_id", "left")
         names = [f"{s}_{c}" for s in P.SIDES for c in given]
         out = out.select(*[F.coalesce(F.col(c), F.col(f"__{c}")).alias(c) if c in names else F.col(c) for c in contests.columns], *[f"{s}_{c}" for s in P.SIDES for c in rates])
     return out.select("*", *[N.age_at(F.col("event_date"), F.col(f"{s}_dob")).cast("double").alias(f"{s}_age") for s in P.SIDES])
