@@ -95,17 +95,21 @@ def attach_profiles(contests: DataFrame, profiles: DataFrame | None) -> DataFram
 def histories(contests: DataFrame, n: int = 2, half_life: float = 365.0, legacy_duration: bool = False) -> DataFrame:
     """Every state before a contest, for both sides: ``bout_id, side, entity, opponent, day`` and the states.
 
-    States of a day are written once, without what follows from them row by row; rows are shuffled by contest before that.
+    States of a day are written once, with the day's contests and without what follows from them row by row. The wide rows
+    are shuffled once more, by contest.
     """
     long, store = P.to_long(contests), Written(contests.sparkSession)
     days = store.keep(H.states_by_day(long, n, half_life, legacy_duration), "days")
-    sides = store.keep(P.to_long(contests, []).select("bout_id", "side", "opponent", *H.KEYS), "sides")
     collect_garbage(contests.sparkSession)
-    rows = sides.hint("shuffle_hash").join(days, H.KEYS)
+    rows = days.select("*", F.inline("contests")).drop("contests")
     metrics = ["win_pct", "total_wins", "total_fights", "power_index", "durability_index", "vulnerability_index"]
-    others = store.keep(H.opponents_by_day(D.power(D.career_rates(rows), True), metrics), "others")
+    others = H.opponents_by_day(D.power(D.career_rates(rows), True), metrics)
+    found = rows.select("bout_id", "side", *H.KEYS).join(others, H.KEYS).groupBy("bout_id").agg(F.collect_list(F.struct("side", *[f"avg_opponent_{m}" for m in metrics])).alias("__o"))
+    found = store.keep(found, "others")
     collect_garbage(contests.sparkSession)
-    whole = rows.join(others.hint("shuffle_hash"), H.KEYS).repartition("bout_id")
+    own = F.get(F.filter("__o", lambda x: x["side"] == F.col("side")), F.lit(0))
+    joined = rows.join(found.hint("shuffle_hash"), "bout_id")
+    whole = joined.select(*rows.columns, own.alias("__own")).select(*rows.columns, *[F.col(f"__own.avg_opponent_{m}") for m in metrics])
     rows = D.momentum(D.power(D.career_rates(whole), True), n)
     return rows.select("*", (F.col("power_index") - F.col("avg_opponent_vulnerability_index")).alias("opponent_adjusted_power"))
 
